@@ -33,6 +33,11 @@ def size_of(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def exact_sum(x):
+    """A sum that doesn't depend on the order of rows, so that reruns agree to the last bit."""
+    return F.sum(x.cast("decimal(30,6)"))
+
+
 def share_out(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
     """total dealt by weight, no share above most * size; what is cut off is dealt again."""
     out, free = [0.0] * len(sizes), {i for i, s in enumerate(sizes) if s > 0}
@@ -60,13 +65,13 @@ class Mix:
         scratch = Scratch(self.spark)
         counts = scratch.saved(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
         tokens = F.col("size") * F.col("n")
-        rows = counts.groupBy("source").agg(F.sum(tokens).alias("tokens"), F.sum(tokens * F.col("size").cast("double")).alias("squares")).limit(max_sources + 1).collect()
+        rows = counts.groupBy("source").agg(F.sum(tokens).alias("tokens"), exact_sum(tokens * F.col("size").cast("double")).alias("squares")).limit(max_sources + 1).collect()
         if len(rows) > max_sources:
             raise ValueError(f"more than {max_sources} sources")
         rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"]))
         self.sources = [r["source"] for r in rows]
         self.sizes = [r["tokens"] for r in rows]
-        self.scale = [r["squares"] / r["tokens"] if r["tokens"] else 1.0 for r in rows]
+        self.scale = [float(r["squares"]) / r["tokens"] if r["tokens"] else 1.0 for r in rows]
         weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))]
         self.targets = share_out(self.sizes, weights, ratio * sum(self.sizes), max_copies)
         self.multiplier = self._solve(counts)
@@ -98,18 +103,19 @@ class Mix:
             tokens = F.col("size") * F.col("n")
             inner = tilt < math.log(self.max_copies)
             found = self._with(counts, lam=at, scale=self.scale).groupBy("source").agg(
-                F.sum(tokens * rate).alias("value"), F.sum(F.when(inner, tokens * rate * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope")
+                exact_sum(tokens * rate).alias("value"), exact_sum(F.when(inner, tokens * rate * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope")
             )
             for r in found.collect():
                 i = place[r["source"]]
                 if done[i]:
                     continue
-                gap = r["value"] - self.targets[i]
+                value, slope = float(r["value"]), float(r["slope"])
+                gap = value - self.targets[i]
                 if abs(gap) <= tolerance * self.targets[i]:
                     done[i] = True
                     continue
                 low[i], high[i] = (max(low[i], at[i]), high[i]) if gap < 0 else (low[i], min(high[i], at[i]))
-                step = at[i] - gap / r["slope"] if r["slope"] > 0 else math.inf
+                step = at[i] - gap / slope if slope > 0 else math.inf
                 if not low[i] < step < high[i] or abs(step - at[i]) > 8 * (1 + abs(at[i])):
                     reach = at[i] + math.copysign(1 + abs(at[i]), -gap)
                     step = (low[i] + high[i]) / 2 if math.isfinite(low[i]) and math.isfinite(high[i]) else reach

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import decontaminate, language_id, mixing, near_join, token_files
+from tideline.llm import decontaminate, language_id, line_dedup, mixing, near_join, secrets, token_files, vectors
 from tideline.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -24,6 +28,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_join(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -36,13 +48,26 @@ def tokenizer_path(name: str) -> str:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_secret_scan": op2_secret_scan,
     "op3_token_files": op3_token_files,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op10_mixing": op10_mixing,
     "op5_decontamination": op5_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLE = {
+    "op8_line_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+        t AS (SELECT source, count(*) AS total FROM d GROUP BY source),
+        c AS (SELECT source, line, count(*) AS n FROM (SELECT source, unnest(list_distinct(lines)) AS line FROM d) GROUP BY source, line),
+        b AS (
+            SELECT c.source, list(c.line) AS bad FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+            WHERE trim(c.line) <> '' AND c.n >= 5 AND c.n > 0.02 * t.total GROUP BY c.source)
+        SELECT doc_id, array_to_string(list_filter(lines, lambda x: NOT coalesce(list_contains(bad, x), false)), chr(10)) AS text,
+            CAST(coalesce(len(list_filter(lines, lambda x: coalesce(list_contains(bad, x), false))), 0) AS BIGINT) AS n_dropped
+        FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source""",
     "op5_decontamination": r"""
         WITH w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
