@@ -153,7 +153,7 @@ def whole_groups(batches, by: str, most: int):
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     """A spanning forest of the graph with edges (a[i], b[i])."""
     top, out = list(range(n)), []
-    for i, j in zip(a.tolist(), b.tolist()):
+    for i, j in ((int(x), int(y)) for x, y in zip(a, b)):
         x, y = i, j
         while top[x] != x:
             top[x] = top[top[x]]
@@ -198,7 +198,7 @@ def survivors(t: pa.Table, sig: np.ndarray, sizes: np.ndarray, least: dict[int,
 def _prune(threshold: float, tolerance: float):
     def run(batches):
         least = least_matches(threshold, tolerance)
-        for t in whole_groups(batches, "task", 4 << 20):
+        for t in whole_groups(batches, "task", 1 << 20):
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, HASHES)
             a, b = survivors(t, sig, t.column("n_shingles").to_numpy(), least, threshold)
             tree = np.array(forest(a, b, t.num_rows), np.int64).reshape(-1, 2)
@@ -211,7 +211,7 @@ def _prune(threshold: float, tolerance: float):
 def _verify(threshold: float, tolerance: float):
     def run(batches):
         least = least_matches(threshold, tolerance)
-        for t in whole_groups(batches, "task", 4 << 20):
+        for t in whole_groups(batches, "task", 1 << 20):
             _, _, _, _, hashes, first = textwords.words(t.column("text").combine_chunks())
             sets = [shingles(hashes[first[i] : first[i + 1]]) for i in range(t.num_rows)]
             sig = np.frombuffer(b"".join(map(signature, sets)), np.uint16).reshape(len(sets), HASHES)
@@ -226,7 +226,7 @@ def _verify(threshold: float, tolerance: float):
                 i = a[rows[0]]
                 own = ids[ends[i] - sizes[i] : ends[i]]
                 mark[own] = True
-                for some in np.array_split(rows, 1 + int(sizes[b[rows]].sum() >> 22)):
+                for some in np.array_split(rows, 1 + int(sizes[b[rows]].sum() >> 19)):
                     n = sizes[b[some]]
                     others = np.concatenate([ids[ends[j] - sizes[j] : ends[j]] for j in b[some]]) if len(some) else own[:0]
                     both = np.add.reduceat(mark[others].astype(np.int64), np.cumsum(n) - n) if len(some) else n
