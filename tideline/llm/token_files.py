@@ -19,7 +19,9 @@ Cases: a null or empty text is one document of just the end id; an empty table w
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 import zlib
 from urllib.parse import urlparse
 
@@ -35,10 +37,27 @@ from tideline.llm.common import shared_dir
 NO_ID = -(1 << 63)
 
 
+_LETTERS_THEN_MARKS = re.compile(r"(\n?)([^\W\d_]+)([^\w\s]*)")
+
+
 class _Irregular(Exception):
     pass
 
 
+class _Memory(dict):
+    """Values by key, made on demand; takes over from an older memory what is asked for again."""
+
+    def __init__(self, make, old: dict):
+        self.make, self.old = make, old
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of whole texts, as the tokenizers library gives them, with pieces remembered.
 
@@ -47,7 +66,7 @@ class Encoder:
     with other white space, or with a special token's string, go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -57,28 +76,29 @@ class Encoder:
         self.specials = [t["content"] for t in described.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.model, self.most = self.whole.model, most
+        self.packed = [np.array([k], self.dtype).tobytes() for k in range(self.whole.get_vocab_size())]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
-        self.pieces = self._memory()
-
-    def _memory(self):
-        encoder = self
-
-        class Memory(dict):
-            def __missing__(self, piece):
-                value = self[piece] = encoder._piece(piece)
-                return value
-
-        return Memory()
+        self.pieces, self.marks = _Memory(self._piece, {}), {}
 
     def _library(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _merges(self, text: str) -> bytes:
+        """Ids of what is one token for the pre-tokenizer."""
+        found = self.model.tokenize(text.encode().decode("latin1").translate(self.letters))
+        return b"".join([self.packed[t.id] for t in found])
+
     def _piece(self, piece: str) -> bytes:
-        if piece.isalpha():  # one token of the pre-tokenizer: straight to the merges
-            mapped = f" {piece}".encode().decode("latin1").translate(self.letters)
-            return np.array([t.id for t in self.model.tokenize(mapped)], self.dtype).tobytes()
+        if piece.isalpha():
+            return self._merges(f" {piece}")
+        if (m := _LETTERS_THEN_MARKS.fullmatch(piece)) and m[2].isalpha():
+            # a space or line end, letters, then marks that are neither letters nor digits
+            if m[3] not in self.marks:
+                self.marks[m[3]] = self._merges(m[3]) if m[3] else b""
+            word = self._merges("\n") + self._merges(m[2]) if m[1] else self.pieces[m[2]]
+            return word + self.marks[m[3]]
         body = piece[1:] if piece[:1] == "\n" else piece
         if body.split() != [body] or any(s in body for s in self.specials):
             raise _Irregular
@@ -87,9 +107,11 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if self.by_piece:
             if len(self.pieces) > self.most:
-                self.pieces = self._memory()
+                self.pieces, self.marks = _Memory(self._piece, dict(self.pieces)), {}
             first, *rest = text.replace("\n", " \n").split(" ")
             try:
+                if first.isalpha():
+                    return self._merges(first) + b"".join(map(self.pieces.__getitem__, rest))
                 if not first or first[:1] == "\n" or first.split() != [first] or any(s in first for s in self.specials):
                     raise _Irregular
                 return self._library(first) + b"".join(map(self.pieces.__getitem__, rest))
@@ -98,6 +120,12 @@ class Encoder:
         return self._library(text)
 
 
+@functools.lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One encoder a worker process, so that later tasks find its pieces."""
+    return Encoder(path)
+
+
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if urlparse(path).scheme else f"file://{path}")
 
@@ -107,7 +135,7 @@ def _write_shard(path: str, tokenizer: str, end_id: int):
         task = TaskContext.get()
         shard, own = task.partitionId(), f"{task.partitionId()}.{task.taskAttemptId()}"
         fs, root = _fs(path)
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         offsets, docs = [np.zeros(1, np.int64)], []
         total, out = 0, None
