@@ -2,9 +2,10 @@
 
 Vectors with the same label and the same values are one *class*. Centres are fitted on a bounded
 sample of class vectors (about ``sample``); every class goes to its nearest centre's cell, its
-*home*. A vector also *visits* each lower-numbered cell where a partner could live: if x has home a,
-y has home b and their angle is at most t, then angle(y, a) <= angle(y, b) + 2t, so visiting all such
-cells loses no pair. Homes of a cell meet each other and its visitors, in blocks of at most ``block``
+*home*. A vector also *visits* each lower-numbered cell where a partner could live: the members x of
+home a lie on a's side of the plane between the centres a and b, so a vector y of home b whose angle
+to that plane exceeds t has no partner there. It visits where y.(b - a) <= sin(t) |b - a|, and no pair
+is lost. Homes of a cell meet each other and its visitors, in blocks of at most ``block``
 rows a side, by matrix products in double precision. Tasks return sums of links and a spanning
 forest, never the pairs.
 
@@ -68,9 +69,10 @@ def _place(centres, reach: float):
             for dim in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dim))
                 c = centres.value.get(int(dim), np.zeros((1, int(dim))))
-                angle = np.arccos(np.clip(unit_rows(part.column("embedding"), int(dim)) @ c.T, -1, 1))
-                home = np.argmin(angle, axis=1)
-                near = angle <= angle[np.arange(len(home)), home][:, None] + 2 * reach + 1e-9
+                cos = unit_rows(part.column("embedding"), int(dim)) @ c.T
+                home = np.argmax(cos, axis=1)
+                apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))[home]
+                near = cos[np.arange(len(home)), home][:, None] - cos <= np.sin(reach) * apart + 1e-9
                 near &= np.arange(len(c))[None, :] <= home[:, None]
                 row, cell = np.nonzero(near)
                 out = part.take(pa.array(row))
