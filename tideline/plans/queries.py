@@ -43,6 +43,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _as_text(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole numbers that can be null, as text: clients print them differently."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.concat(F.col("event_id"), F.lit(',"user, '), F.col("user_id") % 7, F.lit('",'), F.col("event_type"), F.lit(","), F.col("props"))
     return table_lines(_t(spark, sf_dir, "events"), F.col("event_id"), value)
@@ -114,11 +119,11 @@ def top_keys(spark, sf_dir):
 
 @query("""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events GROUP BY 1),
     f AS (SELECT row_number() OVER (ORDER BY n DESC, key) AS rank, key, n FROM c)
-    SELECT rank, key, n FROM f WHERE rank <= 10
+    SELECT rank, key, CAST(n AS VARCHAR) AS n FROM f WHERE rank <= 10
     UNION ALL SELECT 11, '... and ' || (count(*) - 10) || ' more', NULL FROM c HAVING count(*) > 10""")
 def top_k_keys(spark, sf_dir):
     users = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"))
-    return aggregate.top_k(aggregate.count_by_key(users), 10)
+    return _as_text(aggregate.top_k(aggregate.count_by_key(users), 10), "n")
 
 
 @query(f"WITH {EV}, {COUNTS} SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total, count(DISTINCT key) AS unique_keys, floor(sum(n) / 7.0 * 100) / 100 AS rows_per_sec FROM counts")
@@ -179,9 +184,9 @@ def _both_counts(spark, sf_dir):
     return actual.union(actual.agg(F.lit("extra").alias("key"), F.lit(3).cast("long").alias("n"))), expected
 
 
-@query(f"""WITH {EV}, {COUNTS}, {_ACTUAL} SELECT coalesce(a.key, c.key) AS key, actual, n AS expected, actual IS NOT DISTINCT FROM n AS ok FROM a FULL JOIN counts c ON a.key = c.key""")
+@query(f"""WITH {EV}, {COUNTS}, {_ACTUAL} SELECT coalesce(a.key, c.key) AS key, CAST(actual AS VARCHAR) AS actual, CAST(n AS VARCHAR) AS expected, actual IS NOT DISTINCT FROM n AS ok FROM a FULL JOIN counts c ON a.key = c.key""")
 def reconcile_counts(spark, sf_dir):
-    return reconcile.reconcile(*_both_counts(spark, sf_dir))
+    return _as_text(reconcile.reconcile(*_both_counts(spark, sf_dir)), "actual", "expected")
 
 
 @query(f"""WITH {EV}, {COUNTS}, {_ACTUAL}, r AS (SELECT actual, n AS expected, actual IS NOT DISTINCT FROM n AS ok FROM a FULL JOIN counts c ON a.key = c.key)
@@ -306,13 +311,14 @@ def _task_events(spark, sf_dir) -> DataFrame:
 @query(f"""WITH {_TASK_EVENTS}, o AS (SELECT job, task_id, event, min(ts) AS ts FROM t WHERE event <> 'restart' GROUP BY ALL UNION ALL SELECT job, task_id, event, ts FROM t WHERE event = 'restart'),
     j AS (SELECT job, min(ts) FILTER (event = 'start') AS a, max(ts) FILTER (event = 'end') AS b, count(*) FILTER (event = 'start') AS expected, count(*) FILTER (event = 'end') AS completed,
         count(*) FILTER (event = 'restart') AS restarts, count(*) FILTER (event = 'failed') AS failures FROM o GROUP BY job)
-    SELECT job, epoch_us(a) AS started_us, epoch_us(b) AS ended_us, expected, completed, restarts, failures,
+    SELECT job, CAST(epoch_us(a) AS VARCHAR) AS started_us, CAST(epoch_us(b) AS VARCHAR) AS ended_us, expected, completed, restarts, failures,
         CASE WHEN completed >= expected AND expected > 0 THEN 'completed' ELSE 'running' END AS status,
-        CASE WHEN completed >= expected AND expected > 0 THEN epoch_us(b) - epoch_us(a) END AS duration_us FROM j""")
+        CASE WHEN completed >= expected AND expected > 0 THEN CAST(epoch_us(b) - epoch_us(a) AS VARCHAR) END AS duration_us FROM j""")
 def job_timeline(spark, sf_dir):
     out = metrics.job_timeline(_task_events(spark, sf_dir))
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return out.withColumn("started_us", us("started")).withColumn("ended_us", us("ended")).drop("started", "ended")
+    out = out.withColumn("started_us", us("started")).withColumn("ended_us", us("ended")).drop("started", "ended")
+    return _as_text(out, "started_us", "ended_us", "duration_us")
 
 
 @query("""WITH r AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
@@ -365,9 +371,9 @@ def _report(spark, sf_dir):
     return out.withColumn("first_lines", F.replace("first_lines", F.lit("rights reserved:"), F.lit("")))
 
 
-@query(f"WITH {_REPORT} SELECT host, host_no, matches, first_lines, status FROM r")
+@query(f"WITH {_REPORT} SELECT host, host_no, CAST(matches AS VARCHAR) AS matches, first_lines, status FROM r")
 def log_report(spark, sf_dir):
-    return _report(spark, sf_dir)
+    return _as_text(_report(spark, sf_dir), "matches")
 
 
 @query(f"WITH {_REPORT} SELECT CAST(coalesce(sum(matches), 0) AS BIGINT) AS matches, count(*) FILTER (status <> 'unreachable') AS responding FROM r")
