@@ -115,6 +115,7 @@ def fit(labelled: DataFrame, per_lang: int = 300, max_rows: int = 3000) -> Model
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 1.2 * wanted / counts[lang] + 4 * wanted**0.5 / counts[lang]))])
     h = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30))
     sample = labelled.withColumn("h", h).where(F.col("h") < share[F.col("lang")] * (1 << 30))
+    sample = sample.dropDuplicates(["lang", "h"])  # copies speak once
     rows = sample.mapInArrow(_features_of, "lang string, h long, at array<int>, value array<float>").orderBy("h", "lang").limit(2 * max_rows).collect()
     x = np.zeros((len(rows), DIM), np.float32)
     for i, r in enumerate(rows):
