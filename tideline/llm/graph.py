@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tideline.llm.common import Scratch
 
 
+ROWS_A_FILE = 50_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
 
@@ -24,13 +27,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.saved(edges, "edges")
     state = _state(now)
     while True:
+        files = max(1, -(-state[0] // ROWS_A_FILE))  # a round's edges are few; so are its files
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.saved(large.where("u <> v").distinct(), "edges")
+        large = scratch.saved(large.where("u <> v").distinct().coalesce(files), "edges")
         low = large.groupBy("u").agg(F.min("v").alias("v"))
         small = large.join(low.withColumnRenamed("v", "m"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.saved(small.union(low).distinct(), "edges")
+        new = scratch.saved(small.union(low).distinct().coalesce(files), "edges")
         new_state = _state(new)
         scratch.drop(now, large)
         if new_state == state:
