@@ -126,6 +126,16 @@ def test_append_log(spark):
     assert {(r.node, r.file): (r.blocks, r.bytes) for r in appendlog.inventory(df).collect()} == {("n1", "f"): (4, 8), ("n2", "f"): (3, 9)}
 
 
+def test_large_files_are_numbered_by_range(spark):
+    rows = [("big" if k % 10 else None, "AB"[k % 2], k, f"c{k}") for k in range(500)]
+    df = spark.createDataFrame(rows, "file string, client string, at int, content string")
+    plain, dealt = (sorted(map(str, appendlog.sequence_appends(df, "at", m).collect())) for m in (10_000, 20))
+    assert plain == dealt
+    blocks = df.withColumnRenamed("at", "seq")
+    plain, dealt = (sorted(map(str, appendlog.merge_replicas(blocks, m).collect())) for m in (10_000, 20))
+    assert plain == dealt
+
+
 def test_write_file_in_order(spark, tmp_path):
     rows = [("f", k, f"line {k}") for k in range(500)]
     appendlog.write_file(spark.createDataFrame(rows, "file string, block int, content string"), "f", str(tmp_path / "f"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.numbering import MAX_GROUP, number_within
 
-def sequence_appends(appends: DataFrame, order: str) -> DataFrame:
+
+def sequence_appends(appends: DataFrame, order: str, max_group: int = MAX_GROUP) -> DataFrame:
     """appends(file, client, .., order) with seq (per file and client) and block (per file), from 1, in order."""
-    number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(order, "client"))
-    return appends.withColumn("seq", number("file", "client")).withColumn("block", number("file"))
+    return number_within(number_within(appends, ["file", "client"], [order], "seq", max_group), ["file"], [order, "client"], "block", max_group)
 
 
 def checksum(blocks: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def corrupt_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.where(~F.sha1(F.col("content").cast("binary")).eqNullSafe(F.col("sha1")))
 
 
-def merge_replicas(blocks: DataFrame) -> DataFrame:
+def merge_replicas(blocks: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """(file, block, client, seq, content, copies, conflict): one file from what all replicas hold.
 
     One block for each (client, seq), in that order, numbered from 1. Where replicas disagree on a
@@ -31,8 +32,7 @@ def merge_replicas(blocks: DataFrame) -> DataFrame:
     """
     content = F.col("content").cast("binary")
     one = blocks.withColumn("sha1", F.sha1(content)).groupBy("file", "client", "seq").agg(F.min_by("content", "sha1").alias("content"), F.count(F.lit(1)).alias("copies"), (F.min("sha1") != F.max("sha1")).alias("conflict"))
-    block = F.row_number().over(Window.partitionBy("file").orderBy("client", "seq"))
-    return one.select("file", block.alias("block"), "client", "seq", "content", "copies", "conflict")
+    return number_within(one, ["file"], ["client", "seq"], "block", max_group).select("file", "block", "client", "seq", "content", "copies", "conflict")
 
 
 def client_progress(blocks: DataFrame) -> DataFrame:
