@@ -116,11 +116,12 @@ def fit(labelled: DataFrame, per_lang: int = 300, max_rows: int = 3000) -> Model
     h = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30))
     sample = labelled.withColumn("h", h).where(F.col("h") < share[F.col("lang")] * (1 << 30))
     sample = sample.dropDuplicates(["lang", "h"])  # copies speak once
-    rows = sample.mapInArrow(_features_of, "lang string, h long, at array<int>, value array<float>").orderBy("h", "lang").limit(2 * max_rows).collect()
-    x = np.zeros((len(rows), DIM), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["at"]] = r["value"]
-    return Model(languages, x, np.array([languages.index(r["lang"]) for r in rows], np.int64))
+    rows = sample.mapInArrow(_features_of, "lang string, h long, at array<int>, value array<float>").orderBy("h", "lang").limit(2 * max_rows).toArrow()
+    x = np.zeros((rows.num_rows, DIM), np.float32)
+    for i, (at, value) in enumerate(zip(rows.column("at"), rows.column("value"))):
+        x[i, at.values.to_numpy()] = value.values.to_numpy()
+    place = {lang: k for k, lang in enumerate(languages)}
+    return Model(languages, x, np.array([place[lang] for lang in rows.column("lang").to_pylist()], np.int64))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
