@@ -66,7 +66,7 @@ class Encoder:
     with other white space, or with a special token's string, go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
