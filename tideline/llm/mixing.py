@@ -86,7 +86,8 @@ class Mix:
         return self.spark.createDataFrame(rows, f"_source string, {kinds}")
 
     def _with(self, df: DataFrame, **columns) -> DataFrame:
-        return df.join(self._frame(**columns), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        # at most max_sources rows, so the broadcast has a bound and documents stay where they are
+        return df.join(F.broadcast(self._frame(**columns)), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     def _solve(self, counts: DataFrame, tolerance: float = 1e-9, most: int = 80) -> list[float]:
         """Roots of each source's dual slope: guarded Newton steps, all sources in one job a step."""
