@@ -45,7 +45,7 @@ def _hash_chunk(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     edge = np.empty(len(word) + 1, bool)
     edge[0], edge[-1] = word[0], word[-1]
     np.not_equal(word[1:], word[:-1], out=edge[1:-1])
-    inner = breaks[(breaks > 0) & (breaks < len(word))]
+    inner = np.unique(breaks[(breaks > 0) & (breaks < len(word))])  # an empty text begins where the next does
     inner = inner[word[inner] & word[inner - 1]]  # two texts that touch: a word ends and one begins
     at = np.flatnonzero(edge)
     if len(inner):
