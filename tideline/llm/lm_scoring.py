@@ -7,8 +7,7 @@ of it), so probabilities are normalised over the whole vocabulary. A document's
 the log-probabilities of its words given the words around them.
 
 Training is one pass of Adagrad over the corpus, in numpy, in as many tasks as the scan has: every
-task starts from the same unigram model, learns from its own documents (every ``stride``-th word of
-each is a target; whole texts are context) and writes its weights to the shared folder, and the
+task starts from the same unigram model, learns from its own documents (every word of each is a target, once) and writes its weights to the shared folder, and the
 weights are averaged by number of targets, in rounds of 32 so that neither a task nor the driver
 ever holds more than that.
 
@@ -91,18 +90,20 @@ class Network:
         a -= a.max(axis=1, keepdims=True)
         a = np.exp(a)
         a /= a.sum(axis=1, keepdims=True)
-        order = np.argsort(group, kind="stable")
+        # rows in order of their groups, so that each group's are one slice; b stays in that order
+        order = np.argsort(group.astype(np.int16), kind="stable")
         cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        b = np.empty((len(target), GROUPS), np.float32)
+        b, sorted_hidden = np.repeat(w["member_bias"], np.diff(cuts), axis=0), hidden[order]
         for g in range(GROUPS):
-            rows = order[cuts[g] : cuts[g + 1]]
-            if len(rows):
-                z = hidden[rows] @ w["member"][g] + w["member_bias"][g]
-                z -= z.max(axis=1, keepdims=True)
-                z = np.exp(z)
-                b[rows] = z / z.sum(axis=1, keepdims=True)
+            rows = slice(cuts[g], cuts[g + 1])
+            if cuts[g] < cuts[g + 1]:
+                b[rows] += sorted_hidden[rows] @ w["member"][g]
+        b -= b.max(axis=1, keepdims=True)
+        np.exp(b, out=b)
+        b /= b.sum(axis=1, keepdims=True)
         every = np.arange(len(target))
-        log_prob = np.log(a[every, group] + 1e-30) + np.log(b[every, member] + 1e-30)
+        log_prob = np.log(a[every, group] + 1e-30)
+        log_prob[order] += np.log(b[every, member[order]] + 1e-30)
         return log_prob, hidden, a, b, order, cuts
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
@@ -110,20 +111,25 @@ class Network:
         _, hidden, a, b, order, cuts = self.forward(context, target)
         every = np.arange(len(target))
         a[every, target // GROUPS] -= 1
-        b[every, target % GROUPS] -= 1
+        b[every, target[order] % GROUPS] -= 1
         out = {"group": hidden.T @ a / n, "group_bias": a.sum(axis=0) / n, "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
-        back = a @ w["group"].T
+        sorted_hidden, from_members = hidden[order], np.zeros_like(hidden)
         for g in range(GROUPS):
-            rows = order[cuts[g] : cuts[g + 1]]
-            if len(rows):
-                out["member"][g] = hidden[rows].T @ b[rows] / n
+            rows = slice(cuts[g], cuts[g + 1])
+            if cuts[g] < cuts[g + 1]:
+                out["member"][g] = sorted_hidden[rows].T @ b[rows] / n
                 out["member_bias"][g] = b[rows].sum(axis=0) / n
-                back[rows] += b[rows] @ w["member"][g].T
+                from_members[rows] = b[rows] @ w["member"][g].T
+        back = a @ w["group"].T
+        back[order] += from_members
         back *= (1 - hidden * hidden) / n
         out["shift"] = back.sum(axis=0)
         out["embed"] = np.zeros_like(w["embed"])
-        for k in range(2 * REACH):
-            np.add.at(out["embed"][k], context[:, k], back)
+        for k in range(2 * REACH):  # sums of each class's rows
+            by_class = np.argsort(context[:, k].astype(np.int16), kind="stable")
+            classes = context[by_class, k]
+            begins = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
+            out["embed"][k][classes[begins]] = np.add.reduceat(back[by_class], begins, axis=0)
         return out
 
 
@@ -148,7 +154,7 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
-def _train(vocabulary, stride: int, rate: float):
+def _train(vocabulary, rate: float):
     def run(batches):
         net = Network(vocabulary.value.unigram)
         square = {k: np.full_like(x, 1e-4) for k, x in net.w.items()}
@@ -163,11 +169,9 @@ def _train(vocabulary, stride: int, rate: float):
             for part in textwords.slices(batch, "text"):
                 _, _, _, _, hashes, first = textwords.words(part.column("text"))
                 classes = vocabulary.value.classes(hashes)
-                own = np.arange(len(classes)) - np.repeat(first[:-1], np.diff(first))
-                pick = np.flatnonzero((own + np.repeat(np.diff(first), np.diff(first))) % stride == 0)
-                held_c.append(windows(classes, first)[pick])
-                held_t.append(classes[pick])
-                held += len(pick)
+                held_c.append(windows(classes, first))
+                held_t.append(classes)
+                held += len(classes)
                 if held >= 16 * BATCH:
                     context, target = np.concatenate(held_c), np.concatenate(held_t)
                     order = np.random.default_rng(seen).permutation(held)
@@ -197,7 +201,7 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], names=["n", "weights"])
 
 
-def fit(docs: DataFrame, stride: int = 4, rate: float = 0.1) -> tuple[Vocabulary, Network]:
+def fit(docs: DataFrame, rate: float = 0.1) -> tuple[Vocabulary, Network]:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
@@ -206,7 +210,7 @@ def fit(docs: DataFrame, stride: int = 4, rate: float = 0.1) -> tuple[Vocabulary
     top = counts.orderBy(F.desc("n"), "word").limit(CLASSES - RARE).collect()
     vocabulary = Vocabulary(np.array([r["word"] for r in top], np.int64).astype(np.uint64), np.array([r["n"] for r in top], np.float64), total or 0, distinct)
     shared = spark.sparkContext.broadcast(vocabulary)
-    trained = scratch.saved(texts.mapInArrow(_train(shared, stride, rate), "n long, weights binary"), "weights")
+    trained = scratch.saved(texts.mapInArrow(_train(shared, rate), "n long, weights binary"), "weights")
     while (rows := trained.count()) > 32:
         some = trained.withColumn("slot", F.pmod(F.xxhash64("weights"), F.lit(-(-rows // 16)))).repartition(-(-rows // 16), "slot").select("n", "weights")
         trained = scratch.saved(some.mapInArrow(_average, "n long, weights binary"), "weights")
