@@ -1,7 +1,9 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word from both sides.
 
-Words of the whole corpus are counted; the most frequent ones and a number of hash buckets for all
-others are the vocabulary. The network sums one embedding for each of the ``2 * reach`` neighbours
+Words of the whole corpus are counted. The network's classes are the most frequent ones and a number
+of hash buckets for all others; a word in a bucket has the share of the bucket's count that its own
+count is, so every word of the corpus has its own probability. The counts of the most frequent
+``KNOWN`` words are broadcast, those of all others are joined by word. The network sums one embedding for each of the ``2 * reach`` neighbours
 of a masked word, applies tanh, and predicts the word by a two-level softmax (a group, then a member
 of it), so probabilities are normalised over the whole vocabulary. A document's score is the sum of
 the log-probabilities of its words given the words around them.
@@ -11,6 +13,8 @@ task starts from the same unigram model, learns from its own documents (every wo
 weights are averaged by number of targets, in rounds of 32 so that neither a task nor the driver
 ever holds more than that.
 
+A word that the counts lack has the share of a count of one.
+
 Cases: null, empty and wordless texts have no words, log_prob 0 and no mean; an empty corpus leaves
 the unigram model; repeated rows count, and score, each.
 """
@@ -29,23 +33,27 @@ GROUPS = 32
 CLASSES = GROUPS * GROUPS
 RARE = 64
 REACH, WIDTH = 2, 24
+#: Words whose counts each task has at hand; the rest of the corpus' words are joined.
+KNOWN = 1 << 18
 BATCH = 4096
 
 
 class Vocabulary:
     """Word hashes to classes: frequent words first, then RARE buckets by hash.
 
-    The words of a bucket share its probability evenly: each costs ``rare_cost`` (the log of the
-    mean number of distinct words in a bucket) besides.
+    in_buckets: the count of each bucket's words. Where no counts are given for scoring, the words of
+    a bucket share its probability evenly: each costs ``rare_cost`` (the log of the mean number of
+    distinct words in a bucket) besides.
     """
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, in_buckets: np.ndarray, distinct: int):
         self.rare_cost = float(np.log(max(1.0, (distinct - len(hashes)) / RARE)))
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.arange(len(hashes))[order]
         p = np.full(CLASSES, 1e-9)
         p[: len(counts)] += counts
-        p[CLASSES - RARE :] += max(0, total - counts.sum()) / RARE
+        p[CLASSES - RARE :] += in_buckets
+        self.in_buckets = in_buckets
         self.unigram = p / p.sum()
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
@@ -201,14 +209,44 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], names=["n", "weights"])
 
 
-def fit(docs: DataFrame, rate: float = 0.1) -> tuple[Vocabulary, Network]:
+class Counts:
+    """Counts of the words in buckets: the frequent ones as arrays, the table for the others."""
+
+    def __init__(self, words: DataFrame):
+        """words: (word, n), one row a word."""
+        size = F.floor(F.log2("n") * 8).cast("int")
+        bins = sorted(((r[0], r["count"]) for r in words.groupBy(size.alias("size")).count().collect()), reverse=True)
+        least, n = bins[0][0] + 1 if bins else 0, 0
+        for k, more in bins:
+            if (n := n + more) > KNOWN:
+                break
+            least = k
+        known = words.where(size >= least).toPandas().sort_values("word")
+        order = np.argsort(hashes := known["word"].to_numpy(np.int64).astype(np.uint64))
+        self.keys, self.logs = hashes[order], np.log(known["n"].to_numpy(np.float64)[order])
+        self.others = words.where(size < least)
+
+
+def count_words(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(word, n): how often each word occurs in all texts."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    return scratch.saved(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def fit(docs: DataFrame, rate: float = 0.1, counts: DataFrame | None = None) -> tuple[Vocabulary, Network]:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    counts = scratch.saved(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    own = count_words(docs, scratch) if counts is None else None
+    counts = own if counts is None else counts
+    buckets = counts.groupBy(F.pmod("word", F.lit(RARE)).alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
     top = counts.orderBy(F.desc("n"), "word").limit(CLASSES - RARE).collect()
-    vocabulary = Vocabulary(np.array([r["word"] for r in top], np.int64).astype(np.uint64), np.array([r["n"] for r in top], np.float64), total or 0, distinct)
+    hashes, frequent = np.array([r["word"] for r in top], np.int64).astype(np.uint64), np.array([r["n"] for r in top], np.float64)
+    in_buckets = np.zeros(RARE)
+    for r in buckets:
+        in_buckets[r["bucket"]] = r["n"]
+    in_buckets -= np.bincount((hashes % np.uint64(RARE)).astype(np.int64), frequent, RARE)
+    vocabulary = Vocabulary(hashes, frequent, in_buckets, sum(r["words"] for r in buckets))
     shared = spark.sparkContext.broadcast(vocabulary)
     trained = scratch.saved(texts.mapInArrow(_train(shared, rate), "n long, weights binary"), "weights")
     while (rows := trained.count()) > 32:
@@ -219,17 +257,19 @@ def fit(docs: DataFrame, rate: float = 0.1) -> tuple[Vocabulary, Network]:
     if parts:
         n = sum(k for _, k in parts)
         net.load(sum(np.frombuffer(w, "<f4").astype(np.float64) * (k / n) for w, k in parts))
-    scratch.drop(counts, trained)
+    scratch.drop(*([own] if own is not None else []), trained)
     return vocabulary, net
 
 
-def score(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
-    """(doc_id, n_words, log_prob, mean_log_prob) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
+def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_words, log_prob, mean_log_prob) of every row; counts: those of ``count_words``."""
+    spark = docs.sparkSession
+    known = Counts(counts) if counts is not None else None
+    shared = spark.sparkContext.broadcast((vocabulary, net, (known.keys, known.logs) if known else None))
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        vocabulary, net = shared.value
+        vocabulary, net, known = shared.value
         for batch in batches:
             for part in textwords.slices(batch, "text"):
                 _, _, _, _, hashes, first = textwords.words(part.column("text"))
@@ -237,15 +277,32 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Network) -> DataFrame:
                 context, logs = windows(classes, first), np.zeros(len(classes))
                 for at in range(0, len(classes), BATCH):
                     logs[at : at + BATCH] = net.forward(context[at : at + BATCH], classes[at : at + BATCH])[0]
-                logs -= vocabulary.rare_cost * (classes >= CLASSES - RARE)
+                rare, others = np.flatnonzero(classes >= CLASSES - RARE), np.zeros(0, np.int64)
+                if known is None:
+                    logs[rare] -= vocabulary.rare_cost
+                else:
+                    keys, counted = known
+                    logs[rare] -= np.log1p(vocabulary.in_buckets)[classes[rare] - (CLASSES - RARE)]
+                    at = np.minimum(np.searchsorted(keys, hashes[rare]), max(0, len(keys) - 1))
+                    found = keys[at] == hashes[rare] if len(keys) else np.zeros(len(rare), bool)
+                    logs[rare[found]] += counted[at[found]]
+                    others = rare[~found]
                 n = np.diff(first)
                 sums = np.bincount(np.repeat(np.arange(part.num_rows), n), logs, part.num_rows).astype(np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums), pa.array(sums / np.maximum(n, 1), mask=n == 0)], names=["doc_id", "n_words", "log_prob", "mean_log_prob"]
-                )
+                words = pa.ListArray.from_arrays(pa.array(np.searchsorted(others, first), pa.int32()), pa.array(hashes[others].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums), words], names=["doc_id", "n_words", "log_prob", "others"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, log_prob double, mean_log_prob double")
+    scored = docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, log_prob double, others array<long>")
+    if known is not None:
+        scored = Scratch(spark).saved(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # fixes the row numbers
+        # no count of these words is large, so no word's rows are many
+        occurs = scored.select("row", F.explode("others").alias("word")).join(known.others, "word")
+        logs = F.sum(F.log("n").cast("decimal(28,12)")).cast("double")  # in any order the same
+        scored = scored.drop("others").join(occurs.groupBy("row").agg(logs.alias("more")), "row", "left")
+        scored = scored.withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    return scored.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
 def fit_and_score(docs: DataFrame) -> DataFrame:
-    return score(docs, *fit(docs))
+    counts = count_words(docs, Scratch(docs.sparkSession))
+    return score(docs, *fit(docs, counts=counts), counts)
