@@ -11,7 +11,7 @@
    any other. Positions covered by repeated substrings are removed from open blocks; unique runs
    stay. Blocks shorter than ``min_tokens`` are one suffix of all their tokens.
 3. The text of a page is its main blocks and what is left of its open blocks. Chrome is evidence for
-   the array and never text. Where a page has a main block, its open blocks are left out.
+   the array and never text.
 
 Main blocks are not tested for repeats: copies of an article on one host are articles all the same.
 
@@ -136,25 +136,27 @@ def host_of(url):
 
 
 def _mains(batches):
-    """Rows whose page has a main block, with their text."""
+    """Rows whose page has no open block, with the text of their main blocks."""
     for batch in batches:
-        texts = [" ".join(t for k, t in blocks(page.as_py() or "") if k == 0) for page in batch.column("html")]
-        keep = pa.array([bool(t) for t in texts])
-        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()))], names=["page_id", "url", "text"])
+        found = [blocks(page.as_py() or "") for page in batch.column("html")]
+        keep = pa.array([all(k != OPEN for k, _ in page) for page in found], pa.bool_())
+        texts = pa.array([" ".join(t for k, t in page if k == MAIN) for page in found], pa.string())
+        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column("page_id"), batch.column("url"), texts)], names=["page_id", "url", "text"])
 
 
 def _others(batches):
-    """Every row with its chrome and open blocks; has_main where open blocks don't matter."""
+    """Every row with its chrome and open blocks; where has_open, with its main blocks too."""
     for batch in batches:
-        has_main, kinds, texts = [], [], []
+        has_open, kinds, texts = [], [], []
         for page in batch.column("html"):
             found = blocks(page.as_py() or "")
-            has_main.append(any(k == 0 for k, _ in found))
-            kinds.append([k for k, _ in found if k])
-            texts.append([t for k, t in found if k])
+            has_open.append(any(k == OPEN for k, _ in found))
+            found = [(k, t) for k, t in found if k != MAIN or has_open[-1]]
+            kinds.append([k for k, _ in found])
+            texts.append([t for _, t in found])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(has_main, pa.bool_()), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))],
-            names=["page_id", "url", "has_main", "kinds", "others"],
+            [batch.column("page_id"), batch.column("url"), pa.array(has_open, pa.bool_()), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))],
+            names=["page_id", "url", "has_open", "kinds", "others"],
         )
 
 
@@ -216,19 +218,21 @@ def extract(pages: DataFrame, min_tokens: int = 6) -> DataFrame:
     scratch = Scratch(pages.sparkSession)
     given = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     id_type = dict(given.dtypes)["page_id"]
-    parsed = given.mapInArrow(_others, f"page_id {id_type}, url string, has_main boolean, kinds array<int>, others array<string>")
+    parsed = given.mapInArrow(_others, f"page_id {id_type}, url string, has_open boolean, kinds array<int>, others array<string>")
     parsed = parsed.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("row", F.monotonically_increasing_id())
     parsed = scratch.saved(parsed, "blocks")  # fixes the row numbers
 
     page = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "url").alias("page")
-    block = parsed.select("row", "has_main", "host", page, "kinds", F.posexplode("others").alias("i", "text")).withColumn("block", F.xxhash64("text", F.lit(1)))
-    known = scratch.saved(repeated_blocks(block, min_tokens, scratch), "repeated")
+    block = parsed.select("row", "host", page, "kinds", F.posexplode("others").alias("i", "text")).withColumn("block", F.xxhash64("text", F.lit(1)))
+    block = block.withColumn("kind", F.element_at("kinds", F.col("i") + 1)).drop("kinds")
+    known = scratch.saved(repeated_blocks(block.where(F.col("kind") != MAIN), min_tokens, scratch), "repeated")
 
-    shown = block.where(~F.col("has_main") & (F.element_at("kinds", F.col("i") + 1) == 1)).join(known, ["host", "block"], "left")
-    shown = shown.withColumn("text", F.coalesce("left", "text")).where("text <> ''")
+    shown = block.where(F.col("kind") == OPEN).join(known, ["host", "block"], "left")
+    shown = shown.withColumn("text", F.coalesce("left", "text")).where("text <> ''").select("row", "i", "text")
+    shown = shown.union(block.where(F.col("kind") == MAIN).select("row", "i", "text"))
     texts = shown.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("parts"))  # a row's own blocks
     texts = texts.select("row", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
-    rest = parsed.where(~F.col("has_main")).select("row", "page_id", "url").join(texts, "row", "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
+    rest = parsed.where("has_open").select("row", "page_id", "url").join(texts, "row", "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
     return given.mapInArrow(_mains, f"page_id {id_type}, url string, text string").union(rest)
 
 
