@@ -9,3 +9,16 @@ def test_open_blocks_beside_an_article(spark):
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = {k: f"Heading {'abcdef'[k]} teaser {k} body of story {k} in a plain element" for k in range(6)}
     assert got == want | {9: "only this", 10: "", 11: ""}
+
+
+def test_phrases_and_copies_stay(spark):
+    """Two pages that share a phrase, a heading or everything lose nothing; long repeats of a host go."""
+    menu = "home news sport about us contact imprint and more things"
+    story = "<div>one whole article that stands at two addresses of the host with all its words</div><p>By Ann</p>"
+    phrase = "at the end of the day it is"
+    rows = [(k, f"http://h.example/{k}", f"<div>{menu}</div><p>Part {k}</p><p>tale {'abcdefghijkl'[k]} says {phrase if k < 2 else k} done{k}</p>") for k in range(10)]
+    rows += [(20, "http://h.example/20", story), (21, "http://h.example/21", story), (22, "http://c.example/1", story), (23, "http://c.example/2", story)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "one whole article that stands at two addresses of the host with all its words By Ann"
+    want = {k: f"Part {k} tale {'abcdefghijkl'[k]} says {phrase if k < 2 else k} done{k}" for k in range(10)}
+    assert got == want | {k: whole for k in (20, 21, 22, 23)}

@@ -4,18 +4,19 @@
    article or main element), *chrome* (inside navigation, headers, footers, asides, forms, scripts,
    or elements whose class, id or role names such a thing) or *open* (neither).
 2. The token streams of a host's chrome and open blocks make its suffix array. Suffixes that share
-   their first ``min_tokens`` tokens are neighbours in it, so a substring of that length or more that
-   occurs on two distinct pages or more shows as one prefix group with several pages. The array is
-   dealt out by prefix: suffixes are grouped by host and prefix with partial counts, after equal blocks
-   of a host have been counted as one, so a host with a third of all pages is no larger a task than
-   any other. Positions covered by repeated substrings are removed from open blocks; unique runs
+   their first ``min_tokens`` tokens are neighbours in it, so a substring of that length or more shows
+   as prefix groups, one for each of its windows. It is repeated where each window is on at least
+   ``LEAST_PAGES`` pages and ``SHARE`` of the host's pages; pages of a host with the same main and open
+   blocks are copies and count as one. The array is dealt out by prefix: (host, prefix, page) is made
+   distinct and then counted, with partial counts, so a host with a third of all pages is no larger a
+   task than any other. Positions covered by repeated substrings are removed from open blocks; unique runs
    stay. Blocks shorter than ``min_tokens`` are one suffix of all their tokens.
 3. The text of a page is its main blocks and what is left of its open blocks. Chrome is evidence for
    the array and never text.
 
 Main blocks are not tested for repeats: copies of an article on one host are articles all the same.
 
-Cases: a null html has empty text; a null url is a host of its own name; rows that repeat a page id
+Cases: a null html has empty text; a null url is a host of its own name; rows that repeat a page
 are rows of their own and count as one page; unclosed and stray tags are tolerated, an element ends
 with its parent; a truncated tag at the end of a page is dropped.
 """
@@ -49,6 +50,8 @@ _RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in ("script", "style
 
 
 MAIN, OPEN, CHROME, LAYOUT = 0, 1, 2, 3
+#: What a host repeats is on so many of its pages and on this share of them.
+LEAST_PAGES, SHARE = 3, 0.1
 
 
 def _kind_inside(name: str, attributes: str, kind: int) -> int:
@@ -145,18 +148,25 @@ def _mains(batches):
 
 
 def _others(batches):
-    """Every row with its chrome and open blocks; where has_open, with its main blocks too."""
+    """Every row with its chrome and open blocks; where has_open, with its main blocks too.
+
+    page: a hash of main and open blocks, the same for copies.
+    """
+    from xxhash import xxh3_64_intdigest
+
     for batch in batches:
-        has_open, kinds, texts = [], [], []
+        has_open, kinds, texts, pages = [], [], [], []
         for page in batch.column("html"):
             found = blocks(page.as_py() or "")
             has_open.append(any(k == OPEN for k, _ in found))
+            own = "\0".join(t for k, t in found if k != CHROME)
+            pages.append(xxh3_64_intdigest(own.encode("utf-8", "surrogatepass")))
             found = [(k, t) for k, t in found if k != MAIN or has_open[-1]]
             kinds.append([k for k, _ in found])
             texts.append([t for _, t in found])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(has_open, pa.bool_()), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))],
-            names=["page_id", "url", "has_open", "kinds", "others"],
+            [batch.column("page_id"), batch.column("url"), pa.array(np.array(pages, np.uint64).astype(np.int64)), pa.array(has_open, pa.bool_()), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))],
+            names=["page_id", "url", "page", "has_open", "kinds", "others"],
         )
 
 
@@ -202,28 +212,27 @@ def _suffixes(min_tokens: int):
 
 def repeated_blocks(block: DataFrame, min_tokens: int, scratch: Scratch) -> DataFrame:
     """(host, block, left) of the blocks (page, host, block, text) that repeated substrings reach."""
-    # equal blocks of a host are one row; its lowest and highest pages tell one page from several
-    block = block.groupBy("host", "block", "text").agg(F.min("page").alias("low"), F.max("page").alias("high"))
-    block = scratch.saved(block, "texts")
-    suffix = block.mapInArrow(_suffixes(min_tokens), "host string, block long, low long, high long, place int, prefix long")
-    group = suffix.groupBy("host", "prefix").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    repeated = group.where("low < high").select("host", "prefix")
-    places = suffix.select("host", "block", "place", "prefix").join(repeated, ["host", "prefix"]).groupBy("host", "block").agg(F.collect_set("place").alias("places"))
+    pages = block.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    suffix = block.select("host", "page", "text").mapInArrow(_suffixes(min_tokens), "host string, page long, place int, prefix long")
+    group = suffix.select("host", "prefix", "page").distinct().groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    repeated = scratch.saved(group.join(pages, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "prefix"), "prefixes")
+    block = scratch.saved(block.select("host", "block", "text").distinct(), "texts")
+    suffix = block.mapInArrow(_suffixes(min_tokens), "host string, block long, place int, prefix long")
+    places = suffix.join(repeated, ["host", "prefix"]).groupBy("host", "block").agg(F.collect_set("place").alias("places"))
     covered = block.select("host", "block", "text").join(places, ["host", "block"])
     return covered.mapInArrow(_uncovered(min_tokens), "host string, block long, left string")
 
 
-def extract(pages: DataFrame, min_tokens: int = 6) -> DataFrame:
+def extract(pages: DataFrame, min_tokens: int = 8) -> DataFrame:
     """(page_id, url, text), one row per row of ``pages(page_id, url, html)``."""
     scratch = Scratch(pages.sparkSession)
     given = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     id_type = dict(given.dtypes)["page_id"]
-    parsed = given.mapInArrow(_others, f"page_id {id_type}, url string, has_open boolean, kinds array<int>, others array<string>")
+    parsed = given.mapInArrow(_others, f"page_id {id_type}, url string, page long, has_open boolean, kinds array<int>, others array<string>")
     parsed = parsed.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("row", F.monotonically_increasing_id())
     parsed = scratch.saved(parsed, "blocks")  # fixes the row numbers
 
-    page = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "url").alias("page")
-    block = parsed.select("row", "host", page, "kinds", F.posexplode("others").alias("i", "text")).withColumn("block", F.xxhash64("text", F.lit(1)))
+    block = parsed.select("row", "host", "page", "kinds", F.posexplode("others").alias("i", "text")).withColumn("block", F.xxhash64("text", F.lit(1)))
     block = block.withColumn("kind", F.element_at("kinds", F.col("i") + 1)).drop("kinds")
     known = scratch.saved(repeated_blocks(block.where(F.col("kind") != MAIN), min_tokens, scratch), "repeated")
 
