@@ -5,12 +5,15 @@ byte n-grams, fitted in numpy) predicts its bit for a text; the language whose c
 least loss, bits weighted by how well they were learned, wins. The softmax of the negative losses is
 the score, and a text whose two best codewords are close is flagged as ambiguous.
 
-Fitting takes a bounded sample: about ``per_lang`` rows of each language and ``2 * max_rows`` in all,
-chosen by a hash of the row. Prediction covers whole texts of all rows, with the text alone.
+Fitting takes a bounded sample, chosen by a hash of the text: of the ``max_languages`` most frequent
+labels (ties by code point) about ``per_lang`` rows each, fewer where that would be more than
+``max_rows`` in all, and one at least. Prediction covers whole texts of all rows, with the text alone.
 
 Cases: a null text or one without a letter is ``und`` with score 0; a row without a label is never
 fitted on; with one label known all texts with letters get it, with none they are ``und``; equal
-losses go to the first language in code-point order; repeated rows get equal results.
+losses go to the first language in code-point order; repeated rows get equal results; a text of any
+length is read in pieces of 1 MB that share three bytes, and every n-gram counts once; columns named
+like a result are replaced by ``predict`` and come back unchanged from ``accepted``.
 """
 
 from __future__ import annotations
@@ -18,12 +21,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
+PIECE = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 _CLEAN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -31,14 +35,15 @@ _CLEAN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 def features(text: str) -> np.ndarray:
     """Unit vector of the square roots of hashed 2-, 3- and 4-gram counts."""
     letters = b" ".join(text.lower().encode("utf-8", "replace").translate(_CLEAN).split())
+    letters = b" " + letters + b" " if letters else b""
     out = np.zeros(DIM, np.float32)
-    for at in range(0, len(letters), 1 << 20):  # bounds memory; a few n-grams at the seams count twice
-        x = np.frombuffer(b" " + letters[at : at + (1 << 20)] + b" ", np.uint8).astype(np.uint32)
+    for at in range(0, len(letters), PIECE):  # bounds memory; an n-gram belongs to the piece it begins in
+        x = np.frombuffer(letters[at : at + PIECE + 3], np.uint8).astype(np.uint32)
         two = x[:-1] * np.uint32(0x1F1) + x[1:]
         three = two[:-1] * np.uint32(0x1F1) + x[2:]
         four = three[:-1] * np.uint32(0x1F1) + x[3:]
         for k, h in enumerate((two, three, four)):
-            spread = (h + np.uint32(k * 0x51ED27)) * np.uint32(0x9E3779B1)
+            spread = (h[:PIECE] + np.uint32(k * 0x51ED27)) * np.uint32(0x9E3779B1)
             out += np.bincount(spread >> np.uint32(32 - DIM_BITS), minlength=DIM)
     out = np.sqrt(out)
     norm = np.linalg.norm(out)
@@ -46,15 +51,23 @@ def features(text: str) -> np.ndarray:
 
 
 def codewords(n: int) -> np.ndarray:
-    """n codewords of +1 and -1: all distinct splits up to 6 languages, else a well separated random code."""
+    """n distinct codewords of +1 and -1, no bit the same for all and no split of the languages twice.
+
+    Up to 6 languages: every split there is. Beyond that: the best separated of 100 random codes.
+    """
     if n <= 6:
-        bits = (1 << (n - 1)) - 1
-        return np.array([[1 if r == 0 else (1 if (b + 1) >> (r - 1) & 1 else -1) for b in range(bits)] for r in range(n)], np.float32).reshape(n, bits)
-    best, gap = None, -1
+        splits = range(max(0, 2 ** (n - 1) - 1))  # language 0 is always +1; all ones would split nothing
+        return np.array([[1 if r == 0 or b >> (r - 1) & 1 else -1 for b in splits] for r in range(n)], np.float32).reshape(n, len(splits))
+    best, gap, bits = None, -1, int(np.ceil(10 * np.log2(n)))
     for seed in range(100):
-        code = np.where(np.random.default_rng(seed).random((n, int(np.ceil(10 * np.log2(n))))) < 0.5, -1, 1).astype(np.float32)
-        near = code @ code.T - 2 * code.shape[1] * np.eye(n)
-        if (distance := (code.shape[1] - near.max()) / 2) > gap:
+        rng, columns = np.random.default_rng(seed), {}
+        while len(columns) < bits:
+            c = np.where(rng.random(n) < 0.5, -1, 1).astype(np.float32)
+            if abs(c.sum()) < n:
+                columns.setdefault((c * c[0]).tobytes(), c)
+        code = np.stack(list(columns.values()), axis=1)
+        near = code @ code.T - 2 * bits * np.eye(n)
+        if (distance := (bits - near.max()) / 2) > gap:
             best, gap = code, distance
     return best
 
@@ -104,19 +117,21 @@ def _features_of(batches):
         )
 
 
-def fit(labelled: DataFrame, per_lang: int = 300, max_rows: int = 3000) -> Model:
+def fit(labelled: DataFrame, per_lang: int = 300, max_rows: int = 3000, max_languages: int = 8192) -> Model:
     """A model from rows (text, lang); rows without a lang or text are left out."""
     labelled = labelled.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    languages = sorted(counts)
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Model([], np.zeros((0, DIM), np.float32), np.zeros(0, np.int64))
     wanted = min(per_lang, max(1, max_rows // len(languages)))
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 1.2 * wanted / counts[lang] + 4 * wanted**0.5 / counts[lang]))])
+    share = [(r["lang"], int(min(1.0, (1.2 * wanted + 4 * wanted**0.5) / r["n"]) * (1 << 30))) for r in counts]
+    share = labelled.sparkSession.createDataFrame(share, "lang string, below long")  # max_languages rows at most
     h = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30))
-    sample = labelled.withColumn("h", h).where(F.col("h") < share[F.col("lang")] * (1 << 30))
+    sample = labelled.withColumn("h", h).join(F.broadcast(share), "lang").where("h < below").select("text", "lang", "h")
     sample = sample.dropDuplicates(["lang", "h"])  # copies speak once
-    rows = sample.mapInArrow(_features_of, "lang string, h long, at array<int>, value array<float>").orderBy("h", "lang").limit(2 * max_rows).toArrow()
+    sample = sample.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= 2 * wanted)
+    rows = sample.select("text", "lang", "h").mapInArrow(_features_of, "lang string, h long, at array<int>, value array<float>").orderBy("h", "lang").toArrow()
     x = np.zeros((rows.num_rows, DIM), np.float32)
     for i, (at, value) in enumerate(zip(rows.column("at"), rows.column("value"))):
         x[i, at.values.to_numpy()] = value.values.to_numpy()
