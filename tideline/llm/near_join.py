@@ -6,11 +6,11 @@
    Jaccard 0.8 shares none with probability 3e-6).
 3. Within a band's bucket the MinHash values of two classes are compared eight at a time; a pair is
    dropped as soon as the posterior probability (uniform prior) that its Jaccard similarity reaches
-   the threshold falls below ``tolerance``. Only a spanning forest of what survives is kept, and its
-   connected components say which classes must meet.
+   the threshold falls below ``tolerance``. Only what connects the survivors is kept (a star for each
+   group of them), and its connected components say which classes must meet.
 4. Each component's classes are brought together once, with their texts, and every pair in it that
-   passes the same test is verified on the exact shingle sets. Tasks return sums of links and a
-   spanning forest of the verified links, never the pairs.
+   passes the same test is verified on the exact shingle sets. Tasks return sums of links and a star
+   for each group of linked classes, never the pairs.
 
 Buckets and components above ``block`` members (or ``block_chars`` of text) are split at random
 into blocks and each pair of blocks is a task of its own, so that none holds more than two blocks.
@@ -150,21 +150,18 @@ def whole_groups(batches, by: str, most: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the graph with edges (a[i], b[i])."""
-    top, out = list(range(n)), []
-    for i, j in ((int(x), int(y)) for x, y in zip(a, b)):
-        x, y = i, j
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        while top[y] != y:
-            top[y] = top[top[y]]
-            y = top[y]
-        if x != y:
-            top[x] = y
-            out.append((i, j))
-    return out
+def stars(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the graph with edges (a[i], b[i]) over n nodes, and the smallest it is connected to, if another."""
+    lowest = np.arange(n)
+    while True:
+        before = lowest.copy()
+        np.minimum.at(lowest, a, lowest[b])
+        np.minimum.at(lowest, b, lowest[a])
+        np.minimum.at(lowest, before, lowest.copy())  # a node's former lowest joins what the node has found
+        lowest = lowest[lowest]
+        if np.array_equal(lowest, before):
+            u = np.flatnonzero(lowest != np.arange(n))
+            return u, lowest[u]
 
 
 def survivors(t: pa.Table, sig: np.ndarray, sizes: np.ndarray, least: dict[int, int], threshold: float):
@@ -201,9 +198,8 @@ def _prune(threshold: float, tolerance: float):
         for t in whole_groups(batches, "task", 1 << 20):
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, HASHES)
             a, b = survivors(t, sig, t.column("n_shingles").to_numpy(), least, threshold)
-            tree = np.array(forest(a, b, t.num_rows), np.int64).reshape(-1, 2)
             keys = t.column("key")
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(tree[:, k])).combine_chunks() for k in (0, 1)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(side)).combine_chunks() for side in stars(a, b, t.num_rows)], names=["u", "v"])
 
     return run
 
@@ -236,13 +232,13 @@ def _verify(threshold: float, tolerance: float):
             weight, links = t.column("n_docs").to_numpy(), np.zeros(len(sets), np.int64)
             np.add.at(links, a, weight[b])
             np.add.at(links, b, weight[a])
-            some, tree = np.flatnonzero(links), np.array(forest(a, b, len(sets)), np.int64).reshape(-1, 2)
+            some, (u, v) = np.flatnonzero(links), stars(a, b, len(sets))
             keys = t.column("key").combine_chunks()
             yield pa.RecordBatch.from_arrays(
                 [
-                    keys.take(pa.array(np.concatenate([some, tree[:, 0]]))),
-                    pa.concat_arrays([pa.nulls(len(some), keys.type), keys.take(pa.array(tree[:, 1]))]),
-                    pa.array(np.concatenate([links[some], np.zeros(len(tree), np.int64)])),
+                    keys.take(pa.array(np.concatenate([some, u]))),
+                    pa.concat_arrays([pa.nulls(len(some), keys.type), keys.take(pa.array(v))]),
+                    pa.array(np.concatenate([links[some], np.zeros(len(u), np.int64)])),
                 ],
                 names=["u", "v", "n"],
             )
