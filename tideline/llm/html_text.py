@@ -1,24 +1,26 @@
-"""HTML main text: page structure names the article, a host suffix array finds the boilerplate.
+"""HTML main text: page structure tells what may be text, a host suffix array finds what its pages repeat.
 
-1. A page is cut into blocks (text between block-level tags) and each block is *main* (inside an
-   article or main element), *chrome* (inside navigation, headers, footers, asides, forms, scripts,
-   or elements whose class, id or role names such a thing) or *open* (neither).
+1. A page is cut into blocks (text between block-level tags). A block is *main* (inside an article or
+   main element), *chrome* (inside navigation, headers, footers, asides, forms, scripts, or container
+   elements whose class, id or role names such a thing) or *open* (neither). A paragraph, heading or
+   quotation with such a class is open, also in an article: the word is evidence, and the array decides.
 2. The token streams of a host's chrome and open blocks make its suffix array. Suffixes that share
-   their first ``min_tokens`` tokens are neighbours in it, so a substring of that length or more shows
-   as prefix groups, one for each of its windows. It is repeated where each window is on at least
-   ``LEAST_PAGES`` pages and ``SHARE`` of the host's pages; pages of a host with the same main and open
-   blocks are copies and count as one. The array is dealt out by prefix: (host, prefix, page) is made
-   distinct and then counted, with partial counts, so a host with a third of all pages is no larger a
-   task than any other. Positions covered by repeated substrings are removed from open blocks; unique runs
-   stay. Blocks shorter than ``min_tokens`` are one suffix of all their tokens.
-3. The text of a page is its main blocks and what is left of its open blocks. Chrome is evidence for
-   the array and never text.
-
-Main blocks are not tested for repeats: copies of an article on one host are articles all the same.
-
-Cases: a null html has empty text; a null url is a host of its own name; rows that repeat a page
-are rows of their own and count as one page; unclosed and stray tags are tolerated, an element ends
-with its parent; a truncated tag at the end of a page is dropped.
+   their first ``min_tokens`` tokens are neighbours in it; a run of places that each have neighbours on
+   other pages is a maximal repeat, ``min_tokens`` long or longer. A place counts where its neighbours
+   are on at least ``LEAST_PAGES`` pages and ``SHARE`` of the host's pages; pages of a host with the same
+   main and open blocks are copies and count as one. The array is dealt out by a 128-bit hash of a
+   suffix's first ``min_tokens`` tokens, so that neighbours meet and counts combine before the shuffle,
+   and a host with a third of all pages is no larger a task than any other. Blocks shorter than
+   ``min_tokens`` are one suffix of all their tokens. Repeats are cut out of open blocks; unique runs stay.
+3. The text of a page is its main blocks and what is left of its open blocks, in page order. Chrome is
+   evidence for the array and never text.
+
+Main blocks are not tested for repeats: what several articles of a host share is article all the same.
+
+Cases: a null or empty html has empty text; a null url is a host of its own name; rows that repeat a
+page are rows of their own and count as one page; unclosed and stray tags are tolerated, an element
+ends with its parent; a tag that the page's end cuts off is dropped; pages of any length are read in
+time linear in their length; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,17 +35,26 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import Scratch
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<>]*\Z", re.S)
+# a whole tag whose quoted values hold no angle bracket; other tags, names alone; comments; the rest of markup
+_TAG = re.compile(
+    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"'=]|=\s*\"[^\"<>]*\"|=\s*'[^'<>]*'|=)*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?/][^>]*+(?:>|\Z)", re.S
+)
+_QUOTE_OR_END = re.compile(r"=\s*([\"'])|>")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ROLE_MAIN = re.compile(r"(?:^|\s)role\s*=\s*[\"']?main\b", re.I)
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _RAW = frozenset("script style noscript template svg math iframe object canvas textarea title head select option button".split())
 _CHROME = frozenset("nav footer aside form menu dialog".split()) | _RAW
 _MAIN = frozenset(("article", "main"))
+# Elements of running text: a telling class is evidence there, and decides on others.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dt dd figcaption".split()) | _INLINE - {"ins"}
 # Class, id and role words. An article inside an element with a layout word is an article all the
 # same ("page with-sidebar"); inside comments or adverts it isn't.
-_NEVER_TEXT = re.compile(r"^(?:ad|ads|advert\w*|comments?|consent|cookies?|disqus|gdpr|newsletter|notice|popup|promo|related|sponsor\w*|subscribe)$")
+_AD = re.compile(r"^(?:ads?|advert\w*|adsbygoogle|sponsor\w*|cookies?|consent|gdpr|newsletter|popup)$")
+_BESIDE_AD = re.compile(r"^(?:\d+|area|banner|big|block|bottom|box|container|google|inline|label|leaderboard|left|rectangle|right|side|sidebar|slot|small|space|text|top|unit|wrap|wrapper)$")
+_NEVER_TEXT = re.compile(r"^(?:comments?|disqus|notice|promo|related|subscribe)$")
 _LAYOUT = re.compile(r"^(?:banner|breadcrumbs?|complementary|contentinfo|footer|masthead|menu|menubar|modal|nav|navbar|navigation|search|share|sharing|sidebar|social|toolbar|widget)$")
 _IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg")}
@@ -54,28 +65,62 @@ MAIN, OPEN, CHROME, LAYOUT = 0, 1, 2, 3
 LEAST_PAGES, SHARE = 3, 0.1
 
 
+def _names_advert(name: str) -> bool:
+    """Whether a class or id names an advert or a consent notice; "ad-hoc" doesn't, "ad-slot" does."""
+    parts = [x for x in re.split(r"[_-]+", name) if x]
+    others = [x for x in parts if not _AD.match(x)]
+    return len(others) < len(parts) and (not others or all(_BESIDE_AD.match(x) for x in others) or not any(x in ("ad", "ads") for x in parts))
+
+
 def _kind_inside(name: str, attributes: str, kind: int) -> int:
     """The kind of what an element holds, from its name, its attributes and the kind around it."""
     if kind == CHROME or name in ("html", "body"):
         return kind
     if name in _CHROME or name == "header" and kind != MAIN:
         return CHROME
-    words: set[str] = set()
-    for found in _NAMES.findall(attributes) if "=" in attributes else ():
-        words.update(re.split(r"[\s_-]+", "".join(found).lower()))
-    if any(_NEVER_TEXT.match(w) for w in words):
+    if "=" not in attributes:
+        return MAIN if name in _MAIN else kind
+    names = " ".join("".join(found).lower() for found in _NAMES.findall(attributes)).split()
+    words = {w for n in names for w in re.split(r"[_-]+", n)}
+    if any(_names_advert(n) for n in names):
         return CHROME
-    if name in _MAIN or "main" in words and re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I):
+    if any(_NEVER_TEXT.match(w) for w in words):
+        return CHROME if name not in _PROSE else OPEN if kind != LAYOUT else kind
+    if name in _MAIN or "main" in words and _ROLE_MAIN.search(attributes):
         return MAIN
-    return LAYOUT if any(_LAYOUT.match(w) for w in words) else kind
+    if any(_LAYOUT.match(w) for w in words):
+        return LAYOUT if name not in _PROSE else OPEN if kind != LAYOUT else kind
+    return kind
+
+
+class _Tags:
+    """Where tags end in one page, whatever their quotes; each look at the page goes forward only."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, {'"': True, "'": True}
+
+    def end(self, at: int) -> int:
+        """The index of the > that ends a tag whose name ends at ``at``; -1 if the page ends first."""
+        begin = at
+        while m := _QUOTE_OR_END.search(self.page, at):
+            if not m[1]:
+                return m.start()
+            close = self.page.find(m[1], m.end()) if self.quotes[m[1]] else -1
+            self.quotes[m[1]] = close >= 0  # none from here on, so none later
+            at = close + 1 if close >= 0 else m.end()
+        if any(self.quotes.values()):  # quotes that hide every end are not quotes, here and later
+            self.quotes = dict.fromkeys(self.quotes, False)
+            return self.page.find(">", begin)
+        return -1
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(kind, text) of each non-empty block in page order; kind MAIN, OPEN or CHROME."""
     out: list[tuple[int, str]] = []
     text: list[str] = []
-    stack: list[tuple[str, int]] = []  # element and the kind inside it
-    kind, at = OPEN, 0
+    stack: list[list] = []  # [element, the kind around it, inline elements of its name inside it]; inline ones only where they change the kind
+    is_open: dict[str, int] = {}
+    kind, at, tags = OPEN, 0, _Tags(page)
 
     def end_block():
         if text:
@@ -87,6 +132,15 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if whole:
                 out.append((min(kind, CHROME), whole))
 
+    def leave():
+        nonlocal kind
+        name, outer, _ = stack.pop()
+        is_open[name] -= 1
+        if outer != kind:
+            end_block()
+            kind = outer
+        return name
+
     while True:
         m = _TAG.search(page, at)
         if m is None:
@@ -94,40 +148,51 @@ def blocks(page: str) -> list[tuple[int, str]]:
             break
         if m.start() > at:
             text.append(page[at : m.start()])
-        at, name = m.end(), (m[2] or "").lower()
+        at = m.end()
+        closing, name, attributes = m[1], m[2], m[3]
+        if m[5]:  # a tag that needs a closer look
+            closing, name, end = m[4], m[5], tags.end(at)
+            if end < 0:
+                break
+            attributes, at = page[at:end], end + 1
         if not name:
             continue
-        if m[1]:
-            if any(e[0] == name for e in stack):
-                if name not in _INLINE:
+        name = name.lower()
+        if name in _INLINE:
+            top = stack[-1] if stack and stack[-1][0] == name else None
+            if closing and top:
+                top[2] -= 1
+                if top[2] < 0:
+                    leave()
+            elif not closing and name not in _VOID:
+                inner = _kind_inside(name, attributes, kind)
+                if inner != kind:
                     end_block()
-                while stack:
-                    top, outer = stack.pop()
-                    if outer != kind:
-                        end_block()
-                        kind = outer
-                    if top == name:
-                        break
-            elif name not in _INLINE:
-                end_block()
+                    stack.append([name, kind, 0])
+                    is_open[name] = is_open.get(name, 0) + 1
+                    kind = inner
+                elif top:
+                    top[2] += 1
             continue
-        if name not in _INLINE:
-            end_block()
-            for ended in (_IMPLIED_END[name],) if name in _IMPLIED_END else ():
-                while stack and stack[-1][0] in ended | _INLINE and any(e[0] in ended for e in stack[-4:]):
-                    kind = stack.pop()[1]
-        if name in _VOID or m[3].endswith("/"):
+        end_block()
+        if closing:
+            while is_open.get(name) and leave() != name:
+                pass
             continue
-        inner = _kind_inside(name, m[3], kind)
-        if inner != kind:
-            end_block()
-        stack.append((name, kind))
+        for ended in (_IMPLIED_END[name],) if name in _IMPLIED_END else ():
+            while stack and any(e[0] in ended for e in stack[-4:]) and stack[-1][0] in ended | _INLINE:
+                leave()
+        if name in _VOID or attributes.endswith("/"):
+            continue
+        inner = _kind_inside(name, attributes, kind)
+        stack.append([name, kind, 0])
+        is_open[name] = is_open.get(name, 0) + 1
         kind = inner
         if name in _RAW_END:
-            closing = _RAW_END[name].search(page, at)
-            at = closing.start() if closing else len(page)
-            if at == len(page):
+            ends = _RAW_END[name].search(page, at)
+            if not ends:
                 break
+            at = ends.start()
     end_block()
     return out
 
@@ -138,40 +203,23 @@ def host_of(url):
     return F.when(host == "", F.lower(url)).otherwise(host)
 
 
-def _mains(batches):
-    """Rows whose page has no open block, with the text of their main blocks."""
-    for batch in batches:
-        found = [blocks(page.as_py() or "") for page in batch.column("html")]
-        keep = pa.array([all(k != OPEN for k, _ in page) for page in found], pa.bool_())
-        texts = pa.array([" ".join(t for k, t in page if k == MAIN) for page in found], pa.string())
-        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column("page_id"), batch.column("url"), texts)], names=["page_id", "url", "text"])
-
-
-def _others(batches):
-    """Every row with its chrome and open blocks; where has_open, with its main blocks too.
-
-    page: a hash of main and open blocks, the same for copies.
-    """
+def _parse(batches):
+    """Every row with its blocks. page: a hash of main and open blocks, the same for copies."""
     from xxhash import xxh3_64_intdigest
 
     for batch in batches:
-        has_open, kinds, texts, pages = [], [], [], []
-        for page in batch.column("html"):
-            found = blocks(page.as_py() or "")
-            has_open.append(any(k == OPEN for k, _ in found))
-            own = "\0".join(t for k, t in found if k != CHROME)
-            pages.append(xxh3_64_intdigest(own.encode("utf-8", "surrogatepass")))
-            found = [(k, t) for k, t in found if k != MAIN or has_open[-1]]
-            kinds.append([k for k, _ in found])
-            texts.append([t for _, t in found])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(np.array(pages, np.uint64).astype(np.int64)), pa.array(has_open, pa.bool_()), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))],
-            names=["page_id", "url", "page", "has_open", "kinds", "others"],
-        )
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            found = [blocks(page.as_py() or "") for page in part.column("html")]
+            own = ["\0".join(t for k, t in page if k != CHROME) for page in found]
+            pages = np.array([xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own], np.uint64).astype(np.int64)
+            kinds = pa.array([[k for k, _ in page] for page in found], pa.list_(pa.int32()))
+            texts = pa.array([[t for _, t in page] for page in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(pages), kinds, texts], names=["page_id", "url", "page", "kinds", "texts"])
 
 
 def _uncovered(min_tokens: int):
-    """Blocks without the tokens that a repeated prefix reaches."""
+    """Blocks without the tokens that a repeat reaches."""
 
     def run(batches):
         for batch in batches:
@@ -187,38 +235,46 @@ def _uncovered(min_tokens: int):
     return run
 
 
-def _suffixes(min_tokens: int):
+def _suffixes(min_tokens: int, most: int = 1 << 16):
     """One row for each suffix of a block: its position and the hash of its first min_tokens tokens."""
-    from xxhash import xxh3_64_intdigest
+    from xxhash import xxh3_128_digest
 
     def run(batches):
         for batch in batches:
+            names = [n for n in batch.schema.names if n != "text"]
             rows, places, prefixes = [], [], []
+
+            def made():
+                take, both = pa.array(rows, pa.int64()), np.frombuffer(b"".join(prefixes), "<i8").reshape(-1, 2)
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(n).take(take) for n in names] + [pa.array(places, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=names + ["place", "prefix", "prefix2"]
+                )
+
             for i, text in enumerate(batch.column("text").to_pylist()):
                 tokens = text.split(" ")
                 size = min(min_tokens, len(tokens))
                 for k in range(len(tokens) - size + 1):
                     rows.append(i)
                     places.append(k)
-                    prefixes.append(xxh3_64_intdigest(f"{size} {' '.join(tokens[k : k + size])}".encode()))
-            take = pa.array(rows, pa.int64())
-            keep = [(n, batch.column(k).take(take)) for k, n in enumerate(batch.schema.names) if n != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [c for _, c in keep] + [pa.array(places, pa.int32()), pa.array(np.array(prefixes, np.uint64).astype(np.int64))], names=[n for n, _ in keep] + ["place", "prefix"]
-            )
+                    prefixes.append(xxh3_128_digest(f"{size} {' '.join(tokens[k : k + size])}".encode("utf-8", "surrogatepass")))
+                    if len(rows) == most:
+                        yield made()
+                        rows, places, prefixes = [], [], []
+            yield made()
 
     return run
 
 
 def repeated_blocks(block: DataFrame, min_tokens: int, scratch: Scratch) -> DataFrame:
-    """(host, block, left) of the blocks (page, host, block, text) that repeated substrings reach."""
+    """(host, block, left) of the open blocks (page, host, block, kind, text) that repeats reach."""
     pages = block.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    suffix = block.select("host", "page", "text").mapInArrow(_suffixes(min_tokens), "host string, page long, place int, prefix long")
-    group = suffix.select("host", "prefix", "page").distinct().groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
-    repeated = scratch.saved(group.join(pages, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "prefix"), "prefixes")
-    block = scratch.saved(block.select("host", "block", "text").distinct(), "texts")
-    suffix = block.mapInArrow(_suffixes(min_tokens), "host string, block long, place int, prefix long")
-    places = suffix.join(repeated, ["host", "prefix"]).groupBy("host", "block").agg(F.collect_set("place").alias("places"))
+    suffix = block.select("host", "page", "text").mapInArrow(_suffixes(min_tokens), "host string, page long, place int, prefix long, prefix2 long")
+    prefix = ["host", "prefix", "prefix2"]
+    group = suffix.select(*prefix, "page").distinct().groupBy(*prefix).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    repeated = scratch.saved(group.join(pages, "host").where(F.col("n") >= SHARE * F.col("pages")).select(*prefix), "prefixes")
+    block = scratch.saved(block.where(F.col("kind") == OPEN).select("host", "block", "text").distinct(), "texts")
+    suffix = block.mapInArrow(_suffixes(min_tokens), "host string, block long, place int, prefix long, prefix2 long")
+    places = suffix.join(repeated, prefix).groupBy("host", "block").agg(F.collect_set("place").alias("places"))  # a block's own
     covered = block.select("host", "block", "text").join(places, ["host", "block"])
     return covered.mapInArrow(_uncovered(min_tokens), "host string, block long, left string")
 
@@ -228,21 +284,26 @@ def extract(pages: DataFrame, min_tokens: int = 8) -> DataFrame:
     scratch = Scratch(pages.sparkSession)
     given = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     id_type = dict(given.dtypes)["page_id"]
-    parsed = given.mapInArrow(_others, f"page_id {id_type}, url string, page long, has_open boolean, kinds array<int>, others array<string>")
+    parsed = given.mapInArrow(_parse, f"page_id {id_type}, url string, page long, kinds array<int>, texts array<string>")
     parsed = parsed.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("row", F.monotonically_increasing_id())
     parsed = scratch.saved(parsed, "blocks")  # fixes the row numbers
 
-    block = parsed.select("row", "host", "page", "kinds", F.posexplode("others").alias("i", "text")).withColumn("block", F.xxhash64("text", F.lit(1)))
-    block = block.withColumn("kind", F.element_at("kinds", F.col("i") + 1)).drop("kinds")
-    known = scratch.saved(repeated_blocks(block.where(F.col("kind") != MAIN), min_tokens, scratch), "repeated")
-
-    shown = block.where(F.col("kind") == OPEN).join(known, ["host", "block"], "left")
-    shown = shown.withColumn("text", F.coalesce("left", "text")).where("text <> ''").select("row", "i", "text")
-    shown = shown.union(block.where(F.col("kind") == MAIN).select("row", "i", "text"))
-    texts = shown.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("parts"))  # a row's own blocks
+    has_open = F.array_contains("kinds", OPEN)
+    # main blocks stay behind before blocks become rows
+    tested = F.filter(F.arrays_zip("kinds", "texts"), lambda b: b["kinds"] != MAIN)
+    block = parsed.select("host", "page", F.explode(tested).alias("b")).select("host", "page", F.col("b.kinds").alias("kind"), F.col("b.texts").alias("text"))
+    known = scratch.saved(repeated_blocks(block.withColumn("block", F.xxhash64("text", F.lit(1))), min_tokens, scratch), "repeated")
+
+    shown = parsed.where(has_open).select("row", "host", F.posexplode(F.arrays_zip("kinds", "texts")).alias("i", "b"))
+    shown = shown.select("row", "host", "i", F.col("b.kinds").alias("kind"), F.col("b.texts").alias("text")).where(F.col("kind") != CHROME)
+    main = shown.where(F.col("kind") == MAIN).select("row", "i", "text")
+    rest = shown.where(F.col("kind") == OPEN).withColumn("block", F.xxhash64("text", F.lit(1))).join(known, ["host", "block"], "left")
+    rest = rest.select("row", "i", F.coalesce("left", "text").alias("text")).where("text <> ''")
+    texts = rest.union(main).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("parts"))  # a row's own blocks
     texts = texts.select("row", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
-    rest = parsed.where("has_open").select("row", "page_id", "url").join(texts, "row", "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    return given.mapInArrow(_mains, f"page_id {id_type}, url string, text string").union(rest)
+    some = parsed.where(has_open).select("row", "page_id", "url").join(texts, "row", "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
+    main_text = F.array_join(F.transform(F.filter(F.arrays_zip("kinds", "texts"), lambda b: b["kinds"] == MAIN), lambda b: b["texts"]), " ")
+    return parsed.where(~has_open).select("page_id", "url", main_text.alias("text")).union(some)
 
 
 def report(pages: DataFrame) -> DataFrame:
