@@ -1,5 +1,6 @@
 import pytest
 
+from tideline.functions import csvline
 from tideline.operators import aggregate, lines, reconcile
 from tideline.plans import pipeline
 from tideline.plans.pipeline import Pipeline
@@ -61,12 +62,26 @@ def test_multi_append(spark, folder):
 
 
 def test_generated_signs(spark):
-    rows = records.generate_signs(spark, 400, seed=3)
-    fields = reconcile.field_count_report(rows, 21).collect()
-    assert [(r.fields, r.rows) for r in fields] == [(21, 400)]
-    share = lines.grep("SIGN_REGULATORY")(rows).count() / 400
-    assert 0.15 < share < 0.35
-    assert rows.collect() == records.generate_signs(spark, 400, seed=3).collect()
+    rows = records.generate_signs(spark, 2000, seed=3)
+    fields = [r.f for r in rows.select(csvline.csv_fields("value").alias("f")).collect()]
+    assert {len(f) for f in fields} == {22}
+    assert all(f[0].replace(",", "").isdigit() and len(f[0]) == 7 for f in fields)
+    kinds = {k: {f[7] for f in fields if f[6] == k} for k in records.SIGN_TYPES}
+    assert kinds["SIGN_POLE"] == {""} and len(kinds["SIGN_REGULATORY"]) == 16 and len(kinds["SIGN_GUIDE"]) == 7 and len(kinds["SIGN_WARNING"]) == 8
+    assert all(set(records.STOP_MESSAGES) & m == (set(records.STOP_MESSAGES) if k == "SIGN_REGULATORY" else set()) for k, m in kinds.items())
+    assert all(f[4] == ("Street Name" if f[6] == "SIGN_GUIDE" else f[7]) for f in fields)
+    assert 0.2 < lines.grep("SIGN_REGULATORY")(rows).count() / 2000 < 0.3
+    assert rows.collect() == records.generate_signs(spark, 2000, seed=3).collect()
+
+
+def test_first_of_each_id_stays(spark):
+    rows = [("k", "late", "1", 5), ("k", "early", "1", 2), ("k", "b", "2", 3), ("k", "a", "2", 3), ("k", "x", None, 1), ("k", "x", None, 1)]
+    df = spark.createDataFrame(rows, "key string, value string, id string, at int")
+    got = sorted((r.id or "", r.value) for r in lines.dedup(order="at")(df).collect())
+    assert got == [("", "x"), ("", "x"), ("1", "early"), ("2", "a")]
+    assert lines.dedup(order="at")(df).columns == df.columns and lines.dedup()(df).count() == 4
+    job = Pipeline(lambda s: df, [("identity", {})], delivery="exactly_once", order="at")
+    assert sorted(r.value for r in job.run(spark).collect()) == ["a", "early", "x", "x"]
 
 
 def test_logs_and_results(spark, tmp_path):
@@ -91,7 +106,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_lines(rows, out)
     assert sorted(r.value for r in spark.read.text(out).collect()) == ["v1", "v2"]
     assert sinks.output(rows, str(tmp_path / "o2")) and not sinks.output(rows.limit(0), str(tmp_path / "o3"))
-    assert (tmp_path / "o2").exists() and not (tmp_path / "o3").exists()
+    assert (tmp_path / "o2").exists() and not (tmp_path / "o3").exists() and not list(tmp_path.glob("o3.*"))
+    assert not sinks.output(rows.limit(0), str(tmp_path / "o2")) and spark.read.text(str(tmp_path / "o2")).count() == 2
+    assert sinks.output(rows.limit(1), str(tmp_path / "o2")) and spark.read.text(str(tmp_path / "o2")).count() == 1
     sinks.save_report(rows, str(tmp_path / "report"))
     assert len(list((tmp_path / "report").glob("part-*"))) == 1
     sinks.console(rows)

@@ -79,22 +79,28 @@ def test_paced_takes_whole_rows_per_task(spark, tmp_path):
     assert {s for s in sizes if s} == {9}
 
 
-def test_stateful_streams(spark, tmp_path):
-    schema = "job string, second long, stage long, n long, rate double, tuples long, planned long, start long"
-    src = tmp_path / "seconds"
-    rows = [("j", s, 2, 3, 90.0, 100, 3, 0) for s in range(8, 16)]
-    later = [("j", s, 2, 3, 90.0, 100, 3, 0) for s in range(16, 24)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src))
+def test_rows_without_ids_stay(spark, tmp_path):
+    src = tmp_path / "in"
+    put(src, "a.txt", ["x", "y", "x"])
+    streams.run_stream(read_lines_stream(spark, str(src)), str(tmp_path / "o"), str(tmp_path / "c"), "exactly_once")
+    assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "o")).collect()) == ["x", "x", "y"]
+    some = F.nullif(F.regexp_extract("value", r"^(\d+)", 1), F.lit(""))
+    put(src, "b.txt", ["1,a", "1,a", "no id", "no id"])
+    streams.run_stream(read_lines_stream(spark, str(src), some), str(tmp_path / "o2"), str(tmp_path / "c2"), "exactly_once")
+    assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "o2")).collect()) == ["1,a", "no id", "no id", "x", "x", "y"]
 
-    def run():
-        stream = streams.scaling_stream(spark.readStream.schema(schema).parquet(str(src)), 5.0, 20.0)
-        streams.run_stream(stream, str(tmp_path / "o"), str(tmp_path / "c"), "at_least_once")
-        return sorted((r.second, r.action, r.tasks) for r in spark.read.parquet(str(tmp_path / "o")).collect())
 
-    assert run() == [(10, "up", 4), (15, "up", 5)]
-    spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(str(src))
-    assert run() == [(10, "up", 4), (15, "up", 5), (20, "up", 6)]
+def test_repeats_within_a_bound(spark, tmp_path):
+    src = tmp_path / "in"
+    schema = "key string, value string, id string, ts timestamp"
+    rows = [("k", "a", "1", "2025-01-01 10:00:00"), ("k", "b", "1", "2025-01-01 10:00:05"), ("k", "c", None, "2025-01-01 10:00:06"), ("k", "d", None, "2025-01-01 10:00:06")]
+    spark.createDataFrame(rows, "key string, value string, id string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(src))
+    streams.run_stream(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "o"), str(tmp_path / "c"), "exactly_once", within="1 minute")
+    got = [r.value for r in spark.read.parquet(str(tmp_path / "o")).collect()]
+    assert sorted(got)[-2:] == ["c", "d"] and len(got) == 3
+
 
+def test_stateful_streams(spark, tmp_path):
     appends = "file string, client string, at long"
     spark.createDataFrame([("f", "A", 1), ("f", "B", 2)], appends).coalesce(1).write.parquet(str(tmp_path / "a"))
     for more in ([], [("f", "A", 3), ("g", "A", 4)]):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.numbering import MAX_GROUP, number_within
+from tideline.operators.numbering import MAX_GROUP, number_within, total_within
+
+#: Bytes of a file that one row of ``assemble`` holds.
+MAX_PART = 64 << 20
 
 
 def sequence_appends(appends: DataFrame, order: str, max_group: int = MAX_GROUP) -> DataFrame:
@@ -41,10 +44,17 @@ def client_progress(blocks: DataFrame) -> DataFrame:
     return last.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("client", "seq")))).alias("clients"))
 
 
-def assemble(blocks: DataFrame) -> DataFrame:
-    """(file, content): contents in block order. For files that fit a row; larger ones are written by ``write_file``."""
-    parts = F.array_sort(F.collect_list(F.struct("block", F.col("content").cast("string").alias("content"))))
-    return blocks.groupBy("file").agg(F.array_join(F.transform(parts, lambda b: b["content"]), "").alias("content"))
+def assemble(blocks: DataFrame, max_part: int = MAX_PART, max_group: int = MAX_GROUP) -> DataFrame:
+    """(file, part, content): contents in block order, cut into parts of about ``max_part`` bytes at block ends.
+
+    Almost every file is one part, 0. Of a larger one no row or task holds more than a part; ``write_file``
+    writes it out.
+    """
+    sized = blocks.select("file", "block", F.col("content").cast("string").alias("content")).withColumn("_size", F.octet_length("content").cast("long"))
+    placed = total_within(sized, ["file"], ["block"], "_size", "_at", max_group)
+    parts = F.array_sort(F.collect_list(F.struct("block", "content")))
+    out = placed.groupBy("file", F.floor(F.col("_at") / max_part).cast("long").alias("part")).agg(F.array_join(F.transform(parts, lambda b: b["content"]), "").alias("content"))
+    return out.select("file", "part", "content")
 
 
 def write_file(blocks: DataFrame, file: str, path: str) -> None:
@@ -57,19 +67,18 @@ def inventory(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("node", "file").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.octet_length(F.col("content").cast("binary"))).cast("long").alias("bytes"), F.max("seq").alias("last_seq"))
 
 
-def replica_copy(blocks: DataFrame, node: str) -> DataFrame:
+def replica_copy(blocks: DataFrame, node: str, max_part: int = MAX_PART, max_group: int = MAX_GROUP) -> DataFrame:
     """The files as one node holds them, assembled in (client, seq) order."""
-    order = F.row_number().over(Window.partitionBy("file").orderBy("client", "seq"))
-    return assemble(blocks.where(F.col("node") == node).withColumn("block", order))
+    return assemble(number_within(blocks.where(F.col("node") == node), ["file"], ["client", "seq"], "block", max_group), max_part, max_group)
 
 
 def divergent_files(blocks: DataFrame) -> DataFrame:
     """(file, versions): files of which nodes hold different contents.
 
-    Each node's copy is digested from its blocks' checksums, so contents are never gathered.
+    A copy's digest is a count, a sum and an exclusive or of its blocks' hashes, which need no order, so
+    nothing of a file is gathered.
     """
-    marks = blocks.select("file", "node", "client", "seq", F.sha1(F.col("content").cast("binary")).alias("sha1"))
-    parts = F.array_sort(F.collect_list(F.struct("client", "seq", "sha1")))
-    digest = F.sha1(F.array_join(F.transform(parts, lambda p: F.concat_ws(":", p["client"], p["seq"].cast("string"), p["sha1"])), ","))
-    copies = marks.groupBy("file", "node").agg(digest.alias("digest"))
+    mark = [F.col("client"), F.col("seq"), F.sha1(F.col("content").cast("binary"))]
+    one, two = F.xxhash64(F.lit(1), *mark), F.xxhash64(F.lit(2), *mark)
+    copies = blocks.groupBy("file", "node").agg(F.struct(F.count(F.lit(1)), F.bit_xor(one), F.sum(two.cast("decimal(20,0)"))).alias("digest"))
     return copies.groupBy("file").agg(F.count_distinct("digest").alias("versions")).where("versions > 1")

@@ -59,20 +59,29 @@ def count() -> Op:
     return run
 
 
-def dedup(within: str | None = None, time: str = "ts") -> Op:
-    """The first row of each id; rows without an id are all kept.
+def dedup(within: str | None = None, time: str = "ts", order: str | list[str] | None = None) -> Op:
+    """One row of each id; rows without an id are all kept.
 
-    On a stream the ids seen are state that grows without bound, unless ``within`` (such as
-    '1 hour') bounds how late a repeat can come, by the timestamp column ``time``.
+    On a table ``order`` names the columns whose smallest values come first, and the first row of an
+    id stays (of equal ones the smallest by all columns); without it any of them does. On a stream the
+    row that arrives first stays. The ids seen are state that grows without bound, unless ``within``
+    (such as '1 hour') bounds how late a repeat can come, by the timestamp column ``time``.
     """
+    by = [order] if isinstance(order, str) else list(order or [])
 
     def run(lines: DataFrame) -> DataFrame:
+        if lines.isStreaming:
+            if within:
+                lines = lines.withWatermark(time, within)
+            known, anonymous = lines.where("id is not null"), lines.where("id is null")
+            known = known.dropDuplicatesWithinWatermark(["id"]) if within else known.dropDuplicates(["id"])
+            return known.unionByName(anonymous)
         known, anonymous = lines.where("id is not null"), lines.where("id is null")
-        if not lines.isStreaming:
+        if not by:
             return known.dropDuplicates(["id"]).unionByName(anonymous)
-        if within:
-            return known.withWatermark(time, within).dropDuplicatesWithinWatermark(["id"])
-        return known.dropDuplicates(["id"])
+        row = F.struct(*by, *[c for c in lines.columns if c not in by])
+        first = known.groupBy("id").agg(F.min(row).alias("_row"))
+        return first.select([F.col(f"_row.{c}").alias(c) for c in lines.columns]).unionByName(anonymous)
 
     return run
 

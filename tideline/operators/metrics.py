@@ -1,120 +1,83 @@
-"""Task metrics: rates, roll-ups, scaling decisions, timelines.
+"""Task metrics: rates, roll-ups, load of stages, timelines.
 
 metrics: (job, task_id, ts, tuples_processed, current_rate). tasks: (job, task_id, stage, state, started_at).
+Task ids repeat between jobs, so a task is always (job, task_id).
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+TASK = ["job", "task_id"]
+
+
 def task_rates(samples: DataFrame, tasks: DataFrame) -> DataFrame:
     """Per task and second: tuples so far, tuples in that second, and the average since its start.
 
-    samples: (task_id, ts, tuples) with tuples as counted in each event.
+    samples: (job, task_id, ts, tuples) with tuples as counted in each event.
     """
     second = F.date_trunc("second", "ts").alias("second")
-    per = samples.groupBy("task_id", second).agg(F.sum("tuples").cast("long").alias("in_second"))
-    so_far = F.sum("in_second").over(Window.partitionBy("task_id").orderBy("second"))
-    before = F.lag("second").over(Window.partitionBy("task_id").orderBy("second"))
+    per = samples.groupBy(*TASK, second).agg(F.sum("tuples").cast("long").alias("in_second"))
+    so_far = F.sum("in_second").over(Window.partitionBy(*TASK).orderBy("second"))
+    before = F.lag("second").over(Window.partitionBy(*TASK).orderBy("second"))
     gap = F.unix_timestamp(F.col("second").cast("timestamp")) - F.unix_timestamp(before.cast("timestamp"))
     out = per.withColumn("total", so_far).withColumn("rate", F.try_divide(F.col("in_second").cast("double"), F.coalesce(gap, F.lit(1))))
-    out = out.join(tasks.select("task_id", "started_at"), "task_id")
+    out = out.join(tasks.select(*TASK, "started_at"), TASK)
     age = F.unix_timestamp(F.col("second").cast("timestamp")) - F.unix_timestamp(F.date_trunc("second", "started_at").cast("timestamp"))
-    return out.select("task_id", "second", "in_second", "total", "rate", F.try_divide(F.col("total").cast("double"), age).alias("average"))
+    return out.select(*TASK, "second", "in_second", "total", "rate", F.try_divide(F.col("total").cast("double"), age).alias("average"))
 
 
 def latest_metrics(metrics: DataFrame) -> DataFrame:
-    """The newest sample of each task; of equally new ones the first by value stays."""
-    others = [c for c in metrics.columns if c != "task_id"]
-    newest = F.max_by(F.struct(*others), F.struct(F.col("ts"), *[F.struct(*[-F.col(c) for c in ("tuples_processed",) if c in metrics.columns])]))
-    return metrics.groupBy("task_id").agg(newest.alias("s")).select("task_id", *[F.col(f"s.{c}").alias(c) for c in others])
+    """The newest sample of each task; of equally new ones the one with the fewest tuples stays."""
+    others = [c for c in metrics.columns if c not in TASK]
+    newest = F.max_by(F.struct(*others), F.struct(F.col("ts"), *[-F.col(c) for c in ("tuples_processed",) if c in metrics.columns]))
+    return metrics.groupBy(*TASK).agg(newest.alias("s")).select(*TASK, *[F.col(f"s.{c}").alias(c) for c in others])
 
 
 def flow_rate(events: DataFrame, key: str = "key", seconds: float = 1.0) -> DataFrame:
-    """events(key, ts, size) with flow: bytes a second over the trailing span, both ends included."""
+    """events(key, ts, size) with flow: bytes a second over the trailing span, both ends included.
+
+    Time is cut into buckets as long as the span. A span that ends in one bucket begins there or in the
+    one before, so each row goes to its own bucket and, as history, to the next; a window holds two
+    buckets of a key, however long the key has been busy.
+    """
+    length = int(seconds * 1e6)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = Window.partitionBy(key).orderBy("_us").rangeBetween(-int(seconds * 1e6), 0)
-    return events.withColumn("_us", us).withColumn("flow", F.sum("size").over(span) / F.lit(seconds)).drop("_us")
+    bucket = F.floor(us / F.lit(length))
+    rows = events.withColumn("_us", us).withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
+    rows = rows.withColumn("_bucket", F.when(F.col("_own"), bucket).otherwise(bucket + 1))
+    span = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-length, 0)
+    flow = rows.withColumn("flow", F.sum("size").over(span) / F.lit(seconds))
+    return flow.where("_own").drop("_us", "_own", "_bucket")
 
 
 def stage_rollup(metrics: DataFrame, tasks: DataFrame) -> DataFrame:
     """Per job and stage: number of tasks, sums of their rates and tuples; unknown tasks are left out."""
-    rows = metrics.join(tasks.select("task_id", "stage"), "task_id")
-    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("tasks"), F.sum("current_rate").alias("rate"), F.sum("tuples_processed").cast("long").alias("tuples"))
-
-
-# Fixed values of the scaling rules.
-WARM_UP_SEC, LEAST_TUPLES, COOLDOWN_SEC, SUSTAINED_SEC, LEAST_RATE = 10, 50, 5, 3, 0.1
-DECISION = "job string, second long, stage long, action string, tasks long, average double"
-
-
-class ScalingRules:
-    """The scaling state of one job, fed one second after another."""
-
-    def __init__(self, start: int, planned: dict[int, int], low: float, high: float):
-        self.start, self.planned, self.low, self.high = start, dict(planned), low, high
-        self.last: dict[int, int] = {}
-        self.low_since: dict[int, int] = {}
-
-    def second(self, now: int, stages: list[tuple[int, int, float, int]]):
-        """stages: (stage, tasks with tuples, sum of rates, sum of tuples). At most one decision."""
-        if now - self.start < WARM_UP_SEC:
-            return None
-        for stage, n, rate, tuples in sorted(stages):
-            if stage <= 0 or n == 0 or tuples < LEAST_TUPLES:
-                continue
-            if stage in self.last and now - self.last[stage] < COOLDOWN_SEC:
-                continue
-            average, tasks = rate / n, self.planned.get(stage, n)
-            if average > self.high and stage > 1:
-                self.low_since.pop(stage, None)
-                self.last[stage], self.planned[stage] = now, tasks + 1
-                return stage, "up", tasks + 1, average
-            if average < self.low and tasks > 1 and rate > LEAST_RATE and stage > 1:
-                since = self.low_since.setdefault(stage, now)
-                if now - since >= SUSTAINED_SEC:
-                    del self.low_since[stage]
-                    self.last[stage], self.planned[stage] = now, tasks - 1
-                    return stage, "down", tasks - 1, average
-            else:
-                self.low_since.pop(stage, None)
-        return None
+    rows = metrics.join(tasks.select(*TASK, "stage"), TASK)
+    return rows.groupBy("job", "stage").agg(F.count(F.lit(1)).alias("tasks"), F.sum("current_rate").alias("rate"), F.sum("tuples_processed").cast("long").alias("tuples"))
 
 
 def stage_seconds(metrics: DataFrame, tasks: DataFrame) -> DataFrame:
     """(job, second, stage, n, rate, tuples): running tasks with tuples, latest sample in each second."""
     second = F.unix_timestamp(F.col("ts").cast("timestamp")).alias("second")
-    live = metrics.join(tasks.where("state = 'running' and stage > 0").select("job", "task_id", "stage"), ["job", "task_id"])
+    live = metrics.join(tasks.where("state = 'running' and stage > 0").select(*TASK, "stage"), TASK)
     newest = F.max_by(F.struct("current_rate", "tuples_processed"), F.struct("ts", "tuples_processed"))
     last = live.groupBy("job", second, "stage", "task_id").agg(newest.alias("s")).where("s.tuples_processed > 0")
     return last.groupBy("job", "second", "stage").agg(F.count(F.lit(1)).alias("n"), F.sum("s.current_rate").alias("rate"), F.sum("s.tuples_processed").cast("long").alias("tuples"))
 
 
-def scaling_decisions(metrics: DataFrame, tasks: DataFrame, low: float, high: float) -> DataFrame:
-    """(job, second, stage, action, tasks, average): what the scaling rules would do, second by second.
+def scaling_decisions(metrics: DataFrame, tasks: DataFrame, low: float, high: float, least_tuples: int = 50) -> DataFrame:
+    """(job, second, stage, n, average, action): where a stage's mean rate a task leaves the limits.
 
-    The roll-up per second is SQL; the rules themselves are a fold over a job's seconds, one group a
-    job, whose size is the length of the job and not the number of samples.
+    A report on recorded metrics: 'up' above ``high``, 'down' below ``low`` (with more than one task);
+    seconds within the limits, or with fewer than ``least_tuples``, are left out.
     """
-    rolled = stage_seconds(metrics, tasks)
-    planned = tasks.where("stage > 0").groupBy("job", "stage").agg(F.count(F.lit(1)).alias("planned"))
-    started = tasks.groupBy("job").agg(F.min(F.unix_timestamp(F.col("started_at").cast("timestamp"))).alias("start"))
-    rows = rolled.join(planned, ["job", "stage"]).join(started, "job")
-
-    def fold(job: pd.DataFrame) -> pd.DataFrame:
-        job = job.sort_values(["second", "stage"])
-        rules = ScalingRules(int(job.start.iloc[0]), dict(zip(job.stage.astype(int), job.planned.astype(int))), low, high)
-        out = []
-        for second, part in job.groupby("second", sort=True):
-            found = rules.second(int(second), list(part[["stage", "n", "rate", "tuples"]].itertuples(index=False, name=None)))
-            if found:
-                out.append((job.job.iloc[0], int(second), *found))
-        return pd.DataFrame(out, columns=["job", "second", "stage", "action", "tasks", "average"])
-
-    return rows.groupBy("job").applyInPandas(fold, DECISION)
+    average = F.col("rate") / F.col("n")
+    action = F.when(average > high, "up").when((average < low) & (F.col("n") > 1), "down")
+    rows = stage_seconds(metrics, tasks).where(F.col("tuples") >= least_tuples)
+    return rows.select("job", "second", "stage", "n", average.alias("average"), action.alias("action")).where("action is not null")
 
 
 def job_timeline(events: DataFrame) -> DataFrame:
@@ -140,9 +103,9 @@ def job_timeline(events: DataFrame) -> DataFrame:
 
 
 def task_list(events: DataFrame, op: str | None = None, state: str | None = None) -> DataFrame:
-    """The newest state of each task of events(task_id, op, state, host, ts, seq), filtered if asked."""
+    """The newest state of each task of events(job, task_id, op, state, host, ts, seq), filtered if asked."""
     rest = ["op", "state", "host", "ts"]
-    out = events.groupBy("task_id").agg(F.max_by(F.struct(*rest), F.struct("ts", "seq")).alias("s")).select("task_id", *[F.col(f"s.{c}").alias(c) for c in rest])
+    out = events.groupBy(*TASK).agg(F.max_by(F.struct(*rest), F.struct("ts", "seq")).alias("s")).select(*TASK, *[F.col(f"s.{c}").alias(c) for c in rest])
     if op:
         out = out.where(F.col("op") == op)
     return out.where(F.col("state") == state) if state else out

@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.ring import ring_id
 
 
-def place(files: DataFrame, nodes: DataFrame, n: int = 3, alive_only: bool = True, algo: str = "sha256", max_nodes: int = 100_000) -> DataFrame:
+def place(files: DataFrame, nodes: DataFrame, n: int = 3, alive_only: bool = True, algo: str = "sha256", max_nodes: int = 1_000_000) -> DataFrame:
     """(file, file_ring, rank, node): the first n nodes clockwise from each file, rank 0 the primary.
 
-    files(file), nodes(node[, alive]). The ring is one sorted array of at most ``max_nodes`` nodes
-    (checked), sent to every task, so files are never shuffled.
+    files(file), nodes(node[, alive]). The ring is cut into arcs of a few nodes by its leading hex
+    digits; a row for each arc has its nodes and the n that follow. A file looks only at its own arc, and
+    files aren't shuffled where the arcs are small enough to broadcast. The nodes, a fleet and not data,
+    pass through the driver; more than ``max_nodes`` raise.
     """
     live = nodes.where("alive") if alive_only and "alive" in nodes.columns else nodes
     rows = live.select("node", ring_id("node", algo).alias("ring")).distinct().limit(max_nodes + 1).collect()
     if len(rows) > max_nodes:
         raise ValueError(f"more than {max_nodes} nodes")
-    ring = sorted((r["ring"], r["node"]) for r in rows)
+    ring = sorted((r["ring"], str(r["node"])) for r in rows)
     if not ring:
         return files.select("file", ring_id("file", algo).alias("file_ring"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("node")).limit(0)
-    # one row, joined by a constant: the ring travels as data and not in the plan
-    array = files.sparkSession.createDataFrame([(0, [(h, str(x)) for h, x in ring])], "_one int, _ring array<struct<h:string,node:string>>")
-    rows = files.select("file", ring_id("file", algo).alias("file_ring"), F.lit(0).alias("_one")).join(F.broadcast(array), "_one")
-    at = F.size(F.filter("_ring", lambda x: x["h"] < F.col("file_ring")))
-    nodes_of = F.transform(F.sequence(F.lit(0), F.lit(min(n, len(ring)) - 1)), lambda k: F.get(F.col("_ring"), F.pmod(at + k, F.lit(len(ring))))["node"])
-    return rows.select("file", "file_ring", F.posexplode(nodes_of).alias("rank", "node"))
+    n, digits = min(n, len(ring)), 0
+    while 16**digits * 4 < len(ring):
+        digits += 1
+    positions = [h for h, _ in ring]
+    arcs = []
+    for k in range(16**digits):
+        lead = f"{k:0{digits}x}" if digits else ""
+        first, end = bisect.bisect_left(positions, lead), bisect.bisect_left(positions, lead + "g")
+        inside = [(h, x) for h, x in ring[first:end]]
+        arcs.append((lead, inside + [("g", ring[(end + j) % len(ring)][1]) for j in range(n)]))  # g: after every digit
+    arcs = files.sparkSession.createDataFrame(arcs, "_lead string, _arc array<struct<h:string,node:string>>")
+    placed = files.select("file", ring_id("file", algo).alias("file_ring")).withColumn("_lead", F.substring("file_ring", 1, digits)).join(arcs, "_lead")
+    after = F.slice(F.filter("_arc", lambda x: x["h"] >= F.col("file_ring")), 1, n)
+    return placed.select("file", "file_ring", F.posexplode(F.transform(after, lambda x: x["node"])).alias("rank", "node"))
 
 
 def repair_plan(expected: DataFrame, held: DataFrame) -> DataFrame:

@@ -70,6 +70,7 @@ class Pipeline:
     """source(spark) -> lines, then each (operator, arguments), then sink(lines).
 
     ``delivery``: 'exactly_once' drops repeated ids before the first stage, 'at_least_once' doesn't.
+    ``order``: columns by which a table's first row of an id is the one that stays.
     """
 
     source: Callable[[SparkSession], DataFrame]
@@ -77,6 +78,7 @@ class Pipeline:
     sink: Callable[[DataFrame], object] | None = None
     delivery: str = "at_least_once"
     max_stages: int = 3
+    order: str | list[str] | None = None
     _ops: list[ops.Op] = field(init=False, repr=False)
 
     def __post_init__(self):
@@ -89,7 +91,7 @@ class Pipeline:
     def frame(self, spark: SparkSession) -> DataFrame:
         lines = self.source(spark)
         if self.delivery == "exactly_once":
-            lines = ops.dedup()(lines)
+            lines = ops.dedup(order=self.order)(lines)
         for op in self._ops:
             lines = lines.transform(op)
         return lines

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tideline.functions import csvline
 from tideline.functions.ring import ring_id, ring_number
 from tideline.operators import aggregate, appendlog, fleet, lines, logs, metrics, placement, reconcile
-from tideline.plans.pipeline import Pipeline
-from tideline.sources.lines import read_lines, read_lines_stream, table_lines
+from tideline.plans.pipeline import Pipeline, register_keyed_op, register_row_op
+from tideline.sources import records, sinks
+from tideline.sources.lines import multi_append, paced, read_lines, read_lines_stream, table_lines
 from tideline.streaming import run as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,6 +168,129 @@ def file_lines(spark, sf_dir):
     return found.groupBy("value").agg(F.count_distinct("id").alias("n"))
 
 
+@query(f"WITH {EV} SELECT value, count(*) AS n FROM ev GROUP BY value")
+def source_fallback(spark, sf_dir):
+    """The first of two places that exists."""
+    path = _as_files(spark, sf_dir)
+    return read_lines(spark, [f"{path}-missing", path]).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _named_files(spark, df, by: list[str], name: Callable[[dict], str], fmt: str = "text", **options) -> str:
+    """A folder with one file for each value of the columns ``by``, called name(values)."""
+    made, out = streams.working_dir(spark, "parts"), streams.working_dir(spark, "named")
+    df.repartition(*by).write.partitionBy(*by).format(fmt).options(**options).save(made)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(made).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path(out))
+    for status in files.globStatus(path(f"{made}/{'*/' * len(by)}part-*")):
+        place = status.getPath().toString().rsplit("/", len(by) + 1)[1:-1]
+        files.rename(status.getPath(), path(f"{out}/{name(dict(x.split('=', 1) for x in place))}"))
+    return out
+
+
+@query("SELECT 'node' || (user_id % 4) AS host, CAST(user_id % 4 AS INTEGER) AS host_no, '20250102_000000' AS run, event_id || ' ' || event_type AS line FROM events WHERE event_id % 3 <> 0")
+def source_logs(spark, sf_dir):
+    """The newest of two logs of each host."""
+    ev = _t(spark, sf_dir, "events")
+    run = F.when(F.col("event_id") % 3 == 0, "20250101_000000").otherwise("20250102_000000")
+    rows = ev.select(F.concat(F.lit("node"), F.col("user_id") % 4).alias("host"), run.alias("run"), F.concat_ws(" ", F.col("event_id").cast("string"), "event_type").alias("value"))
+    return records.read_logs(spark, _named_files(spark, rows, ["host", "run"], lambda x: f"{x['host']}_{x['run']}.log")).drop("line_no")
+
+
+@query("""SELECT CAST(hour(ts) AS INTEGER) AS experiment, CASE WHEN event_id % 2 = 0 THEN 'first' ELSE 'second' END AS system, 'Small_5K' AS dataset, 'Count' AS app, CAST(event_id AS INTEGER) AS run,
+    CAST(user_id AS DOUBLE) AS elapsed_sec, CAST(event_id % 100 AS INTEGER) AS input_tuples, 3 AS output_lines, CAST(user_id AS DOUBLE) AS throughput_tuples_per_sec FROM events""")
+def source_results(spark, sf_dir):
+    runs = _runs(spark, sf_dir, "event_id").select("experiment", "system", F.col("event_id").alias("run"), "elapsed_sec", (F.col("event_id") % 100).alias("input_tuples"), F.lit(3).alias("output_lines"), "throughput_tuples_per_sec")
+    return records.read_results(spark, _named_files(spark, runs, ["experiment", "system"], lambda x: f"exp{x['experiment']}_{x['system']}_Small_5K_Count.csv", "csv", header=True))
+
+
+@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS client, count(*) AS n, count(*) AS last_seq, count(*) AS blocks FROM events GROUP BY 1")
+def appended_files(spark, sf_dir):
+    """Two clients' files appended to one log."""
+    rows, paths = event_lines(spark, sf_dir), {}
+    for k, client in enumerate("ab"):
+        paths[client] = streams.working_dir(spark, "client")
+        sinks.write_lines(rows.where(F.col("key").cast("long") % 2 == k), paths[client])
+    log = appendlog.sequence_appends(multi_append(spark, paths).withColumn("file", F.lit("log")), "id")
+    return log.groupBy("client").agg(F.count(F.lit(1)).alias("n"), F.max("seq").cast("long").alias("last_seq"), F.count_distinct("block").alias("blocks"))
+
+
+@query(f"WITH {EV} SELECT key, value, id FROM ev")
+def paced_lines(spark, sf_dir):
+    rows, out = event_lines(spark, sf_dir), streams.working_dir(spark, "paced")
+    streams.run_stream(paced(rows, rows.count()), out, f"{out}-checkpoint", "at_least_once")
+    return spark.read.parquet(out)
+
+
+# ---- sinks
+
+
+@query(f"WITH {EV} SELECT value FROM ev")
+def sink_lines(spark, sf_dir):
+    """Written twice: what was there is replaced."""
+    out = streams.working_dir(spark, "values")
+    for _ in range(2):
+        sinks.write_lines(event_lines(spark, sf_dir), out)
+    return spark.read.text(out)
+
+
+@query(f"WITH {EV} SELECT value FROM ev")
+def sink_append(spark, sf_dir):
+    out = streams.working_dir(spark, "appended")
+    sinks.append_stream(_stream(spark, sf_dir), out, f"{out}-checkpoint").awaitTermination()
+    return spark.read.text(out)
+
+
+@query(f"WITH {EV} SELECT value, true AS wrote, false AS wrote_nothing FROM ev WHERE contains(value, 'user, 5')")
+def sink_output(spark, sf_dir):
+    out, rows = streams.working_dir(spark, "output"), event_lines(spark, sf_dir)
+    wrote = sinks.output(lines.contains("user, 5")(rows), out)
+    nothing = sinks.output(lines.contains("user, 8")(rows), f"{out}-none")
+    return spark.read.text(out).select("value", F.lit(wrote).alias("wrote"), F.lit(nothing).alias("wrote_nothing"))
+
+
+@query(f"WITH {EV}, {COUNTS} SELECT key || ': ' || n AS value FROM counts ORDER BY n DESC, key")
+def sink_report(spark, sf_dir):
+    out = streams.working_dir(spark, "report")
+    sinks.save_report(aggregate.top(grep_counts(spark, sf_dir)).select(F.concat_ws(": ", "key", F.col("n").cast("string")).alias("value")), out)
+    return spark.read.text(out)
+
+
+# ---- own operators and stage arguments
+
+
+@query(f"WITH {EV} SELECT key, unnest(string_split(value, ',')) AS value, id FROM ev")
+def own_row_op(spark, sf_dir):
+    """An operator of one's own that gives several rows a line."""
+    register_row_op("split_commas", lambda b: b.assign(value=b.value.str.split(",")).explode("value"))
+    return Pipeline(lambda s: event_lines(s, sf_dir), [("split_commas", {})]).frame(spark)
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, CAST(max(event_id) AS VARCHAR) AS value, CAST(count(*) AS VARCHAR) AS id FROM events GROUP BY 1")
+def own_keyed_op(spark, sf_dir):
+    """An operator of one's own with state over a key's lines, flushed at their end."""
+
+    def newest(b):
+        return b.head(1).assign(value=str(b.id.astype("int64").max()), id=str(len(b)))
+
+    register_keyed_op("newest", newest)
+    users = F.col("user_id").cast("string")
+    rows = _t(spark, sf_dir, "events").select(users.alias("key"), users.alias("value"), F.col("event_id").cast("string").alias("id"))
+    return Pipeline(lambda s: rows, [("newest", {})]).frame(spark)
+
+
+@query(f"WITH {EV} SELECT coalesce({FIELDS}[2], '') AS key, regexp_extract(value, '^([^,]*,\"[^\"]*\")', 1) AS value, id FROM ev WHERE regexp_matches(value, 'user, [25]')")
+def stage_arguments(spark, sf_dir):
+    """Arguments by position and by name."""
+    return Pipeline(lambda s: event_lines(s, sf_dir), [("grep", ["user, [25]", 2]), ("transform", {"n": 2})]).frame(spark)
+
+
+@query(f"WITH {EV} SELECT coalesce({FIELDS}[3], '') AS key, count(*) AS n FROM ev GROUP BY 1")
+def repartitioned_count(spark, sf_dir):
+    return Pipeline(lambda s: event_lines(s, sf_dir), [("key_by", [3]), ("repartition", {"n": 4}), ("count", {})]).frame(spark).select("key", "n")
+
+
 # ---- reconciliation
 
 
@@ -216,6 +340,14 @@ def dedup_ids(spark, sf_dir):
     return lines.dedup()(rows.union(rows))
 
 
+@query(f"WITH {EV} SELECT key, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'first ' || value ELSE value END AS value, id, CAST(CAST(id AS BIGINT) % 2 AS INTEGER) AS at FROM ev")
+def dedup_first(spark, sf_dir):
+    """Copies that differ: the earliest of each id stays."""
+    rows = event_lines(spark, sf_dir)
+    earlier = rows.where(F.col("id").cast("long") % 2 == 0).withColumn("value", F.concat(F.lit("first "), "value")).withColumn("at", F.lit(0))
+    return lines.dedup(order="at")(rows.withColumn("at", F.lit(1)).union(earlier).union(rows.withColumn("at", F.lit(2))))
+
+
 def _stream(spark, sf_dir) -> DataFrame:
     own = F.regexp_extract("value", r"^(\d+)", 1)
     return read_lines_stream(spark, _as_files(spark, sf_dir), own, max_files=2)
@@ -238,6 +370,26 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query(f"WITH {EV} SELECT value, count(*) * 2 AS n FROM ev GROUP BY value")
+def stream_without_ids(spark, sf_dir):
+    """Lines that carry no id are all kept, repeats too."""
+    out, path = streams.working_dir(spark, "anonymous"), _as_files(spark, sf_dir)
+    event_lines(spark, sf_dir).select("value").write.mode("append").text(path)
+    streams.run_stream(read_lines_stream(spark, path, max_files=3), out, f"{out}-checkpoint")
+    return spark.read.parquet(out).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {EV} SELECT value, id FROM ev")
+def stream_recovery(spark, sf_dir):
+    """A job stopped after half of its files goes on from its checkpoint, which knows the ids it has seen."""
+    out, path, rows = streams.working_dir(spark, "recovery"), streams.working_dir(spark, "lines"), event_lines(spark, sf_dir).select("value")
+    own = F.regexp_extract("value", r"^(\d+)", 1)
+    for some in (rows.where("xxhash64(value) % 2 = 0"), rows):
+        some.write.mode("append").text(path)
+        streams.run_stream(read_lines_stream(spark, path, own).select("value", "id"), out, f"{out}-checkpoint")
+    return spark.read.parquet(out)
+
+
 @query(f"WITH {EV} SELECT {FIRST3} || ' processed' AS value FROM ev WHERE contains(value, 'user, 2')")
 def stream_pipeline(spark, sf_dir):
     out = streams.working_dir(spark, "pipeline")
@@ -246,41 +398,47 @@ def stream_pipeline(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-# ---- metrics: user_id is the task, event_type the stage
+# ---- metrics: user_id is the task, which two jobs share
+
+
+_JOB = "'job' || (event_id % 2)"
+
+
+def _with_jobs(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "events").select(F.concat(F.lit("job"), F.col("event_id") % 2).alias("job"), F.col("user_id").cast("string").alias("task_id"), "event_id", "user_id", "ts")
 
 
 def _samples(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "events").select(F.lit("job").alias("job"), F.col("user_id").cast("string").alias("task_id"), "ts", F.col("event_id").alias("tuples_processed"), (F.col("user_id") % 11).cast("double").alias("current_rate"))
+    return _with_jobs(spark, sf_dir).select("job", "task_id", "ts", F.col("event_id").alias("tuples_processed"), (F.col("user_id") % 11).cast("double").alias("current_rate"))
 
 
 def _tasks(spark, sf_dir) -> DataFrame:
-    ev = _t(spark, sf_dir, "events")
-    return ev.groupBy(F.col("user_id").cast("string").alias("task_id")).agg((F.max("user_id") % 3).alias("stage"), F.min("ts").alias("started_at")).withColumn("job", F.lit("job")).withColumn("state", F.lit("running"))
+    return _with_jobs(spark, sf_dir).groupBy("job", "task_id").agg((F.max("user_id") % 3).alias("stage"), F.min("ts").alias("started_at")).withColumn("state", F.lit("running"))
 
 
-@query("""WITH p AS (SELECT CAST(user_id AS VARCHAR) AS task_id, date_trunc('second', ts) AS second, CAST(sum(event_id % 100) AS BIGINT) AS in_second FROM events GROUP BY 1, 2),
-    s AS (SELECT CAST(user_id AS VARCHAR) AS task_id, date_trunc('second', min(ts)) AS started FROM events GROUP BY 1)
-    SELECT task_id, epoch_us(second) AS second_us, in_second, CAST(sum(in_second) OVER w AS BIGINT) AS total,
+@query(f"""WITH p AS (SELECT {_JOB} AS job, CAST(user_id AS VARCHAR) AS task_id, date_trunc('second', ts) AS second, CAST(sum(event_id % 100) AS BIGINT) AS in_second FROM events GROUP BY 1, 2, 3),
+    s AS (SELECT {_JOB} AS job, CAST(user_id AS VARCHAR) AS task_id, date_trunc('second', min(ts)) AS started FROM events GROUP BY 1, 2)
+    SELECT job, task_id, epoch_us(second) AS second_us, in_second, CAST(sum(in_second) OVER w AS BIGINT) AS total,
         in_second / coalesce(date_diff('second', lag(second) OVER w, second), 1)::DOUBLE AS rate,
         CASE WHEN date_diff('second', started, second) = 0 THEN NULL ELSE CAST(sum(in_second) OVER w AS DOUBLE) / date_diff('second', started, second) END AS average
-    FROM p JOIN s USING (task_id) WINDOW w AS (PARTITION BY task_id ORDER BY second)""")
+    FROM p JOIN s USING (job, task_id) WINDOW w AS (PARTITION BY job, task_id ORDER BY second)""")
 def task_rates(spark, sf_dir):
-    ev = _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task_id"), "ts", (F.col("event_id") % 100).alias("tuples"))
-    out = metrics.task_rates(ev, _tasks(spark, sf_dir))
+    samples = _with_jobs(spark, sf_dir).select("job", "task_id", "ts", (F.col("event_id") % 100).alias("tuples"))
+    out = metrics.task_rates(samples, _tasks(spark, sf_dir))
     return out.withColumn("second_us", F.unix_micros(F.col("second").cast("timestamp"))).drop("second")
 
 
-@query("""WITH r AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events)
-    SELECT CAST(user_id AS VARCHAR) AS task_id, epoch_us(ts) AS us, event_id AS tuples_processed FROM r WHERE k = 1""")
+@query(f"""WITH r AS (SELECT {_JOB} AS job, user_id, ts, event_id, row_number() OVER (PARTITION BY event_id % 2, user_id ORDER BY ts DESC, event_id) AS k FROM events)
+    SELECT job, CAST(user_id AS VARCHAR) AS task_id, epoch_us(ts) AS us, event_id AS tuples_processed FROM r WHERE k = 1""")
 def latest_metrics(spark, sf_dir):
-    return metrics.latest_metrics(_samples(spark, sf_dir)).select("task_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "tuples_processed")
+    return metrics.latest_metrics(_samples(spark, sf_dir)).select("job", "task_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "tuples_processed")
 
 
-@query("""SELECT user_id % 3 AS stage, count(*) AS tasks, CAST(sum(user_id % 11) AS DOUBLE) AS rate, CAST(sum(n) AS BIGINT) AS tuples
-    FROM (SELECT user_id, max(event_id) AS n FROM events GROUP BY user_id) WHERE user_id % 5 <> 0 GROUP BY 1""")
+@query(f"""WITH r AS (SELECT {_JOB} AS job, user_id, event_id, row_number() OVER (PARTITION BY event_id % 2, user_id ORDER BY ts DESC, event_id) AS k FROM events)
+    SELECT job, user_id % 3 AS stage, count(*) AS tasks, CAST(sum(user_id % 11) AS DOUBLE) AS rate, CAST(sum(event_id) AS BIGINT) AS tuples FROM r WHERE k = 1 AND user_id % 5 <> 0 GROUP BY 1, 2""")
 def stage_rollup(spark, sf_dir):
-    newest = _samples(spark, sf_dir).groupBy("task_id").agg(F.max("tuples_processed").alias("tuples_processed"), F.max("current_rate").alias("current_rate"))
-    return metrics.stage_rollup(newest, _tasks(spark, sf_dir).where("cast(task_id as long) % 5 <> 0"))
+    """Tasks that the table of tasks lacks are left out."""
+    return metrics.stage_rollup(metrics.latest_metrics(_samples(spark, sf_dir)), _tasks(spark, sf_dir).where("cast(task_id as long) % 5 <> 0"))
 
 
 @query(f"SELECT event_id, sum(user_id) OVER (PARTITION BY event_type ORDER BY {US} RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) / 3600.0 AS flow FROM events")
@@ -289,15 +447,17 @@ def flow_rate(spark, sf_dir):
     return metrics.flow_rate(ev, seconds=3600).select("event_id", F.col("flow").cast("double").alias("flow"))
 
 
-@query()
+@query("""WITH m AS (SELECT strftime(ts, '%Y-%m-%d') AS job, user_id % 12 AS task, CAST(floor((epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 60000000) AS BIGINT) AS second, event_id AS tuples, CAST(user_id % 23 AS DOUBLE) AS rate FROM events),
+    l AS (SELECT job, second, task % 4 AS stage, task, max(tuples) AS tuples, arg_max(rate, tuples) AS rate FROM m WHERE task % 4 > 0 GROUP BY ALL),
+    s AS (SELECT job, second, stage, count(*) AS n, sum(rate) / count(*) AS average FROM l WHERE tuples > 0 GROUP BY ALL HAVING sum(tuples) >= 50)
+    SELECT job, second, stage, n, average, CASE WHEN average > 12 THEN 'up' ELSE 'down' END AS action FROM s WHERE average > 12 OR average < 8 AND n > 1""")
 def scaling_decisions(spark, sf_dir):
-    """Days of events as seconds of jobs; checked against a Python model in the tests."""
-    ev = _t(spark, sf_dir, "events")
+    """Days as jobs, their minutes as seconds."""
     day = F.date_trunc("day", "ts")
     at = F.timestamp_seconds(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(day.cast("timestamp"))) / 60_000_000))
-    rows = ev.select(F.date_format(day, "yyyy-MM-dd").alias("job"), (F.col("user_id") % 12).cast("string").alias("task_id"), at.alias("ts"), F.col("event_id").alias("tuples_processed"), F.abs("value").alias("current_rate"))
-    tasks = rows.groupBy("job", "task_id").agg(F.min("ts").alias("started_at")).withColumn("stage", (F.col("task_id").cast("long") % 4)).withColumn("state", F.lit("running"))
-    return metrics.scaling_decisions(rows, tasks, 20.0, 60.0)
+    rows = _t(spark, sf_dir, "events").select(F.date_format(day, "yyyy-MM-dd").alias("job"), (F.col("user_id") % 12).cast("string").alias("task_id"), at.alias("ts"), F.col("event_id").alias("tuples_processed"), (F.col("user_id") % 23).cast("double").alias("current_rate"))
+    tasks = rows.groupBy("job", "task_id").agg(F.min("ts").alias("started_at")).withColumn("stage", F.col("task_id").cast("long") % 4).withColumn("state", F.lit("running"))
+    return metrics.scaling_decisions(rows, tasks, 8.0, 12.0)
 
 
 _TASK_EVENTS = "t AS (SELECT user_id % 20 AS job, user_id AS task_id, CASE event_id % 4 WHEN 0 THEN 'start' WHEN 1 THEN 'end' WHEN 2 THEN 'restart' ELSE 'failed' END AS event, ts FROM events)"
@@ -321,12 +481,12 @@ def job_timeline(spark, sf_dir):
     return _as_text(out, "started_us", "ended_us", "duration_us")
 
 
-@query("""WITH r AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
-    SELECT user_id AS task_id, event_type AS op, CASE event_id % 4 WHEN 0 THEN 'idle' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'completed' END AS state, 'node' || (user_id % 5) AS host FROM r
-    WHERE k = 1 AND event_id % 4 <> 0 AND event_id % 4 = 1""")
+@query(f"""WITH r AS (SELECT {_JOB} AS job, user_id, event_type, event_id, row_number() OVER (PARTITION BY event_id % 2, user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+    SELECT job, user_id AS task_id, event_type AS op, 'running' AS state, 'node' || (user_id % 5) AS host FROM r WHERE k = 1 AND event_id % 4 = 1""")
 def task_list(spark, sf_dir):
     state = F.element_at(F.array(*[F.lit(x) for x in ("idle", "running", "failed", "completed")]), (F.col("event_id") % 4 + 1).cast("int"))
-    ev = _t(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("op"), state.alias("state"), F.concat(F.lit("node"), F.col("user_id") % 5).alias("host"), "ts", F.col("event_id").alias("seq"))
+    job = F.concat(F.lit("job"), F.col("event_id") % 2)
+    ev = _t(spark, sf_dir, "events").select(job.alias("job"), F.col("user_id").alias("task_id"), F.col("event_type").alias("op"), state.alias("state"), F.concat(F.lit("node"), F.col("user_id") % 5).alias("host"), "ts", F.col("event_id").alias("seq"))
     return metrics.task_list(ev, state="running").drop("ts")
 
 
@@ -359,16 +519,15 @@ def log_preview(spark, sf_dir):
 
 
 _HOSTS = "h AS (SELECT DISTINCT source AS host, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS host_no FROM documents)"
-_REPORT = f"""{_HOSTS}, m AS (SELECT source AS host, count(*) AS n, array_to_string(list(left(text, 40) ORDER BY doc_id)[1:5], chr(10)) AS f FROM documents WHERE regexp_matches(text, 'rights reserved') GROUP BY 1),
+_REPORT = f"""{_HOSTS}, m AS (SELECT source AS host, count(*) AS n, md5(array_to_string(list(text ORDER BY doc_id)[1:5], chr(10))) AS f FROM documents WHERE regexp_matches(text, 'rights reserved') GROUP BY 1),
     r AS (SELECT h.host, host_no, CASE WHEN host_no <> 3 THEN coalesce(n, 0) END AS matches, f AS first_lines, CASE WHEN host_no = 3 THEN 'unreachable' WHEN coalesce(n, 0) = 0 THEN 'No matches' ELSE 'ok' END AS status FROM h LEFT JOIN m ON h.host = m.host)"""
 
 
 def _report(spark, sf_dir):
+    """The report over whole lines; the lines themselves as a digest."""
     rows = _logs(spark, sf_dir)
     hosts = rows.select("host", "host_no").distinct().withColumn("reachable", F.col("host_no") != 3)
-    found = rows.where(F.col("line").rlike("rights reserved")).withColumn("line", F.concat(F.lit("rights reserved:"), F.left("line", F.lit(40))))
-    out = logs.log_report(found, hosts, "rights reserved")
-    return out.withColumn("first_lines", F.replace("first_lines", F.lit("rights reserved:"), F.lit("")))
+    return logs.log_report(rows, hosts, "rights reserved").withColumn("first_lines", F.md5("first_lines"))
 
 
 @query(f"WITH {_REPORT} SELECT host, host_no, CAST(matches AS VARCHAR) AS matches, first_lines, status FROM r")
@@ -433,6 +592,13 @@ def placement_of(spark, sf_dir):
     return placement.place(_files(spark, sf_dir), _nodes(spark, sf_dir)).select("file", "rank", "node")
 
 
+@query(f"""WITH {_RING.format(where="true").replace("sha256", "sha1")} SELECT file, rank, node FROM (SELECT 'doc-' || doc_id AS file, generate_subscripts(p, 1)::INTEGER - 1 AS rank, unnest(p).node AS node FROM
+    (SELECT doc_id, list_concat(list_filter(r, lambda x: x.h >= left(sha1('doc-' || doc_id), 16)), list_filter(r, lambda x: x.h < left(sha1('doc-' || doc_id), 16)))[1:3] AS p FROM documents, ring))""")
+def placement_sha1(spark, sf_dir):
+    """The SHA-1 ring holds nodes whether alive or not."""
+    return placement.place(_files(spark, sf_dir), _nodes(spark, sf_dir), alive_only=False, algo="sha1").select("file", "rank", "node")
+
+
 @query(f"""WITH {_RING.format(where="n_nationkey % 6 <> 5")}, ring2 AS (SELECT list_filter(r, lambda x: x.node <> 'node-7') AS r FROM ring),
     {_PLACED.format(name="a", ring="ring")}, {_PLACED.format(name="b", ring="ring2")}
     SELECT coalesce(a.file, b.file) AS file, coalesce(a.node, b.node) AS node, CASE WHEN a.file IS NULL THEN 'added' ELSE 'removed' END AS change
@@ -477,7 +643,7 @@ def merge_replicas(spark, sf_dir):
     return appendlog.merge_replicas(_blocks(spark, sf_dir))
 
 
-@query(f"WITH {_MERGED} SELECT file, string_agg(content, '' ORDER BY block) AS content FROM mg GROUP BY file")
+@query(f"WITH {_MERGED} SELECT file, CAST(0 AS BIGINT) AS part, string_agg(content, '' ORDER BY block) AS content FROM mg GROUP BY file")
 def assemble(spark, sf_dir):
     return appendlog.assemble(appendlog.merge_replicas(_blocks(spark, sf_dir)))
 
@@ -498,7 +664,7 @@ def client_progress(spark, sf_dir):
     return appendlog.client_progress(_blocks(spark, sf_dir)).select("file", shown.alias("clients"))
 
 
-@query(f"WITH {_BLOCKS} SELECT file, string_agg(content, '' ORDER BY client, seq) AS content FROM bl WHERE node = 'b' GROUP BY file")
+@query(f"WITH {_BLOCKS} SELECT file, CAST(0 AS BIGINT) AS part, string_agg(content, '' ORDER BY client, seq) AS content FROM bl WHERE node = 'b' GROUP BY file")
 def replica_copy(spark, sf_dir):
     return appendlog.replica_copy(_blocks(spark, sf_dir), "b")
 
@@ -530,17 +696,23 @@ def liveness(spark, sf_dir):
 
 
 _MEMBERS = """cur AS (SELECT CAST(user_id AS VARCHAR) AS id, 'host' || (user_id % 40) AS host, CAST(8000 + user_id % 3 AS INTEGER) AS port, min(event_id) AS version, max(ts) AS ts, count(*) AS counter,
-    CASE user_id % 4 WHEN 0 THEN 'Failed' WHEN 1 THEN 'Suspected' ELSE 'Alive' END AS state FROM events WHERE user_id % 5 <> 0 GROUP BY user_id)"""
+    CASE user_id % 4 WHEN 0 THEN 'Failed' WHEN 1 THEN 'Suspected' ELSE 'Alive' END AS state FROM events GROUP BY user_id)"""
+_KNOWN = _MEMBERS.replace("GROUP BY user_id", "WHERE user_id % 5 <> 0 GROUP BY user_id")
 _INCOMING = """inc AS (SELECT CAST(user_id AS VARCHAR) AS id, 'host' || (user_id % 40) AS host, CAST(CASE WHEN user_id % 9 = 0 THEN 0 ELSE 8000 + user_id % 3 END AS INTEGER) AS port, min(event_id) AS version, min(ts) AS ts,
     count(*) + user_id % 3 - 1 AS counter, CASE user_id % 3 WHEN 0 THEN 'Failed' ELSE 'Alive' END AS state FROM events WHERE user_id % 7 <> 0 GROUP BY user_id)"""
 
 
 def _members(spark, sf_dir) -> DataFrame:
     state = F.when(F.col("user_id") % 4 == 0, "Failed").when(F.col("user_id") % 4 == 1, "Suspected").otherwise("Alive")
-    rows = _t(spark, sf_dir, "events").where("user_id % 5 <> 0").groupBy("user_id").agg(F.min("event_id").alias("version"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("counter"))
+    rows = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("version"), F.max("ts").alias("ts"), F.count(F.lit(1)).alias("counter"))
     return rows.select(F.col("user_id").cast("string").alias("id"), F.concat(F.lit("host"), F.col("user_id") % 40).alias("host"), (F.col("user_id") % 3 + 8000).cast("int").alias("port"), "version", "ts", "counter", state.alias("state"))
 
 
+def _known(spark, sf_dir) -> DataFrame:
+    """Members without some, so that there are unknown ones."""
+    return _members(spark, sf_dir).where("cast(id as long) % 5 <> 0")
+
+
 def _incoming(spark, sf_dir) -> DataFrame:
     rows = _t(spark, sf_dir, "events").where("user_id % 7 <> 0").groupBy("user_id").agg(F.min("event_id").alias("version"), F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n"))
     port = F.when(F.col("user_id") % 9 == 0, 0).otherwise(F.col("user_id") % 3 + 8000).cast("int")
@@ -551,11 +723,11 @@ def _shown(members: DataFrame) -> DataFrame:
     return members.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
-@query(f"""WITH {_MEMBERS}, {_INCOMING}, j AS (SELECT cur AS a, inc AS b FROM cur FULL JOIN (SELECT * FROM inc WHERE port <> 0) inc ON cur.id = inc.id WHERE cur.id IS NOT NULL OR inc.state <> 'Failed'),
+@query(f"""WITH {_KNOWN}, {_INCOMING}, j AS (SELECT cur AS a, inc AS b FROM cur FULL JOIN (SELECT * FROM inc WHERE port <> 0) inc ON cur.id = inc.id WHERE cur.id IS NOT NULL OR inc.state <> 'Failed'),
     m AS (SELECT CASE WHEN a IS NULL OR a.id IS NULL OR coalesce(b.state = 'Failed' AND a.state <> 'Failed', false) OR coalesce(b.counter > a.counter, false) THEN b ELSE a END AS m FROM j)
     SELECT m.id, m.host, m.port, m.version, epoch_us(m.ts) AS ts, m.counter, m.state FROM m""")
 def merge_members(spark, sf_dir):
-    return _shown(fleet.merge_members(_members(spark, sf_dir), _incoming(spark, sf_dir)))
+    return _shown(fleet.merge_members(_known(spark, sf_dir), _incoming(spark, sf_dir)))
 
 
 @query(f"WITH {_MEMBERS} SELECT id, state FROM cur WHERE NOT (state = 'Failed' AND epoch_us({_AS_OF}) - epoch_us(ts) > 3600000000)")
@@ -568,10 +740,10 @@ def latest_incarnation(spark, sf_dir):
     return fleet.latest_incarnation(_members(spark, sf_dir)).select("host", "port", "id", "version")
 
 
-@query(f"""WITH {_MEMBERS}, b AS (SELECT CAST(user_id AS VARCHAR) AS id, count(*) AS n, max(ts) AS t FROM events GROUP BY 1)
+@query(f"""WITH {_KNOWN}, b AS (SELECT CAST(user_id AS VARCHAR) AS id, count(*) AS n, max(ts) AS t FROM events GROUP BY 1)
     SELECT cur.id, counter + CASE WHEN state <> 'Failed' THEN coalesce(n, 0) ELSE 0 END AS counter, state FROM cur LEFT JOIN b ON cur.id = b.id""")
 def heartbeats(spark, sf_dir):
-    return fleet.apply_heartbeats(_members(spark, sf_dir), _beats(spark, sf_dir)).select("id", "counter", "state")
+    return fleet.apply_heartbeats(_known(spark, sf_dir), _beats(spark, sf_dir)).select("id", "counter", "state")
 
 
 @query(f"WITH {_MEMBERS} SELECT id, left(sha256(id), 16) AS ring FROM cur WHERE state = 'Alive' ORDER BY ring")
@@ -590,10 +762,10 @@ def members_by_host(spark, sf_dir):
 _RUNS = "r AS (SELECT hour(ts) AS experiment, CASE WHEN event_id % 2 = 0 THEN 'first' ELSE 'second' END AS system, CAST(user_id AS DOUBLE) AS x FROM events)"
 
 
-def _runs(spark, sf_dir) -> DataFrame:
+def _runs(spark, sf_dir, *more: str) -> DataFrame:
     system = F.when(F.col("event_id") % 2 == 0, "first").otherwise("second")
     x = F.col("user_id").cast("double")
-    return _t(spark, sf_dir, "events").select(F.hour("ts").cast("long").alias("experiment"), system.alias("system"), x.alias("throughput_tuples_per_sec"), x.alias("elapsed_sec"))
+    return _t(spark, sf_dir, "events").select(F.hour("ts").cast("long").alias("experiment"), system.alias("system"), x.alias("throughput_tuples_per_sec"), x.alias("elapsed_sec"), *more)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -614,3 +786,10 @@ def elapsed_summary(spark, sf_dir):
 @query()
 def skew_report(spark, sf_dir):
     return aggregate.skew_report(_t(spark, sf_dir, "events"), "user_id", 16)
+
+
+@query("SELECT CAST(16 AS BIGINT) AS buckets, CAST(count(*) AS BIGINT) AS rows, count(*) / 16.0::DOUBLE AS fair_share, true AS low_under_half FROM events")
+def skew_totals(spark, sf_dir):
+    """What holds of the report whatever the hash."""
+    low = F.bool_and(F.col("low") == (F.col("rows") * 2 < F.col("fair_share")))
+    return skew_report(spark, sf_dir).agg(F.count(F.lit(1)).alias("buckets"), F.sum("rows").alias("rows"), F.max("fair_share").alias("fair_share"), low.alias("low_under_half"))

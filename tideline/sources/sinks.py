@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+
+def put_in_place(spark: SparkSession, made: str, path: str) -> None:
+    """Rename a finished folder to ``path``, in place of what is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(made), jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+    files.delete(target, True)
+    if not files.rename(source, target):
+        raise OSError(f"{made} could not be renamed to {path}")
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -11,11 +24,19 @@ def write_lines(df: DataFrame, path: str) -> None:
 
 
 def output(df: DataFrame, path: str) -> bool:
-    """write_lines, but nothing is written for an empty result; whether it wrote."""
-    if df.isEmpty():
-        return False
-    write_lines(df, path)
-    return True
+    """write_lines, but nothing is written for an empty result; whether it wrote.
+
+    Rows are counted as they are written, beside ``path``, so the input is computed once.
+    """
+    seen, made = Observation(), f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    write_lines(df.select("value").observe(seen, F.count(F.lit(1)).alias("n")), made)
+    spark = df.sparkSession
+    if seen.get["n"]:
+        put_in_place(spark, made, path)
+        return True
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return False
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "text", every: str | None = None):

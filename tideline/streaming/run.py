@@ -1,4 +1,4 @@
-"""Running streams: checkpoints, delivery modes, final results, stateful rules."""
+"""Running streams: checkpoints, delivery modes, final results, stateful operators."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideline.operators.lines import dedup
-from tideline.operators.metrics import ScalingRules
+from tideline.sources.sinks import put_in_place
 
 _OWN: dict[str, str] = {}
 
@@ -48,14 +48,15 @@ def run_stream(stream: DataFrame, path: str, checkpoint: str, delivery: str = "e
 def run_counts(counts: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
     """Keep a streaming aggregate in Parquet at ``path``.
 
-    ``complete`` overwrites the table with the whole result after each batch, which is what is
-    flushed at the end of the input. ``update`` appends the rows that changed, with their batch.
+    ``complete`` replaces the table by the whole result after each batch, which is what is flushed at
+    the end of the input; the new table is written beside the old one and takes its place when whole. ``update`` appends the rows that changed, with their batch.
     The aggregate's state lives in the checkpoint together with the offsets.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         if mode == "complete":
-            batch.write.mode("overwrite").parquet(path)
+            batch.write.mode("overwrite").parquet(f"{path}.next")
+            put_in_place(batch.sparkSession, f"{path}.next", path)
         else:
             batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(path)
 
@@ -67,42 +68,6 @@ def running_count(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
-def scaling_stream(seconds: DataFrame, low: float, high: float) -> DataFrame:
-    """Scaling decisions over a stream of stage seconds (job, second, stage, n, rate, tuples, planned, start).
-
-    A job's rules are state; seconds are taken in order within each micro-batch, and seconds that
-    come after a later one has been taken are ignored.
-    """
-    columns = ["job", "second", "stage", "action", "tasks", "average"]
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["second", "stage"])
-        rules = ScalingRules(int(rows.start.iloc[0]), {}, low, high)
-        seen = -1
-        if state.exists:
-            start, seen, stages = state.get
-            rules.start = start
-            for stage, planned, last, since in stages:
-                rules.planned[stage] = planned
-                if last >= 0:
-                    rules.last[stage] = last
-                if since >= 0:
-                    rules.low_since[stage] = since
-        for stage, planned in zip(rows.stage.astype(int), rows.planned.astype(int)):
-            rules.planned.setdefault(stage, planned)
-        out = []
-        for second, part in rows[rows.second > seen].groupby("second", sort=True):
-            seen = int(second)
-            if found := rules.second(seen, list(part[["stage", "n", "rate", "tuples"]].itertuples(index=False, name=None))):
-                out.append((key[0], seen, *found))
-        state.update((rules.start, seen, [(s, p, rules.last.get(s, -1), rules.low_since.get(s, -1)) for s, p in rules.planned.items()]))
-        yield pd.DataFrame(out, columns=columns)
-
-    return seconds.groupBy("job").applyInPandasWithState(
-        step, "job string, second long, stage long, action string, tasks long, average double", "start long, seen long, stages array<struct<stage:long,planned:long,last:long,since:long>>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def liveness_stream(beats: DataFrame, t_fail: float, t_suspect: float | None = None) -> DataFrame:
     """Changes of state of each member of a stream beats(id, ts), by processing time.
 
