@@ -45,7 +45,10 @@ def test_gradient_matches_differences():
     for k in net.w:
         net.w[k] = rng.normal(0, 0.3, net.w[k].shape)
     context, target = rng.integers(0, lm_scoring.CLASSES + 1, (50, 4)), rng.integers(0, lm_scoring.CLASSES, 50)
-    slope = net.gradient(context, target)
+    slope, embed = net.gradient(context, target)
+    slope["embed"] = np.zeros_like(net.w["embed"])
+    for k, (classes, g) in enumerate(embed):
+        slope["embed"][k][classes] = g
     for k, x in net.w.items():
         for _ in range(3):
             at = tuple(rng.integers(0, n) for n in x.shape)
@@ -68,3 +71,5 @@ def test_edges(spark):
     assert sorted(r.n_words for r in got) == [0, 0, 0, 1, 1, 2]
     assert all((r.mean_log_prob is None) == (r.n_words == 0) and np.isfinite(r.log_prob) for r in got)
     assert lm_scoring.fit_and_score(docs.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "many words " * 300_000), (2, "many words")], "doc_id long, text string")
+    assert {r.doc_id: r.n_words for r in lm_scoring.fit_and_score(long).collect()} == {1: 600_000, 2: 2}

@@ -3,20 +3,23 @@
 Words of the whole corpus are counted. The network's classes are the most frequent ones and a number
 of hash buckets for all others; a word in a bucket has the share of the bucket's count that its own
 count is, so every word of the corpus has its own probability. The counts of the most frequent
-``KNOWN`` words are broadcast, those of all others are joined by word. The network sums one embedding for each of the ``2 * reach`` neighbours
-of a masked word, applies tanh, and predicts the word by a two-level softmax (a group, then a member
-of it), so probabilities are normalised over the whole vocabulary. A document's score is the sum of
-the log-probabilities of its words given the words around them.
-
-Training is one pass of Adagrad over the corpus, in numpy, in as many tasks as the scan has: every
-task starts from the same unigram model, learns from its own documents (every word of each is a target, once) and writes its weights to the shared folder, and the
-weights are averaged by number of targets, in rounds of 32 so that neither a task nor the driver
-ever holds more than that.
-
-A word that the counts lack has the share of a count of one.
+``KNOWN`` words are broadcast, those of all others are joined by word. The network sums one embedding
+for each of the ``2 * reach`` neighbours of a masked word, applies tanh, and predicts the word by a
+two-level softmax (a group, then a member of it), so probabilities are normalised over the whole
+vocabulary. A document's score is the sum of the log-probabilities of its words given the words
+around them.
+
+Training is one pass of Adagrad over the corpus, in numpy. Documents are dealt by a hash of their id
+and text into shards of about ``SHARD_WORDS`` words, ``MOST_SHARDS`` at most; a shard starts from the
+unigram model and takes its documents in the order of that hash, every word a target, once, in batches
+of ``BATCH``. Its weights go to the shared folder, and are averaged by number of targets in rounds of
+``ROUND``, so that neither a task nor the driver ever holds more than that. Neither files nor partitions
+nor the number of executors have a say in the model.
 
 Cases: null, empty and wordless texts have no words, log_prob 0 and no mean; an empty corpus leaves
-the unigram model; repeated rows count, and score, each.
+the unigram model; repeated rows count, and score, each; a word that the counts lack has the share of
+a count of one; texts of any length are taken in slices of about 1 MB and one text at least; columns
+other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,13 +32,15 @@ from pyspark.sql import functions as F
 from tideline.llm import textwords
 from tideline.llm.common import Scratch
 
-GROUPS = 32
+GROUPS = 64
 CLASSES = GROUPS * GROUPS
-RARE = 64
+RARE = 256
 REACH, WIDTH = 2, 24
 #: Words whose counts each task has at hand; the rest of the corpus' words are joined.
 KNOWN = 1 << 18
 BATCH = 4096
+#: Words of a training shard, until that makes MOST_SHARDS of them; weights averaged at a time.
+SHARD_WORDS, MOST_SHARDS, ROUND = 1 << 21, 4096, 8
 
 
 class Vocabulary:
@@ -54,6 +59,8 @@ class Vocabulary:
         p[: len(counts)] += counts
         p[CLASSES - RARE :] += in_buckets
         self.in_buckets = in_buckets
+        self.once = np.zeros(CLASSES)
+        self.once[: len(counts)] = counts == 1
         self.unigram = p / p.sum()
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
@@ -114,7 +121,8 @@ class Network:
         log_prob[order] += np.log(b[every, member[order]] + 1e-30)
         return log_prob, hidden, a, b, order, cuts
 
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+    def gradient(self, context: np.ndarray, target: np.ndarray):
+        """({name: slope}, [(classes, their slopes) for each neighbour's embeddings])."""
         w, n = self.w, np.float32(len(target))
         _, hidden, a, b, order, cuts = self.forward(context, target)
         every = np.arange(len(target))
@@ -132,13 +140,29 @@ class Network:
         back[order] += from_members
         back *= (1 - hidden * hidden) / n
         out["shift"] = back.sum(axis=0)
-        out["embed"] = np.zeros_like(w["embed"])
+        embed = []
         for k in range(2 * REACH):  # sums of each class's rows
             by_class = np.argsort(context[:, k].astype(np.int16), kind="stable")
             classes = context[by_class, k]
             begins = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
-            out["embed"][k][classes[begins]] = np.add.reduceat(back[by_class], begins, axis=0)
-        return out
+            embed.append((classes[begins], np.add.reduceat(back[by_class], begins, axis=0)))
+        return out, embed
+
+
+class Adagrad:
+    def __init__(self, net: Network, rate: float):
+        self.net, self.rate = net, np.float32(rate)
+        self.square = {k: np.full_like(x, 1e-4) for k, x in net.w.items()}
+
+    def step(self, context: np.ndarray, target: np.ndarray) -> None:
+        dense, embed = self.net.gradient(context, target)
+        for k, g in dense.items():
+            self.square[k] += g * g
+            self.net.w[k] -= self.rate * g / np.sqrt(self.square[k])
+        for k, (classes, g) in enumerate(embed):  # the classes of a batch alone
+            square = self.square["embed"][k][classes] + g * g
+            self.square["embed"][k][classes] = square
+            self.net.w["embed"][k][classes] -= self.rate * g / np.sqrt(square)
 
 
 def windows(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -162,51 +186,82 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
+class Shard:
+    """The training of one shard; what it learns depends on the words alone, not on how they come in."""
+
+    def __init__(self, vocabulary: Vocabulary, rate: float):
+        self.vocabulary, self.net = vocabulary, Network(vocabulary.unigram)
+        self.adagrad, self.seen, self.held, self.context, self.target = Adagrad(self.net, rate), 0, 0, [], []
+
+    def add(self, texts: pa.Array) -> None:
+        _, _, _, _, hashes, first = textwords.words(texts)
+        classes = self.vocabulary.classes(hashes)
+        self.context.append(windows(classes, first))
+        self.target.append(classes)
+        self.held += len(classes)
+        if self.held >= 16 * BATCH:
+            self._learn(self.held // (16 * BATCH) * (16 * BATCH))
+
+    def _learn(self, n: int) -> None:
+        context, target = np.concatenate(self.context), np.concatenate(self.target)
+        for begin in range(0, n, 16 * BATCH):
+            order = begin + np.random.default_rng(self.seen).permutation(min(n - begin, 16 * BATCH))
+            for at in range(0, len(order), BATCH):
+                some = order[at : at + BATCH]
+                self.adagrad.step(context[some], target[some])
+            self.seen += len(order)
+        self.context, self.target, self.held = [context[n:]], [target[n:]], self.held - n
+
+    def weights(self) -> tuple[int, bytes]:
+        if self.held:
+            self._learn(self.held)
+        return self.seen, self.net.flat().astype("<f4").tobytes()
+
+
+WEIGHTS = "shard long, n long, weights binary"
+
+
 def _train(vocabulary, rate: float):
-    def run(batches):
-        net = Network(vocabulary.value.unigram)
-        square = {k: np.full_like(x, 1e-4) for k, x in net.w.items()}
-        held_c, held_t, held, seen = [], [], 0, 0
+    """Weights of each shard of rows sorted by shard."""
 
-        def step(context, target):
-            for k, g in net.gradient(context, target).items():
-                square[k] += g * g
-                net.w[k] -= rate * g / np.sqrt(square[k])
+    def row(shard, state):
+        n, weights = state.weights()
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([n], pa.int64()), pa.array([weights], pa.binary())], names=["shard", "n", "weights"])
 
+    def run(batches):
+        now, state = None, None
         for batch in batches:
-            for part in textwords.slices(batch, "text"):
-                _, _, _, _, hashes, first = textwords.words(part.column("text"))
-                classes = vocabulary.value.classes(hashes)
-                held_c.append(windows(classes, first))
-                held_t.append(classes)
-                held += len(classes)
-                if held >= 16 * BATCH:
-                    context, target = np.concatenate(held_c), np.concatenate(held_t)
-                    order = np.random.default_rng(seen).permutation(held)
-                    for at in range(0, held, BATCH):
-                        some = order[at : at + BATCH]
-                        step(context[some], target[some])
-                    seen, held_c, held_t, held = seen + held, [], [], 0
-        if held:
-            context, target = np.concatenate(held_c), np.concatenate(held_t)
-            order = np.random.default_rng(seen).permutation(held)
-            for at in range(0, held, BATCH):
-                some = order[at : at + BATCH]
-                step(context[some], target[some])
-        if seen + held:
-            yield pa.RecordBatch.from_arrays([pa.array([seen + held], pa.int64()), pa.array([net.flat().astype("<f4").tobytes()], pa.binary())], names=["n", "weights"])
+            shards = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a and shards[a] != now:
+                    if state is not None:
+                        yield row(now, state)
+                    now, state = int(shards[a]), Shard(vocabulary.value, rate)
+                for part in textwords.slices(batch.slice(a, b - a), "text"):
+                    state.add(part.column("text"))
+        if state is not None:
+            yield row(now, state)
 
     return run
 
 
 def _average(batches):
-    total, n = None, 0
+    """One row for each run of rows with the same shard."""
+    now, total, n = None, None, 0
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([n], pa.int64()), pa.array([(total / max(1, n)).astype("<f4").tobytes()], pa.binary())], names=["shard", "n", "weights"])
+
     for batch in batches:
-        for k, w in zip(batch.column("n").to_pylist(), batch.column("weights").to_pylist()):
+        for shard, k, w in zip(batch.column("slot").to_pylist(), batch.column("n").to_pylist(), batch.column("weights").to_pylist()):
+            if total is not None and shard != now:
+                yield row()
+                total, n = None, 0
             part = np.frombuffer(w, "<f4").astype(np.float64) * k
-            total, n = (part if total is None else total + part), n + k
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], names=["n", "weights"])
+            now, total, n = shard, (part if total is None else total + part), n + k
+    if total is not None:
+        yield row()
 
 
 class Counts:
@@ -234,9 +289,9 @@ def count_words(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def fit(docs: DataFrame, rate: float = 0.1, counts: DataFrame | None = None) -> tuple[Vocabulary, Network]:
+    """The model of ``docs(doc_id, text)``; counts: those of ``count_words``, made where absent."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
     own = count_words(docs, scratch) if counts is None else None
     counts = own if counts is None else counts
     buckets = counts.groupBy(F.pmod("word", F.lit(RARE)).alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
@@ -245,24 +300,35 @@ def fit(docs: DataFrame, rate: float = 0.1, counts: DataFrame | None = None) ->
     in_buckets = np.zeros(RARE)
     for r in buckets:
         in_buckets[r["bucket"]] = r["n"]
+    total = int(in_buckets.sum())
     in_buckets -= np.bincount((hashes % np.uint64(RARE)).astype(np.int64), frequent, RARE)
     vocabulary = Vocabulary(hashes, frequent, in_buckets, sum(r["words"] for r in buckets))
     shared = spark.sparkContext.broadcast(vocabulary)
-    trained = scratch.saved(texts.mapInArrow(_train(shared, rate), "n long, weights binary"), "weights")
-    while (rows := trained.count()) > 32:
-        some = trained.withColumn("slot", F.pmod(F.xxhash64("weights"), F.lit(-(-rows // 16)))).repartition(-(-rows // 16), "slot").select("n", "weights")
-        trained = scratch.saved(some.mapInArrow(_average, "n long, weights binary"), "weights")
-    parts = sorted((r["weights"], r["n"]) for r in trained.collect())
-    net = Network(vocabulary.unigram)
-    if parts:
-        n = sum(k for _, k in parts)
-        net.load(sum(np.frombuffer(w, "<f4").astype(np.float64) * (k / n) for w, k in parts))
+
+    shards = min(MOST_SHARDS, max(1, -(-total // SHARD_WORDS)))
+    place = F.xxhash64("doc_id", "text", F.lit(11))
+    dealt = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text <> ''").withColumn("place", place)
+    dealt = dealt.withColumn("shard", F.pmod("place", F.lit(shards))).select("shard", "place", "text")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place", "text")
+    trained = scratch.saved(dealt.select("shard", "text").mapInArrow(_train(shared, rate), WEIGHTS), "weights")
+    while (rows := trained.count()) > ROUND:
+        slots = -(-rows // ROUND)
+        some = trained.withColumn("slot", F.pmod("shard", F.lit(slots)).cast("long")).repartition(slots, "slot").sortWithinPartitions("slot", "shard")
+        before, trained = trained, scratch.saved(some.select("slot", "n", "weights").mapInArrow(_average, WEIGHTS), "weights")
+        scratch.drop(before)
+    net, parts = Network(vocabulary.unigram), sorted((r["shard"], r["n"], r["weights"]) for r in trained.collect())
+    if n := sum(k for _, k, _ in parts):
+        net.load(sum(np.frombuffer(w, "<f4").astype(np.float64) * (k / n) for _, k, w in parts))
     scratch.drop(*([own] if own is not None else []), trained)
     return vocabulary, net
 
 
 def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: DataFrame | None = None) -> DataFrame:
-    """(doc_id, n_words, log_prob, mean_log_prob) of every row; counts: those of ``count_words``."""
+    """(doc_id, n_words, log_prob, mean_log_prob, n_single) of every row.
+
+    counts: those of ``count_words``. n_single: the words that the whole corpus has only once (0 where
+    no counts are given).
+    """
     spark = docs.sparkSession
     known = Counts(counts) if counts is not None else None
     shared = spark.sparkContext.broadcast((vocabulary, net, (known.keys, known.logs) if known else None))
@@ -274,7 +340,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: DataFra
             for part in textwords.slices(batch, "text"):
                 _, _, _, _, hashes, first = textwords.words(part.column("text"))
                 classes = vocabulary.classes(hashes)
-                context, logs = windows(classes, first), np.zeros(len(classes))
+                context, logs, single = windows(classes, first), np.zeros(len(classes)), np.zeros(len(classes))
                 for at in range(0, len(classes), BATCH):
                     logs[at : at + BATCH] = net.forward(context[at : at + BATCH], classes[at : at + BATCH])[0]
                 rare, others = np.flatnonzero(classes >= CLASSES - RARE), np.zeros(0, np.int64)
@@ -282,25 +348,29 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: DataFra
                     logs[rare] -= vocabulary.rare_cost
                 else:
                     keys, counted = known
+                    single = vocabulary.once[classes]
                     logs[rare] -= np.log1p(vocabulary.in_buckets)[classes[rare] - (CLASSES - RARE)]
                     at = np.minimum(np.searchsorted(keys, hashes[rare]), max(0, len(keys) - 1))
                     found = keys[at] == hashes[rare] if len(keys) else np.zeros(len(rare), bool)
                     logs[rare[found]] += counted[at[found]]
+                    single[rare[found]] = counted[at[found]] == 0
                     others = rare[~found]
                 n = np.diff(first)
-                sums = np.bincount(np.repeat(np.arange(part.num_rows), n), logs, part.num_rows).astype(np.float64)
+                row = np.repeat(np.arange(part.num_rows), n)
+                sums = np.bincount(row, logs, part.num_rows).astype(np.float64)
+                singles = np.bincount(row, single, part.num_rows).astype(np.int64)
                 words = pa.ListArray.from_arrays(pa.array(np.searchsorted(others, first), pa.int32()), pa.array(hashes[others].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums), words], names=["doc_id", "n_words", "log_prob", "others"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums), pa.array(singles), words], names=["doc_id", "n_words", "log_prob", "n_single", "others"])
 
-    scored = docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, log_prob double, others array<long>")
+    scored = docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, log_prob double, n_single long, others array<long>")
     if known is not None:
         scored = Scratch(spark).saved(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # fixes the row numbers
         # no count of these words is large, so no word's rows are many
         occurs = scored.select("row", F.explode("others").alias("word")).join(known.others, "word")
         logs = F.sum(F.log("n").cast("decimal(28,12)")).cast("double")  # in any order the same
-        scored = scored.drop("others").join(occurs.groupBy("row").agg(logs.alias("more")), "row", "left")
-        scored = scored.withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
-    return scored.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
+        scored = scored.drop("others").join(occurs.groupBy("row").agg(logs.alias("more"), F.count_if(F.col("n") == 1).alias("once")), "row", "left")
+        scored = scored.withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0))).withColumn("n_single", F.col("n_single") + F.coalesce("once", F.lit(0)))
+    return scored.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"), "n_single")
 
 
 def fit_and_score(docs: DataFrame) -> DataFrame:
