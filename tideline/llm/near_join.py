@@ -288,7 +288,7 @@ def near_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6,
     members = banded.join(shared, "bucket").join(classes.select("key", "n_shingles", "sig"), "key")
     members = members.withColumn("n_blocks", F.ceil(F.col("n") / block))
     tasks = block_pairs(members, "bucket", "n_blocks", "key").select("task", "side", "crossing", "key", "n_shingles", "sig")
-    edges = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_prune(threshold, tolerance), "u binary, v binary")
+    edges = tasks.repartition("task").sortWithinPartitions("task", "key").mapInArrow(_prune(threshold, tolerance), "u binary, v binary")
     candidates = scratch.saved(components(edges, scratch), "candidates")
 
     n_bits = 1 << 27
@@ -298,7 +298,7 @@ def near_join(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6,
     texts = scratch.saved(texts, "texts")
     sizes = texts.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum(F.length("text")) / block_chars)).alias("n_blocks"))
     tasks = block_pairs(texts.join(sizes, "component"), "component", "n_blocks", "key").select("task", "side", "crossing", "key", "n_docs", "text")
-    found = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_verify(threshold, tolerance), "u binary, v binary, n long")
+    found = tasks.repartition("task").sortWithinPartitions("task", "key").mapInArrow(_verify(threshold, tolerance), "u binary, v binary, n long")
     found = scratch.saved(found, "links")
 
     links = found.where("n > 0").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("linked"))

@@ -186,7 +186,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, z: float = 3.5, sa
     placed = scratch.saved(placed, "cells")
     sizes = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("n_blocks"), F.xxhash64("label", "dim", "cell").alias("group"))
     tasks = block_pairs(placed.join(sizes, ["label", "dim", "cell"]), "group", "n_blocks", "key").select("task", "side", "crossing", "key", "n", "home", "embedding")
-    found = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_compare(threshold), "u string, v string, n long")
+    found = tasks.repartition("task").sortWithinPartitions("task", "key").mapInArrow(_compare(threshold), "u string, v string, n long")
     found = scratch.saved(found, "links")
     links = found.where("n > 0").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("linked"))
     grouped = components(found.where("v is not null").select("u", "v"), scratch)
