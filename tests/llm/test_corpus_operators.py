@@ -108,8 +108,9 @@ def test_mixing_meets_targets(spark, sf_dir):
 
 
 def test_mixing_shares_and_copies(spark):
-    assert mixing.share_out([10, 10, 10], [5, 2, 1], 45, 2) == pytest.approx([20.0, 2 / 3 * 25, 1 / 3 * 25])
-    assert mixing.share_out([0, 0], [5, 2], 0, 2) == [0.0, 0.0]
+    level = lambda rows, total: mixing.water_level(spark.createDataFrame(rows, "tokens long, weight double"), total, 2)
+    assert level([(10, 5.0), (10, 2.0), (10, 1.0)], 45.0) == pytest.approx(25 / 3)
+    assert level([(0, 5.0), (0, 2.0)], 0.0) == 0
     docs = edge(spark)
     taken = mixing.mixed(docs)
     assert taken.columns == docs.columns

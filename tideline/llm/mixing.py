@@ -4,28 +4,38 @@ Each document gets a rate, as close as possible in relative entropy to taking ev
 that every source's expected tokens meet its target and no rate exceeds ``max_copies``. The solution
 has the form ``min(max_copies, exp(lambda_s * size / scale_s))``: documents are exponentially tilted
 by size, one multiplier a source. The convex dual falls apart by source; guarded Newton steps solve
-it, each one Spark job over counts of (source, size), so an iteration never touches documents.
+it, each one Spark job over counts of (source, size), so an iteration never touches documents. A step
+that leaves its bracket becomes a bisection, so every multiplier ends at its target or with a bracket
+that doubles can't split.
 
 Rates become whole copies with one hash number a document; a shift of these numbers per source,
 read off a distributed histogram, brings the rounded tokens to the target.
 
+Sources, targets and multipliers are a table from step to step, of any number of sources; it is
+broadcast to the documents up to ``BROADCAST_SOURCES`` rows, which are counted, and joined beyond.
+
 Cases: null text has size 0; a null source is a source, last in order; a source without tokens has
-target 0; documents of size 0 add nothing whatever is taken; rows that repeat a doc_id get equal
-copies; an empty table gives an empty mix. The sources themselves are a bounded list
-(``max_sources``, checked): their targets depend on one another.
+target 0; documents of size 0 add nothing whatever is taken; rows that repeat both doc_id and text
+share a hash number and get equal copies (so do null ids with one text: many such rows round together,
+and their source's words miss the target by up to their size); an empty table gives an empty mix;
+texts of any length are read once, by one expression; ``mixed`` returns the columns it was given,
+whatever their names, ``report`` reads doc_id, text and source alone.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import Scratch
+from tideline.operators.numbering import total_within
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BINS = 1 << 12
+#: Rows of the table of sources that are sent to every executor.
+BROADCAST_SOURCES = 100_000
 
 
 def size_of(text: str = "text"):
@@ -38,117 +48,102 @@ def exact_sum(x):
     return F.sum(x.cast("decimal(30,6)"))
 
 
-def share_out(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """total dealt by weight, no share above most * size; what is cut off is dealt again."""
-    out, free = [0.0] * len(sizes), {i for i, s in enumerate(sizes) if s > 0}
-    left = total
-    while free:
-        unit = left / sum(weights[i] for i in free)
-        full = {i for i in free if unit * weights[i] > most * sizes[i]}
-        for i in full:
-            out[i] = most * sizes[i]
-            left -= out[i]
-        if not full:
-            for i in free:
-                out[i] = unit * weights[i]
-            break
-        free -= full
-    return out
+def water_level(sources: DataFrame, total: float, most: float) -> float:
+    """The u at which min(u * weight, most * tokens), summed over sources(weight, tokens), is ``total``.
+
+    That is total dealt by weight with what a full source can't take dealt again: starting from the
+    plain share, each aggregate finds the sources that are full at u, and u rises until none is added.
+    """
+    u, full = 0.0, -1
+    while True:
+        over = F.lit(u) * F.col("weight") > most * F.col("tokens")
+        n, taken, free = sources.where("tokens > 0").agg(F.count_if(over), F.sum(F.when(over, F.col("tokens"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == full or not free:
+            return u
+        u, full = (total - most * (taken or 0)) / free, n
 
 
 class Mix:
     """Targets, rates and rounding shifts of each source."""
 
-    def __init__(self, sizes: DataFrame, ratio: float = 1.5, max_copies: int = 2, max_sources: int = 100_000):
-        """sizes: (doc_id, source, size)."""
+    def __init__(self, sizes: DataFrame, ratio: float = 1.5, max_copies: int = 2):
+        """sizes: (doc_id, source, size, mark), mark the hash number of a row."""
         self.spark, self.max_copies = sizes.sparkSession, max_copies
-        scratch = Scratch(self.spark)
-        counts = scratch.saved(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        self.scratch = Scratch(self.spark)
+        counts = self.scratch.saved(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
         tokens = F.col("size") * F.col("n")
-        rows = counts.groupBy("source").agg(F.sum(tokens).alias("tokens"), exact_sum(tokens * F.col("size").cast("double")).alias("squares")).limit(max_sources + 1).collect()
-        if len(rows) > max_sources:
-            raise ValueError(f"more than {max_sources} sources")
-        rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"]))
-        self.sources = [r["source"] for r in rows]
-        self.sizes = [r["tokens"] for r in rows]
-        self.scale = [float(r["squares"]) / r["tokens"] if r["tokens"] else 1.0 for r in rows]
-        weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))]
-        self.targets = share_out(self.sizes, weights, ratio * sum(self.sizes), max_copies)
-        self.multiplier = self._solve(counts)
-        self.shift = [0] * len(rows)
-        if rows:
-            self._round(sizes)
-        scratch.drop(counts)
-
-    def _frame(self, **columns) -> DataFrame:
-        rows = list(zip(self.sources, *columns.values()))
-        kinds = ", ".join(f"{k} {'long' if v and isinstance(v[0], int) else 'double'}" for k, v in columns.items())
-        return self.spark.createDataFrame(rows, f"_source string, {kinds}")
-
-    def _with(self, df: DataFrame, **columns) -> DataFrame:
-        # at most max_sources rows, so the broadcast has a bound and documents stay where they are
-        return df.join(F.broadcast(self._frame(**columns)), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-
-    def _solve(self, counts: DataFrame, tolerance: float = 1e-9, most: int = 80) -> list[float]:
-        """Roots of each source's dual slope: guarded Newton steps, all sources in one job a step."""
-        n = len(self.sources)
-        at, low, high = [0.0] * n, [-math.inf] * n, [math.inf] * n
-        fixed = [t >= self.max_copies * s * (1 - 1e-12) for t, s in zip(self.targets, self.sizes)]
-        done = list(fixed)
-        place = {s: i for i, s in enumerate(self.sources)}
-        for _ in range(most):
-            if all(done):
-                break
-            tilt = F.col("lam") * F.col("size") / F.col("scale")
-            rate = F.exp(F.least(tilt, F.lit(math.log(self.max_copies))))
-            tokens = F.col("size") * F.col("n")
+        sources = counts.groupBy("source").agg(F.sum(tokens).alias("tokens"), exact_sum(tokens * F.col("size").cast("double")).cast("double").alias("squares"))
+        sources = self.scratch.saved(sources.withColumn("no_source", F.col("source").isNull()), "tokens")
+        weight = F.get(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS)).cast("int"))
+        ranked = total_within(sources, [], ["no_source", "source"], None, "place").withColumn("weight", weight)
+        ranked = self.scratch.saved(ranked.select("source", "tokens", "squares", "weight"), "weights")
+        self.n, total = ranked.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+        level = water_level(ranked, ratio * total, max_copies)
+        target = F.when(F.col("tokens") > 0, F.least(F.lit(level) * F.col("weight"), F.lit(float(max_copies)) * F.col("tokens"))).otherwise(0.0)
+        scale = F.when(F.col("tokens") > 0, F.col("squares") / F.col("tokens")).otherwise(1.0)
+        self.table = ranked.select(F.col("source").alias("_source"), F.col("tokens").alias("_total"), scale.alias("_scale"), target.alias("_target"))
+        self.table = self.scratch.saved(self._solve(counts), "multipliers")
+        self.table = self.scratch.saved(self._round(sizes), "shifts")
+        self.scratch.drop(counts, sources, ranked)
+
+    def _with(self, df: DataFrame, table: DataFrame) -> DataFrame:
+        """df with its source's row; where the table may be broadcast, df stays where it is."""
+        if self.n <= BROADCAST_SOURCES:
+            table = F.broadcast(table)
+        return df.join(table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+    def _solve(self, counts: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+        """The table with _lam, the root of each source's dual slope (null: the source is taken whole)."""
+        whole = F.col("_target") >= self.max_copies * F.col("_total") * (1 - 1e-12)
+        inf = F.lit(math.inf)
+        state = self.table.withColumns({"_lam": F.lit(0.0), "_low": -inf, "_high": inf, "_done": whole})
+        fields = state.columns
+        while True:
+            seen = Observation()
+            state = self.scratch.saved(state.observe(seen, F.count_if(~F.col("_done")).alias("left")), "newton")
+            if not seen.get["left"]:
+                return state.select(*self.table.columns, F.when(~whole, F.col("_lam")).alias("_lam"))
+            tilt = F.col("_lam") * F.col("size") / F.col("_scale")
+            rate, tokens = F.exp(F.least(tilt, F.lit(math.log(self.max_copies)))), F.col("size") * F.col("n")
             inner = tilt < math.log(self.max_copies)
-            found = self._with(counts, lam=at, scale=self.scale).groupBy("source").agg(
-                exact_sum(tokens * rate).alias("value"), exact_sum(F.when(inner, tokens * rate * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope")
+            found = self._with(counts, state.where("not _done").select("_source", "_lam", "_scale")).groupBy("source").agg(
+                exact_sum(tokens * rate).cast("double").alias("value"), exact_sum(F.when(inner, tokens * rate * F.col("size") / F.col("_scale")).otherwise(0.0)).cast("double").alias("slope")
             )
-            for r in found.collect():
-                i = place[r["source"]]
-                if done[i]:
-                    continue
-                value, slope = float(r["value"]), float(r["slope"])
-                gap = value - self.targets[i]
-                if abs(gap) <= tolerance * self.targets[i]:
-                    done[i] = True
-                    continue
-                low[i], high[i] = (max(low[i], at[i]), high[i]) if gap < 0 else (low[i], min(high[i], at[i]))
-                step = at[i] - gap / slope if slope > 0 else math.inf
-                if not low[i] < step < high[i] or abs(step - at[i]) > 8 * (1 + abs(at[i])):
-                    reach = at[i] + math.copysign(1 + abs(at[i]), -gap)
-                    step = (low[i] + high[i]) / 2 if math.isfinite(low[i]) and math.isfinite(high[i]) else reach
-                at[i] = step
-        return [math.inf if f else x for f, x in zip(fixed, at)]
+            gap, lam = F.col("value") - F.col("_target"), F.col("_lam")
+            low = F.when(gap < 0, F.greatest("_low", "_lam")).otherwise(F.col("_low"))
+            high = F.when(gap < 0, F.col("_high")).otherwise(F.least("_high", "_lam"))
+            newton = F.when(F.col("slope") > 0, lam - gap / F.col("slope")).otherwise(inf)
+            fits = (low < newton) & (newton < high) & (F.abs(newton - lam) <= 8 * (1 + F.abs(lam)))
+            bracketed = (low > -inf) & (high < inf)
+            other = F.when(bracketed, (low + high) / 2).otherwise(lam - F.signum(gap) * (1 + F.abs(lam)))
+            met = (F.abs(gap) <= tolerance * F.col("_target")) | bracketed & (high - low <= 1e-15 * (F.abs(low) + F.abs(high)))
+            new = state.join(F.broadcast(found) if self.n <= BROADCAST_SOURCES else found, F.col("source").eqNullSafe(F.col("_source")), "left")
+            new = new.withColumns({"_new": F.when(met, lam).when(fits, newton).otherwise(other), "_low2": low, "_high2": high, "_met": met})
+            keep = F.col("_done")
+            new = new.withColumns({"_lam": F.when(keep, lam).otherwise(F.col("_new")), "_low": F.when(keep, F.col("_low")).otherwise(F.col("_low2")), "_high": F.when(keep, F.col("_high")).otherwise(F.col("_high2")), "_done": keep | F.col("_met")})
+            state = new.select(fields)
 
     def _breaks(self, df: DataFrame) -> DataFrame:
-        """Adds rate and, for each copy k, the bin of the shift from which the document is taken k times."""
-        lam = [1e300 if math.isinf(x) else x for x in self.multiplier]
-        df = self._with(df, _lam=lam, _scale=self.scale, _target=[float(t) for t in self.targets], _total=[int(s) for s in self.sizes], _shift=[int(s) for s in self.shift])
-        most = math.log(self.max_copies)
-        fixed = F.col("_lam") >= 1e300
-        rate = F.when(fixed, F.lit(float(self.max_copies))).otherwise(F.exp(F.least(F.col("_lam") * F.col("size") / F.col("_scale"), F.lit(most))))
-        unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "size", F.lit(20240501)), F.lit(1 << 40)) / float(1 << 40)
+        """Adds its source's row, rate and, for each copy k, the bin of the shift from which it is taken k times."""
+        df = self._with(df, self.table)
+        tilted = F.exp(F.least(F.col("_lam") * F.col("size") / F.col("_scale"), F.lit(math.log(self.max_copies))))
+        rate = F.when(F.col("_lam").isNull(), F.lit(float(self.max_copies))).otherwise(tilted)
+        unit = F.pmod("mark", F.lit(1 << 40)) / float(1 << 40)
         df = df.withColumn("rate", rate).withColumn("_sum", F.col("rate") + unit)
         return df.withColumn("_bins", F.array(*[F.ceil((F.lit(float(k)) - F.col("_sum")) * BINS).cast("long") for k in range(1, self.max_copies + 1)]))
 
-    def _round(self, sizes: DataFrame) -> None:
-        bins = self._breaks(sizes).select("source", "size", F.explode("_bins").alias("bin")).where("size > 0")
+    def _round(self, sizes: DataFrame) -> DataFrame:
+        """The table with _shift; a source that is taken whole, or not at all, keeps the plain rounding."""
+        bins = self._breaks(sizes.select("source", "size", "mark").where("size > 0")).select("source", "size", F.explode("_bins").alias("bin"))
         mass = bins.groupBy("source", "bin").agg(F.sum("size").alias("tokens"))
-        upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("bin"))
-        reached = self._with(mass.withColumn("upto", upto), target=[float(t) for t in self.targets])
-        best = reached.groupBy("source").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("target")).alias("gap"), F.abs("bin"), "bin")).alias("best"))
-        found = {r["source"]: r["best"] for r in best.collect()}
-        for i, s in enumerate(self.sources):
-            # a source that is taken whole, or not at all, keeps the plain rounding
-            self.shift[i] = int(found[s]["bin"]) if s in found and not math.isinf(self.multiplier[i]) and self.targets[i] > 0 else 0
+        upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("bin"))  # a few thousand bins
+        reached = self._with(mass.withColumn("upto", upto), self.table.select("_source", "_target"))
+        best = reached.groupBy("source").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("_target")).alias("gap"), F.abs("bin").alias("size"), "bin")).alias("best"))
+        shift = F.when(F.col("_lam").isNotNull() & (F.col("_target") > 0), F.coalesce("best.bin", F.lit(0))).otherwise(0).cast("long")
+        return self.table.join(best, F.col("source").eqNullSafe(F.col("_source")), "left").select(*self.table.columns, shift.alias("_shift"))
 
     def copies(self, sizes: DataFrame) -> DataFrame:
         """sizes with source_size, target, rate and copies; extra columns pass through."""
-        if not self.sources:
-            return sizes.selectExpr("*", "0L as source_size", "0D as target", "0D as rate", "0L as copies")
         found = self._breaks(sizes)
         copies = F.size(F.filter("_bins", lambda b: b <= F.col("_shift"))).cast("long")
         return (
@@ -159,8 +154,12 @@ class Mix:
         )
 
 
+def hash_number(text: str = "text"):
+    return F.xxhash64(F.col("doc_id").cast("string"), F.col(text).cast("string"), F.lit(20240501))
+
+
 def sizes_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of().alias("size"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of().alias("size"), hash_number().alias("mark"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -173,7 +172,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
     mix = Mix(Scratch(docs.sparkSession).saved(sizes_of(docs), "sizes"))
     own = {c: f"_own_{c}" for c in docs.columns}
-    given = docs.withColumns({"_id": F.col("doc_id"), "_src": F.col("source").cast("string"), "_size": size_of()}).withColumnsRenamed(own)
-    given = given.withColumnsRenamed({"_id": "doc_id", "_src": "source", "_size": "size"})
+    given = docs.withColumns({"_src": F.col("source").cast("string"), "_size": size_of(), "_mark": hash_number()}).withColumnsRenamed(own)
+    given = given.withColumnsRenamed({"_src": "source", "_size": "size", "_mark": "mark"})
     taken = mix.copies(given).where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return taken.select([F.col(own[c]).alias(c) for c in docs.columns])
