@@ -39,16 +39,14 @@ def plain_training(texts, vocabulary, rate):
                 context, target = words[i]
                 g, m = divmod(target, lm_scoring.GROUPS)
                 h = np.tanh(w["shift"] + sum(w["embed"][k][c] for k, c in enumerate(context)))
-                a = np.exp(h @ w["group"] + w["group_bias"])
-                b = np.exp(h @ w["member"][g] + w["member_bias"][g])
+                a = np.exp(h @ w["group"][:-1] + w["group"][-1])
+                b = np.exp(h @ w["member"][g][:-1] + w["member"][g][-1])
                 a, b = a / a.sum(), b / b.sum()
                 a[g] -= 1
                 b[m] -= 1
-                slope["group"] += np.outer(h, a) / len(some)
-                slope["group_bias"] += a / len(some)
-                slope["member"][g] += np.outer(h, b) / len(some)
-                slope["member_bias"][g] += b / len(some)
-                back = (w["group"] @ a + w["member"][g] @ b) * (1 - h * h) / len(some)
+                slope["group"] += np.outer([*h, 1], a) / len(some)
+                slope["member"][g] += np.outer([*h, 1], b) / len(some)
+                back = (w["group"][:-1] @ a + w["member"][g][:-1] @ b) * (1 - h * h) / len(some)
                 slope["shift"] += back
                 for k, c in enumerate(context):
                     slope["embed"][k][c] += back

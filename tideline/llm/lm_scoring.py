@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from tideline.llm import textwords
 from tideline.llm.common import Scratch
 
-GROUPS = 64
+GROUPS = 60
 CLASSES = GROUPS * GROUPS
-RARE = 256
+RARE = 256  # a power of two, so that signed and unsigned hashes fall into the same buckets
 REACH, WIDTH = 2, 24
 #: Words whose counts each task has at hand; the rest of the corpus' words are joined.
 KNOWN = 1 << 18
@@ -72,17 +72,19 @@ class Vocabulary:
 
 
 class Network:
+    """embed and shift make the hidden values; group and member the two softmaxes, their last rows the biases."""
+
     def __init__(self, unigram: np.ndarray):
         rng = np.random.default_rng(11)
         p = unigram.reshape(GROUPS, GROUPS)
         self.w = {
             "embed": rng.normal(0, 0.1, (2 * REACH, CLASSES + 1, WIDTH)).astype(np.float32),
             "shift": np.zeros(WIDTH, np.float32),
-            "group": np.zeros((WIDTH, GROUPS), np.float32),
-            "group_bias": np.log(p.sum(axis=1)).astype(np.float32),
-            "member": np.zeros((GROUPS, WIDTH, GROUPS), np.float32),
-            "member_bias": np.log(p / p.sum(axis=1, keepdims=True)).astype(np.float32),
+            "group": np.zeros((WIDTH + 1, GROUPS), np.float32),
+            "member": np.zeros((GROUPS, WIDTH + 1, GROUPS), np.float32),
         }
+        self.w["group"][-1] = np.log(p.sum(axis=1))
+        self.w["member"][:, -1] = np.log(p / p.sum(axis=1, keepdims=True))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.w.values()])
@@ -93,59 +95,63 @@ class Network:
             self.w[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
             at += x.size
 
-    def forward(self, context: np.ndarray, target: np.ndarray):
-        """Log-probability of each target; hidden values and both softmaxes for the backward pass."""
+    def _forward(self, context: np.ndarray, target: np.ndarray):
+        """Hidden values (and a column of ones) by target's group, exponentials of both softmaxes, the order by group and its cuts."""
         w = self.w
-        x = np.broadcast_to(w["shift"], (len(target), WIDTH)).copy()
-        for k in range(2 * REACH):
-            x += w["embed"][k][context[:, k]]
-        hidden = np.tanh(x)
-        group, member = target // GROUPS, target % GROUPS
-        a = hidden @ w["group"] + w["group_bias"]
-        a -= a.max(axis=1, keepdims=True)
-        a = np.exp(a)
-        a /= a.sum(axis=1, keepdims=True)
-        # rows in order of their groups, so that each group's are one slice; b stays in that order
+        group = target // GROUPS
+        # rows in order of their groups, so that each group's are one slice
         order = np.argsort(group.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        b, sorted_hidden = np.repeat(w["member_bias"], np.diff(cuts), axis=0), hidden[order]
+        cuts = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+        context = context[order]
+        hidden = np.ones((len(target), WIDTH + 1), w["group"].dtype)
+        x = w["embed"][0].take(context[:, 0], axis=0)
+        for k in range(1, 2 * REACH):
+            x += w["embed"][k].take(context[:, k], axis=0)
+        x += w["shift"]
+        np.tanh(x, out=hidden[:, :WIDTH])
+        a = hidden @ w["group"]
+        b = np.empty((len(target), GROUPS), hidden.dtype)
         for g in range(GROUPS):
-            rows = slice(cuts[g], cuts[g + 1])
             if cuts[g] < cuts[g + 1]:
-                b[rows] += sorted_hidden[rows] @ w["member"][g]
-        b -= b.max(axis=1, keepdims=True)
-        np.exp(b, out=b)
-        b /= b.sum(axis=1, keepdims=True)
-        every = np.arange(len(target))
-        log_prob = np.log(a[every, group] + 1e-30)
-        log_prob[order] += np.log(b[every, member[order]] + 1e-30)
-        return log_prob, hidden, a, b, order, cuts
+                np.matmul(hidden[cuts[g] : cuts[g + 1]], w["member"][g], out=b[cuts[g] : cuts[g + 1]])
+        for z in (a, b):
+            if len(z) and np.abs(z).max() > 60:  # else exponentials neither overflow nor vanish
+                z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+        return hidden, a, b, context, target[order], order, cuts
+
+    def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probability of each target."""
+        _, a, b, _, sorted_target, order, _ = self._forward(context, target)
+        every, out = np.arange(len(target)), np.empty(len(target), a.dtype)
+        group, member = sorted_target // GROUPS, sorted_target % GROUPS
+        out[order] = np.log(a[every, group] / a.sum(axis=1) + 1e-30) + np.log(b[every, member] / b.sum(axis=1) + 1e-30)
+        return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray):
         """({name: slope}, [(classes, their slopes) for each neighbour's embeddings])."""
-        w, n = self.w, np.float32(len(target))
-        _, hidden, a, b, order, cuts = self.forward(context, target)
+        w, n = self.w, self.w["group"].dtype.type(len(target))
+        hidden, a, b, context, target, _, cuts = self._forward(context, target)
         every = np.arange(len(target))
-        a[every, target // GROUPS] -= 1
-        b[every, target[order] % GROUPS] -= 1
-        out = {"group": hidden.T @ a / n, "group_bias": a.sum(axis=0) / n, "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
-        sorted_hidden, from_members = hidden[order], np.zeros_like(hidden)
+        for z, own in ((a, target // GROUPS), (b, target % GROUPS)):
+            z *= 1 / (z.sum(axis=1, keepdims=True) * n)
+            z[every, own] -= 1 / n
+        out = {"group": hidden.T @ a, "member": np.zeros_like(w["member"])}
+        back = a @ w["group"][:-1].T
         for g in range(GROUPS):
             rows = slice(cuts[g], cuts[g + 1])
             if cuts[g] < cuts[g + 1]:
-                out["member"][g] = sorted_hidden[rows].T @ b[rows] / n
-                out["member_bias"][g] = b[rows].sum(axis=0) / n
-                from_members[rows] = b[rows] @ w["member"][g].T
-        back = a @ w["group"].T
-        back[order] += from_members
-        back *= (1 - hidden * hidden) / n
+                np.matmul(hidden[rows].T, b[rows], out=out["member"][g])
+                back[rows] += b[rows] @ w["member"][g, :-1].T
+        h = hidden[:, :WIDTH]
+        back *= 1 - h * h
         out["shift"] = back.sum(axis=0)
         embed = []
         for k in range(2 * REACH):  # sums of each class's rows
             by_class = np.argsort(context[:, k].astype(np.int16), kind="stable")
             classes = context[by_class, k]
             begins = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
-            embed.append((classes[begins], np.add.reduceat(back[by_class], begins, axis=0)))
+            embed.append((classes[begins], np.add.reduceat(back.take(by_class, axis=0), begins, axis=0)))
         return out, embed
 
 
@@ -342,7 +348,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: Network, counts: DataFra
                 classes = vocabulary.classes(hashes)
                 context, logs, single = windows(classes, first), np.zeros(len(classes)), np.zeros(len(classes))
                 for at in range(0, len(classes), BATCH):
-                    logs[at : at + BATCH] = net.forward(context[at : at + BATCH], classes[at : at + BATCH])[0]
+                    logs[at : at + BATCH] = net.log_probs(context[at : at + BATCH], classes[at : at + BATCH])
                 rare, others = np.flatnonzero(classes >= CLASSES - RARE), np.zeros(0, np.int64)
                 if known is None:
                     logs[rare] -= vocabulary.rare_cost
