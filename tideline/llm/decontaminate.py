@@ -3,11 +3,14 @@
 The windows of all benchmark items are hashed. Their number is counted first: up to
 ``max_windows`` they are one broadcast block, beyond that they are split by hash into blocks of
 about that size and the documents are scanned once a block, with the hits so far carried along in a
-saved table. Every hash hit is compared word by word with the item before it counts.
+saved table. A block is a few arrays (hash, place in one run of bytes, item), about 120 bytes a window.
+Every hash hit is compared word by word with the item before it counts.
 
 Cases: a null or wordless text has no words and no hits; an item without words has no windows; a
 null item_id counts as ''; items that repeat an id count once; repeated documents are rows of their
-own; columns of the input named like a result column are replaced by it.
+own; texts of any length are taken in slices of about 1 MB and one text at least; an empty benchmark
+hits nothing, an empty table gives no rows; columns of the input named like a result column are
+replaced by it in ``scan``, and come back unchanged from the functions that remove.
 """
 
 from __future__ import annotations
@@ -69,32 +72,38 @@ class Windows:
 
     FILTER_BITS = 22
 
-    def __init__(self, rows):
-        self.by_size = {}
-        known = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for r in rows:
-            known[r["size"]][r["hash"] & 0xFFFFFFFFFFFFFFFF][bytes(r["window"])].add(r["item_id"])
-        for size, by_hash in known.items():
-            keys = np.sort(np.array(list(by_hash), np.uint64))
+    def __init__(self, table: pa.Table):
+        """table: (item_id, size, window, hash)."""
+        items = table.column("item_id").combine_chunks().dictionary_encode()
+        self.items, codes = items.dictionary.to_pylist(), items.indices.to_numpy(zero_copy_only=False)
+        hashes, sizes = table.column("hash").to_numpy().astype(np.uint64), table.column("size").to_numpy()
+        windows, self.by_size = table.column("window").combine_chunks(), {}
+        for size in np.unique(sizes):
+            mine = np.flatnonzero(sizes == size)
+            mine = mine[np.argsort(hashes[mine], kind="stable")]
+            part = windows.take(pa.array(mine)).cast(pa.large_binary())
+            offsets, data = np.frombuffer(part.buffers()[1], np.int64)[: len(mine) + 1], part.buffers()[2].to_pybytes()
             seen = np.zeros(1 << self.FILTER_BITS, bool)
-            seen[keys >> np.uint64(64 - self.FILTER_BITS)] = True
-            self.by_size[size] = keys, seen, {k: {w: sorted(i) for w, i in v.items()} for k, v in by_hash.items()}
+            seen[hashes[mine] >> np.uint64(64 - self.FILTER_BITS)] = True
+            self.by_size[int(size)] = hashes[mine], seen, offsets, data, codes[mine]
 
     def find(self, data, starts, ends, hashes, first):
         """(hit flag of each word, {row: set of items})."""
         hit, items = np.zeros(len(hashes) + 1, np.int64), defaultdict(set)
         row_end = np.repeat(first[1:], np.diff(first))
-        for size, (keys, seen, by_hash) in self.by_size.items():
+        for size, (keys, seen, offsets, windows, codes) in self.by_size.items():
             found = textwords.window_hashes(hashes, size)
             at = np.flatnonzero(seen[found >> np.uint64(64 - self.FILTER_BITS)])
             at = at[at + size <= row_end[at]]
-            near = np.minimum(np.searchsorted(keys, found[at]), len(keys) - 1)
-            for k in at[keys[near] == found[at]]:
+            low, high = np.searchsorted(keys, found[at], "left"), np.searchsorted(keys, found[at], "right")
+            some = low < high
+            for k, a, b in zip(at[some].tolist(), low[some].tolist(), high[some].tolist()):
                 text = b" ".join(data[s:e].tobytes() for s, e in zip(starts[k : k + size], ends[k : k + size]))
-                if ids := by_hash[int(found[k])].get(text):
+                ids = [codes[j] for j in range(a, b) if windows[offsets[j] : offsets[j + 1]] == text]
+                if ids:
                     hit[k] += 1
                     hit[k + size] -= 1
-                    items[int(np.searchsorted(first, k, side="right")) - 1].update(ids)
+                    items[int(np.searchsorted(first, k, side="right")) - 1].update(self.items[i] for i in ids)
         return np.cumsum(hit[:-1]) > 0, items
 
 
@@ -123,7 +132,7 @@ def _scan(windows, carried: bool):
     return run
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = 500_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = 200_000) -> DataFrame:
     """docs with n_words, hit_words (positions of hit words) and items (ids found, sorted as strings)."""
     spark = docs.sparkSession
     docs = docs.select([c for c in docs.columns if c not in RESULT.names])
@@ -137,7 +146,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int =
         scratch = Scratch(spark)
         windows = scratch.saved(windows, "windows")
     for b in range(blocks):
-        rows = windows.where(F.pmod("hash", F.lit(blocks)) == b).collect()  # about max_windows rows
+        rows = windows.where(F.pmod("hash", F.lit(blocks)) == b).toArrow()  # about max_windows rows
         schema = T.StructType(docs.schema.fields + RESULT.fields)
         shared = spark.sparkContext.broadcast(Windows(rows))
         out = out.mapInArrow(_scan(shared, carried=b > 0), schema)
@@ -172,43 +181,33 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> Data
     return _shown(scan(_hidden(docs), benchmark, n).where(F.size("hit_words") == 0), docs.columns)
 
 
-def _cut(windows):
-    def run(batches):
-        block = windows.value
-        for batch in batches:
-            k = batch.schema.names.index("text")
-            texts = batch.column(k).to_pylist()
-            todo = [i for i, h in enumerate(batch.column("hit_words").to_pylist()) if h]
-            while todo:  # what a cut brings together can be a window again
-                data, offsets, starts, ends, hashes, first = textwords.words(pa.array([texts[i] for i in todo], pa.string()))
-                hit, _ = block.find(data, starts, ends, hashes, first)
-                again = []
-                for j, i in enumerate(todo):
-                    mine = np.flatnonzero(hit[first[j] : first[j + 1]]) + first[j]
-                    if len(mine):
-                        raw, at, parts = texts[i].encode(), 0, []
-                        runs = np.split(mine, np.flatnonzero(np.diff(mine) > 1) + 1)
-                        for r in runs:
-                            parts.append(raw[at : starts[r[0]] - offsets[j]])
-                            at = ends[r[-1]] - offsets[j]
-                        texts[i] = (b"".join(parts) + raw[at:]).decode()
-                        again.append(i)
-                todo = again
-            columns = [batch.column(c) for c in range(batch.num_columns)]
-            columns[k] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return run
+def _cut(batches):
+    """Texts without their hit words, each run of them with all that stands between."""
+    for batch in batches:
+        names, texts = batch.schema.names, []
+        for part in textwords.slices(batch, "text"):
+            _, offsets, starts, ends, _, first = textwords.words(part.column("text"))
+            for i, (text, hits) in enumerate(zip(part.column("text").to_pylist(), part.column("hit_words").to_pylist())):
+                raw, at, parts = (text or "").encode(), 0, []
+                mine = np.array(hits, np.int64) + first[i]
+                for run in np.split(mine, np.flatnonzero(np.diff(mine) > 1) + 1) if len(mine) else ():
+                    parts.append(raw[at : starts[run[0]] - offsets[i]])
+                    at = ends[run[-1]] - offsets[i]
+                texts.append((b"".join(parts) + raw[at:]).decode())
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(k) for k, n in enumerate(names)], names=names)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = 500_000) -> DataFrame:
-    """docs with each run of hit words cut out of the text, repeated until no window is left.
+def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = 200_000) -> DataFrame:
+    """docs with each run of hit words cut out of the text, until no window is left.
 
-    For benchmarks of up to ``max_windows`` windows; larger ones raise (use ``remove_documents``).
+    What a cut brings together can be a window again, so documents that were cut are scanned again;
+    texts get shorter, and a round has only the documents that the round before cut.
     """
-    windows = item_windows(benchmark, n)
-    if windows.count() > max_windows:
-        raise ValueError("the benchmark has more windows than one block; remove whole documents instead")
-    shared = docs.sparkSession.sparkContext.broadcast(Windows(windows.collect()))
-    found = scan(_hidden(docs), benchmark, n, max_windows)
-    return _shown(found.mapInArrow(_cut(shared), found.schema), docs.columns)
+    scratch, done, rest = Scratch(docs.sparkSession), None, _hidden(docs)
+    while True:
+        found = scratch.saved(scan(rest, benchmark, n, max_windows), "scanned")
+        hit = F.size("hit_words") > 0
+        done = found.where(~hit) if done is None else done.unionByName(found.where(~hit))
+        if found.where(hit).isEmpty():
+            return _shown(done, docs.columns)
+        rest = scratch.saved(found.where(hit).mapInArrow(_cut, found.schema), "cut")
