@@ -56,3 +56,39 @@ def test_empty_table_and_plan(spark):
     assert secrets.report(empty).count() == 0
     plan = secrets.report(spark.createDataFrame(CASES, "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_markov_on_held_out_samples(spark, sf_dir):
+    """Bare random strings and long ordinary identifiers that the models weren't counted on."""
+    import random
+
+    rng = random.Random(17)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = sorted({w.lower() for r in docs.collect() for w in re.findall(r"[A-Za-z]{3,9}", r.text or "")})
+    rows = []
+    for k in range(400):
+        key = "".join(rng.choice(letters) for _ in range(rng.randrange(24, 48)))
+        name = rng.choice("_-").join(rng.choice(words) for _ in range(6))
+        rows.append((1_000_000 + 2 * k, f"see {key} there"))
+        rows.append((1_000_001 + 2 * k, f"see {name[: rng.randrange(24, 48)]} there"))
+    labelled = [(900_000 + k, f"api_key={''.join(rng.choice(letters) for _ in range(32))} here") for k in range(300)]  # what the models count
+    given = docs.union(spark.createDataFrame(rows + labelled, docs.schema))
+    got = {r.doc_id: r.n_markov for r in secrets.report(given).collect() if r.doc_id >= 1_000_000}
+    found, wrong = sum(got[k] for k in got if k % 2 == 0), sum(got[k] for k in got if k % 2)
+    print("markov recall", found / 400, "precision", found / max(1, found + wrong))
+    assert found >= 0.95 * 400 and wrong <= 0.02 * 400
+
+
+def test_many_matches_in_one_text(spark, sf_dir):
+    """Over a hundred thousand matches of a text, with what stands between them."""
+    import time
+
+    text = "token=abcdefgh1 é " * 60_000 + f"{RANDOM} " * 5_000
+    began = time.perf_counter()
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id + 100 as doc_id", "text")
+    r = secrets.report(docs.union(spark.createDataFrame([(1, text)], docs.schema))).where("doc_id = 1").first()
+    assert time.perf_counter() - began < 120
+    assert r.n_assign == 60_000 and r.base_sha256 == hashlib.sha256(joined(base(text)).encode()).hexdigest()
+    last = len(text) - 1
+    assert r.spans.endswith(f"markov:{last - len(RANDOM)}:{last}")

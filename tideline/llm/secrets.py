@@ -5,13 +5,17 @@ The base patterns give spans of the kinds ``assign``, ``access`` and ``hex``. A
 ordinary identifiers, by their log-likelihood ratio on every long run of key characters. The models
 are counted on labelled samples of at most about ``fit_rows`` documents: the values that the base
 patterns find are random strings, words outside them are ordinary; both are smoothed, the random one
-towards the uniform distribution. A markov span that overlaps a base span is left out.
+towards the uniform distribution. A run that touches a base span is left out.
 
 Positions count code points, ends are exclusive. They follow from the lengths of the matches and of
-the pieces that ``split`` leaves between them, summed by a fold within the row.
+the pieces that ``split`` leaves between them. A fold that appends copies what it has so far, so sums run
+over chunks of ``CHUNK`` matches, then over the chunks' totals: a text with n matches costs
+``n * (CHUNK + n / CHUNK**2)`` steps and not n squared.
 
 Cases: a null or empty text has no spans; a table without base matches leaves the random model
-uniform; repeated rows get equal results; other columns are not read.
+uniform; ties don't occur, as spans of a kind don't overlap; repeated rows get equal results; texts of
+any length are searched whole; an empty table gives no rows; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -28,33 +32,67 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 
 LONG_ACCESS, LONG_HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{4,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=\x00-])[A-Za-z0-9+/_=-]{20,}+(?!\x00)"
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_-]{4,18}+(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
+CHUNK = 128
+#: Stands for each character of a base span where further spans are looked for; no key has it.
+MASK = "\u0000"
 
 
-def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the leftmost non-overlapping matches that ``keep`` accepts, in order."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), keep(m).alias("keep")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+def _matched(text: Column, pattern: str) -> Column:
+    return F.coalesce(text.rlike(pattern), F.lit(False))
 
-    def add(acc, s):
-        start = acc["at"] + s["gap"]
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + s["size"]).alias("stop")))
-        return F.struct((start + s["size"]).alias("at"), F.when(s["keep"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.aggregate(steps, zero, add, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+def _pieces(text: Column, pattern: str) -> tuple[Column, Column]:
+    """The leftmost non-overlapping matches, and what stands before, between and after them."""
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
-def base_spans(text: Column) -> list[Column]:
-    """The spans of the three base kinds; short matches take up their text, then are dropped."""
-    value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8
-    always = lambda m: F.lit(True)
-    # a run is taken whole, so asking for its least length finds the same spans as filtering after
-    return [_spans(text, ASSIGN, 0, value), _spans(text, LONG_ACCESS, 1, always), _spans(text, LONG_HEX, 2, always)]
+def _with_spans(df: DataFrame, text: str, pattern: str, kind: int, keep, name: str) -> DataFrame:
+    """df with the array ``name`` of the spans of the matches in ``text`` that ``keep`` accepts, in order.
+
+    Columns of their own for what is used more than once, so that it is computed once.
+    """
+    found, between = _pieces(F.col(text), pattern)
+    step = lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), keep(m).alias("keep"))
+    df = df.withColumn("_steps", F.when(_matched(F.col(text), pattern), F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), step)))
+    last = F.floor((F.size("_steps") - 1) / CHUNK).cast("int")
+    df = df.withColumn("_chunks", F.when(F.size("_steps") > 0, F.transform(F.sequence(F.lit(0), last), lambda c: F.slice("_steps", c * CHUNK + 1, F.lit(CHUNK)))))
+    totals = F.transform("_chunks", lambda c: F.aggregate(c, F.lit(0), lambda acc, s: acc + s["gap"] + s["size"]))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    bases = F.aggregate(totals, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    df = df.withColumn("_bases", bases)
+
+    def within(chunk: Column, base: Column) -> Column:
+        def add(acc, s):
+            start = acc["at"] + s["gap"]
+            one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + s["size"]).alias("stop")))
+            return F.struct((start + s["size"]).alias("at"), F.when(s["keep"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(chunk, F.struct(base.alias("at"), F.array().cast(SPAN).alias("out")), add, lambda acc: acc["out"])
+
+    return df.withColumn(name, F.coalesce(F.flatten(F.zip_with("_chunks", "_bases", within)), F.array().cast(SPAN))).drop("_steps", "_chunks", "_bases")
+
+
+def _masked(text: str, pattern: str, keep) -> Column:
+    """text with each character of the accepted matches replaced by MASK."""
+    found, between = _pieces(F.col(text), pattern)
+    pieces = F.zip_with(between, found, lambda p, m: F.concat(p, F.when(m.isNull(), "").when(keep(m), F.repeat(F.lit(MASK), F.length(m))).otherwise(m)))
+    return F.when(_matched(F.col(text), pattern), F.array_join(pieces, "")).otherwise(F.col(text))
+
+
+def _long_value(m: Column) -> Column:
+    return F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8
+
+
+def _always(m: Column) -> Column:
+    return F.lit(True)
+
+
+# a run is taken whole, so asking for its least length finds the same spans as filtering after
+_BASE = ((ASSIGN, _long_value), (LONG_ACCESS, _always), (LONG_HEX, _always))
 
 
 def transition_counts(docs: DataFrame, fit_rows: int) -> dict[tuple[int, int, int], int]:
@@ -70,51 +108,36 @@ def transition_counts(docs: DataFrame, fit_rows: int) -> dict[tuple[int, int, in
         rest = F.regexp_replace(rest, pattern, " ")
     words = F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))
     tokens = sample.select(F.explode(F.array(F.struct(F.lit(1).alias("label"), F.filter(values, lambda v: F.length(v) >= 8).alias("s")), F.struct(F.lit(0).alias("label"), words.alias("s")))).alias("x"))
-    tokens = tokens.select("x.label", F.explode("x.s").alias("s"))
-    pairs = tokens.select("label", "s", F.explode(F.sequence(F.lit(1), F.length("s") - 1)).alias("i"))
-    counted = pairs.groupBy("label", F.ascii(F.expr("substring(s, i, 1)")).alias("a"), F.ascii(F.expr("substring(s, i + 1, 1)")).alias("b")).count()
+    tokens = tokens.select(F.col("x.label").alias("label"), F.col("x.s").alias("s")).select("label", F.explode("s").alias("s"))
+    codes = tokens.select("label", F.transform(F.split("s", ""), lambda c: F.ascii(c)).alias("codes"))
+    pairs = codes.select("label", F.explode(F.arrays_zip(F.col("codes").alias("a"), F.slice("codes", F.lit(2), F.size("codes")).alias("b"))).alias("p"))
+    counted = pairs.where("p.b is not null").groupBy("label", "p.a", "p.b").count()
     return {(r["label"], r["a"], r["b"]): r["count"] for r in counted.collect()}  # at most 2 x 67 x 67 rows
 
 
 def ratio_table(counts: dict[tuple[int, int, int], int]) -> list[float]:
     """log P(b | a, random) - log P(b | a, ordinary) at index 128 a + b."""
     codes = [ord(c) for c in ALPHABET]
+    ends = {b: 0.5 + sum(counts.get((0, a, b), 0) for a in codes) for b in codes}
     out = [0.0] * (128 * 128)
     for a in codes:
         rows = [[counts.get((label, a, b), 0) for b in codes] for label in (0, 1)]
         ordinary, random = sum(rows[0]), sum(rows[1])
+        rest = max(0.05, 20 / (ordinary + 20))  # what transitions never seen share; all where few samples speak
+        share = 0.5 * random / (random + 200)
         for k, b in enumerate(codes):
-            p = (rows[0][k] + 0.05) / (ordinary + 0.05 * len(codes))
-            share = random / (random + 200.0)  # towards uniform where few samples speak
-            q = share * (rows[1][k] + 0.5) / (random + 0.5 * len(codes)) * 0.5 + (1 - 0.5 * share) / len(codes)
+            p = (1 - rest) * rows[0][k] / max(1, ordinary) + rest * (0.5 * ends[b] / sum(ends.values()) + 0.5 / len(codes))
+            q = share * (rows[1][k] + 0.5) / (random + 0.5 * len(codes)) + (1 - share) / len(codes)
             out[128 * a + b] = round(math.log(q / p), 4)
     return out
 
 
 def _ratio(token: Column, table: Column) -> Column:
     """Mean log-likelihood ratio of a token's transitions."""
-    def add(acc, i):
-        return acc + F.element_at(table, F.ascii(F.substring(token, i, F.lit(1))) * 128 + F.ascii(F.substring(token, i + 1, F.lit(1))) + 1)
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), add, lambda acc: acc / (F.length(token) - 1))
-
-
-def _clear_of(candidates: Column, base: Column) -> Column:
-    """Candidates that overlap no base span: one fold forwards, one backwards."""
-    def sweep(spans, reverse):
-        zero = F.struct(F.lit((1 << 31) - 1 if reverse else -1).alias("edge"), F.array().cast(SPAN).alias("out"))
-
-        def add(acc, s):
-            own = s["kind"] == len(KINDS) - 1
-            free = (s["stop"] <= acc["edge"]) if reverse else (s["start"] >= acc["edge"])
-            edge = F.when(own, acc["edge"]).otherwise(F.least(acc["edge"], s["start"]) if reverse else F.greatest(acc["edge"], s["stop"]))
-            return F.struct(edge.alias("edge"), F.when(~own | free, F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out"))
-
-        return F.aggregate(spans, zero, add, lambda acc: acc["out"])
-
-    swept = sweep(F.reverse(F.array_sort(sweep(F.array_sort(F.concat(base, candidates)), False))), True)
-    only = F.filter(swept, lambda s: s["kind"] == len(KINDS) - 1)
-    return F.when((F.size(candidates) > 0) & (F.size(base) > 0), only).otherwise(candidates)
+    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
+    n = F.length(token) - 1
+    pairs = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.element_at(table, a * 128 + b + 1))
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x, lambda acc: acc / n)
 
 
 def _joined(spans: Column) -> Column:
@@ -123,14 +146,17 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), one), ",")
 
 
-def scan(docs: DataFrame, fit_rows: int = 4_000, least_mean: float = 0.9) -> DataFrame:
+def scan(docs: DataFrame, fit_rows: int = 4_000, least_mean: float = 0.6) -> DataFrame:
     """(doc_id, base, extra): arrays of spans (start, kind, stop), kind counting through KINDS."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ratios = ratio_table(transition_counts(docs, fit_rows))
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")  # folded into one literal
-    found = docs.select("doc_id", *[s.alias(k) for s, k in zip(base_spans(F.col("text")), KINDS)], _spans(F.col("text"), CANDIDATE, 3, lambda m: _ratio(m, table) >= least_mean).alias("candidates"))
-    found = found.select("doc_id", F.concat("assign", "access", "hex").alias("base"), "candidates")
-    return found.select("doc_id", "base", _clear_of(F.col("candidates"), F.col("base")).alias("extra"))
+    found = docs.withColumn("rest", F.col("text"))
+    for kind, (pattern, keep) in enumerate(_BASE):
+        found = _with_spans(found, "text", pattern, kind, keep, KINDS[kind])
+        found = found.withColumn("rest", _masked("rest", pattern, keep))  # so that no further span touches this one
+    found = _with_spans(found.drop("text"), "rest", CANDIDATE, 3, lambda m: _ratio(m, table) >= least_mean, "extra")
+    return found.select("doc_id", F.concat(*KINDS[:3]).alias("base"), "extra")
 
 
 def report(docs: DataFrame) -> DataFrame:
