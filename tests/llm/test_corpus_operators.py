@@ -121,3 +121,21 @@ def test_mixing_shares_and_copies(spark):
 def test_size_of(spark):
     df = spark.createDataFrame([("a b\tc\nd\x0be\x0cf\rg",), (" x y",), ("",), (None,), ("  ",)], "text string")
     assert [r[0] for r in df.select(mixing.size_of()).collect()] == [7, 2, 0, 0, 0]
+
+
+def test_token_files_of_long_texts_least_ids_and_clashing_columns(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    least = -(1 << 63)
+    rows = [(least, "least"), (None, "none"), (None, None), (5, "long words é " * 120_000), (6, "x" * 1_500_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as shard", "2 as n_tokens", "3 as start")
+    got = {(r.doc_id, r.n_tokens) for r in token_files.encode_and_read(docs, path).collect()}
+    assert got == {(i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows}
+
+
+def test_line_dedup_of_long_lines(spark):
+    line = "long " * 400_000
+    docs = spark.createDataFrame([(k, f"{line}\nown {k}", "s") for k in range(6)], "doc_id long, text string, source string")
+    assert {(r.text, r.n_dropped) for r in line_dedup.report(docs).collect()} == {(f"own {k}", 1) for k in range(6)}

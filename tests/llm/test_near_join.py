@@ -77,3 +77,15 @@ def test_bayesian_bound_keeps_true_pairs():
     for n, m in least.items():
         lost |= counts[:, n - 1] < m
     assert lost.mean() < 2e-4
+
+
+def test_very_long_texts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 200_000)]
+    changed = words[:100_000] + ["new"] + words[100_001:]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[::-1])), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as class_id")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_join.near_join(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}

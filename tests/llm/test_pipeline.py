@@ -50,3 +50,10 @@ def test_pipeline_equals_brute_force(spark, sf_dir, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
     assert [(r.doc_id, r.n_tokens) for r in got] == want
     assert [r.start for r in got] == [sum(n for _, n in want[:k]) for k in range(len(want))]
+
+
+def test_empty_documents(spark, sf_dir, tmp_path):
+    docs = table(spark, sf_dir, "documents")
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, sf_dir, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+from tideline.streaming.run import working_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,20 +12,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below the folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names that folder. Only a local session, where driver and executors
-    are one machine, gets a temporary folder when the setting is absent.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="spark-tideline-")
-        root = f"file://{_OWN[app]}"
-    return f"{root.rstrip('/')}/tideline-{uuid.uuid4().hex}"
+    """A new path below the folder that driver and executors share."""
+    return working_dir(spark, "training")
 
 
 class Scratch:
@@ -45,9 +30,9 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:02d}-{name}"
 
-    def saved(self, df: DataFrame, name: str) -> DataFrame:
+    def saved(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.tideline_path = path
         return out

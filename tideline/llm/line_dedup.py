@@ -4,10 +4,12 @@ A line's frequency on a site is the share of the site's pages that contain it. L
 ``min_pages`` pages and on more than ``ratio`` of them are boilerplate of that site and are dropped
 from all its pages. Lines are counted once a page, before the shuffle within each batch. Only the
 boilerplate lines' hashes are broadcast; at most ``max_lines`` at a time (their number is measured),
-beyond that in several passes by hash of the site.
+beyond that in several passes by hash of the line.
 
 Cases: a null text stays null and has no lines; blank lines are never counted or dropped; a null
-site is a site; rows that repeat a page count as pages; columns named like a result are replaced.
+site is a site; rows that repeat a page count as pages; a line on exactly ``ratio`` of the pages stays;
+texts and lines of any length are read whole, a line only travels as its hash; an empty table gives no
+rows; columns named like a result are replaced.
 """
 
 from __future__ import annotations

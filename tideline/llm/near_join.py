@@ -17,7 +17,10 @@ into blocks and each pair of blocks is a task of its own, so that none holds mor
 
 Cases: a text of one to four words has one shingle, all its words; a text without words (or null)
 links with nothing and is a group of its own; rows that repeat doc_id or have none are still rows
-of their own; class_id is null only where no member of the group has a doc_id.
+of their own; class_id is null only where no member of the group has a doc_id; texts of any length are
+read whole, in slices of about 1 MB and one text at least, and long ones make blocks of fewer members;
+a pair at exactly the threshold is linked; an empty table gives no rows; columns other than doc_id and
+text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -5,16 +5,18 @@ A written folder holds, for shard n = 0, 1, ..:
 * ``n.ids``      the ids of its documents, back to back, little-endian, each document ending with
                  ``end_id``; 16 bits an id where the vocabulary allows, else 32
 * ``n.offsets``  int64: where each document begins in ``n.ids``, in ids, and last their number
-* ``n.docs``     int64: the doc_id of each document (null: the least int64)
+* ``n.docs``     int64: the doc_id of each document
 
-and ``manifest.json`` with the id width and each shard's counts and *base*: the ids in all shards
-before it, a prefix sum over the shard counts. Documents ascend by doc_id through all shards, nulls
+and ``manifest.json`` with the id width and each shard's counts, how many of its first documents have no
+doc_id, and its *base*: the ids in all shards before it, a prefix sum over the shard counts. Documents ascend by doc_id through all shards, nulls
 first; rows that share a doc_id are ordered by a hash of their text. All files can be memory-mapped.
 
 A task writes under a name of its own attempt and renames when complete, so a retried or duplicated
 task leaves the same finished files. Only shard counts reach the driver.
 
-Cases: a null or empty text is one document of just the end id; an empty table writes no shard.
+Cases: a null or empty text is one document of just the end id; an empty table writes no shard; texts
+of any length are encoded whole, one at a time; rows that repeat are documents of their own; columns
+other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,9 +36,6 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import shared_dir
 
-NO_ID = -(1 << 63)
-
-
 _LETTERS_THEN_MARKS = re.compile(r"(\n?)([^\W\d_]+)([^\w\s]*)")
 
 
@@ -138,7 +137,7 @@ def _write_shard(path: str, tokenizer: str, end_id: int):
         encoder = _encoder(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         offsets, docs = [np.zeros(1, np.int64)], []
-        total, out = 0, None
+        total, out, nulls = 0, None, 0
         for batch in batches:
             ids = []
             for text in batch.column("text"):
@@ -157,7 +156,8 @@ def _write_shard(path: str, tokenizer: str, end_id: int):
                 offsets.append(total + np.cumsum(sizes))
                 total = int(offsets[-1][-1])
                 out.write(b"".join(ids))
-            docs.append(batch.column("doc_id").fill_null(NO_ID).to_numpy())
+            nulls += batch.column("doc_id").null_count
+            docs.append(batch.column("doc_id").fill_null(0).to_numpy())
         n = sum(map(len, docs))
         if n:
             out.close()
@@ -171,7 +171,7 @@ def _write_shard(path: str, tokenizer: str, end_id: int):
                     if fs.get_file_info(f"{root}/{shard}.{name}").type == pafs.FileType.NotFound:
                         raise
                     fs.delete_file(f"{root}/_{own}.{name}")
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "n_docs": pa.array([n], pa.int64()), "n_tokens": pa.array([total], pa.int64()), "width": pa.array([encoder.dtype.itemsize], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "n_docs": pa.array([n], pa.int64()), "n_null": pa.array([nulls], pa.int64()), "n_tokens": pa.array([total], pa.int64()), "width": pa.array([encoder.dtype.itemsize], pa.int64())})
 
     return run
 
@@ -183,10 +183,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> list[d
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = rows.mapInArrow(_write_shard(path, tokenizer, end_id), "shard long, n_docs long, n_tokens long, width long").collect()
+    found = rows.mapInArrow(_write_shard(path, tokenizer, end_id), "shard long, n_docs long, n_null long, n_tokens long, width long").collect()
     base, shards = 0, []
     for r in sorted(found, key=lambda r: r["shard"]):
-        shards.append({"shard": r["shard"], "base": base, "n_docs": r["n_docs"], "n_tokens": r["n_tokens"]})
+        shards.append({"shard": r["shard"], "base": base, "n_docs": r["n_docs"], "n_null": r["n_null"], "n_tokens": r["n_tokens"]})
         base += r["n_tokens"]
     with fs.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps({"width": found[0]["width"] if found else 2, "end_id": end_id, "shards": shards}).encode())
@@ -218,7 +218,7 @@ class TokenFiles:
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
             a, b = int(offsets[at]), int(offsets[end])
             part = ids[a:b] if local else np.frombuffer(ids.read_at((b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
-            yield docs[at:end], info["base"] + offsets[at:end], offsets[at + 1 : end + 1] - a, part
+            yield pa.array(docs[at:end], pa.int64(), mask=np.arange(at, end) < info["n_null"]), info["base"] + offsets[at:end], offsets[at + 1 : end + 1] - a, part
             at = end
 
 
@@ -234,7 +234,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
                     wide = memoryview(ids.astype("<u4").tobytes())
                     crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(cuts[:-1], cuts[1:])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs, pa.int64(), mask=docs == NO_ID), pa.array(starts, pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(crc, pa.int64())],
+                        [docs, pa.array(starts, pa.int64()), pa.array(np.diff(cuts), pa.int64()), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
