@@ -5,6 +5,12 @@
 3. decontaminate: documents that hold a 10-word window of a benchmark item go.
 4. mix: rows are repeated or left out so that every source meets its token target.
 5. token_files: the rows become token files; their digests, read back, are the result.
+
+Cases: a null text or one without a letter goes in stage 1, whatever its other columns; null lang, source
+and doc_id are kept (a null source is a source of stage 4, rows without doc_id are never dropped as
+copies); rows that repeat an id and text count as copies in stage 2; ties go to the smallest doc_id; texts
+of any length are read whole; an empty table gives an empty table in every stage, and so does one without
+a labelled language; the columns that came in, whatever their names, go out of stages 1 to 4 unchanged.
 """
 
 from __future__ import annotations
