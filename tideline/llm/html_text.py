@@ -286,7 +286,7 @@ def extract(pages: DataFrame, min_tokens: int = 8) -> DataFrame:
     id_type = dict(given.dtypes)["page_id"]
     parsed = given.mapInArrow(_parse, f"page_id {id_type}, url string, page long, kinds array<int>, texts array<string>")
     parsed = parsed.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("row", F.monotonically_increasing_id())
-    parsed = scratch.saved(parsed, "blocks")  # fixes the row numbers
+    parsed = scratch.saved(parsed, "blocks", "zstd")  # fixes the row numbers
 
     has_open = F.array_contains("kinds", OPEN)
     # main blocks stay behind before blocks become rows
