@@ -51,3 +51,9 @@ def test_scans_read_what_a_query_needs(spark, sf_dir):
     text = plan(QUERIES["field_count_report"](spark, sf_dir))
     assert "Python" not in text and text.count("Exchange") == 1
     assert "PushedFilters: [IsNotNull(event_id)" in plan(spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 2 = 1"))
+
+
+def test_top_k_counts_once(spark, sf_dir):
+    df = QUERIES["top_k_keys"](spark, sf_dir)
+    df.collect()
+    assert "ReusedExchange" in plan(df)

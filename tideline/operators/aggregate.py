@@ -53,7 +53,8 @@ def top_k(counts: DataFrame, k: int = 10) -> DataFrame:
     """The k largest counts and, if there are more keys, one row '... and N more' (rank k + 1)."""
     first = counts.orderBy(F.desc("n"), "key").limit(k)
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "key")).cast("long"))  # k rows
-    rest = counts.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("all")).where(F.col("keys") > k)
+    # asking for the sum too keeps this branch's shuffle equal to the other's, so that one serves both
+    rest = counts.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("all")).where((F.col("keys") > k) & F.col("all").isNotNull())
     more = rest.select(F.lit(k + 1).cast("long").alias("rank"), F.concat(F.lit("... and "), (F.col("keys") - k).cast("string"), F.lit(" more")).alias("key"), F.lit(None).cast("long").alias("n"))
     return ranked.select("rank", "key", "n").unionByName(more)
 
