@@ -17,7 +17,8 @@ of ``BATCH``. Its weights go to the shared folder, and are averaged by number of
 nor the number of executors have a say in the model.
 
 Cases: null, empty and wordless texts have no words, log_prob 0 and no mean; an empty corpus leaves
-the unigram model; repeated rows count, and score, each; a word that the counts lack has the share of
+the unigram model; repeated rows count, and score, each, and those that repeat both id and text train in
+one shard (copies with ids of their own are spread); a word that the counts lack has the share of
 a count of one; texts of any length are taken in slices of about 1 MB and one text at least; columns
 other than doc_id and text, whatever their names, are not read.
 """
