@@ -120,21 +120,21 @@ class Encoder:
 
 
 @functools.lru_cache(1)
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, remembered: int) -> Encoder:
     """One encoder a worker process, so that later tasks find its pieces."""
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if urlparse(path).scheme else f"file://{path}")
 
 
-def _write_shard(path: str, tokenizer: str, end_id: int):
+def _write_shard(path: str, tokenizer: str, end_id: int, remembered: int):
     def run(batches):
         task = TaskContext.get()
         shard, own = task.partitionId(), f"{task.partitionId()}.{task.taskAttemptId()}"
         fs, root = _fs(path)
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, remembered)
         end = np.array([end_id], encoder.dtype).tobytes()
         offsets, docs = [np.zeros(1, np.int64)], []
         total, out, nulls = 0, None, 0
@@ -176,14 +176,18 @@ def _write_shard(path: str, tokenizer: str, end_id: int):
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> list[dict]:
+#: Pieces that a worker process remembers, 200 to 300 bytes each.
+REMEMBERED = 250_000
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, remembered: int = REMEMBERED) -> list[dict]:
     """Encode ``docs(doc_id, text)`` into token files at ``path`` (a URI all executors can write to)."""
     fs, root = _fs(path)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = rows.mapInArrow(_write_shard(path, tokenizer, end_id), "shard long, n_docs long, n_null long, n_tokens long, width long").collect()
+    found = rows.mapInArrow(_write_shard(path, tokenizer, end_id, remembered), "shard long, n_docs long, n_null long, n_tokens long, width long").collect()
     base, shards = 0, []
     for r in sorted(found, key=lambda r: r["shard"]):
         shards.append({"shard": r["shard"], "base": base, "n_docs": r["n_docs"], "n_null": r["n_null"], "n_tokens": r["n_tokens"]})
@@ -242,8 +246,8 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.range(0, n, 1, max(1, n)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int = 0, remembered: int = REMEMBERED) -> DataFrame:
     """Write the token files of docs to a new shared folder and return their digests."""
     path = shared_dir(docs.sparkSession)
-    write(docs, path, tokenizer, end_id)
+    write(docs, path, tokenizer, end_id, remembered)
     return digests(docs.sparkSession, path)
