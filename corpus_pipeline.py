@@ -39,7 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files.encode_and_read(docs, tokenizer_path("byte_bpe_50k.json"))
+    # workers hold what earlier stages left as well, so fewer pieces than by default
+    return token_files.encode_and_read(docs, tokenizer_path("byte_bpe_50k.json"), remembered=80_000)
 
 
 STAGES = [
