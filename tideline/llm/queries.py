@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, html_text, language_id, line_dedup, lm_scoring, mixing, near_join, secrets, token_files, vectors
+from tideline.llm import alignment, decontaminate, html_text, language_id, line_dedup, lm_scoring, mixing, near_join, secrets, token_files, topk, vectors
 from tideline.llm.common import table
 
 
@@ -48,6 +49,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -65,6 +74,8 @@ QUERIES = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_decontamination": op5_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
+    "op11_topk_search": op11_topk_search,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE = {
