@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import alignment, decontaminate, html_text, language_id, line_dedup, lm_scoring, mixing, near_join, secrets, token_files, topk, vectors
+from tideline.llm import alignment, decontaminate, html_text, language_id, line_dedup, lm_scoring, mixing, near_join, phrases, secrets, token_files, topk, vectors
 from tideline.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -75,10 +79,30 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op11_topk_search": op11_topk_search,
+    "op12_collocations": op12_collocations,
     "op13_alignment": op13_alignment,
 }
 
 ORACLE = {
+    "op12_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+        t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+        f AS (
+            SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS phrase, count(*) AS f
+            FROM w, (SELECT unnest(range(1, 6)) AS size), unnest(range(1, len(ws) - size + 2)) AS u(i) GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE size > 1),
+        held AS (
+            SELECT lang, array_to_string(ws[i : i + k - 1], ' ') AS phrase, max(a) AS longer
+            FROM c, (SELECT unnest(range(2, 5)) AS k), unnest(range(1, size - k + 2)) AS u(i) WHERE k < size GROUP BY ALL),
+        cut AS (
+            SELECT c.lang, c.phrase, k, a, x.f AS l, y.f AS r, n, (1000 * a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+            FROM c, unnest(range(1, c.size)) AS u(k), f x, f y, t
+            WHERE x.lang = c.lang AND x.phrase = array_to_string(ws[1 : k], ' ') AND y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1 : c.size], ' ') AND t.lang = c.lang),
+        best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        kept AS (SELECT b.* FROM best b LEFT JOIN held h ON b.lang = h.lang AND b.phrase = h.phrase WHERE longer IS NULL OR 100 * longer < 100 * a)
+        SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM kept WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000""",
     "op8_line_dedup": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
         t AS (SELECT source, count(*) AS total FROM d GROUP BY source),

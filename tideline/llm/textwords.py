@@ -39,9 +39,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _hash_chunk(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_chunk(data: np.ndarray, breaks: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of each word in bytes; breaks: positions where a text begins."""
-    word = IS_WORD[data]
+    word = is_word[data]
     edge = np.empty(len(word) + 1, bool)
     edge[0], edge[-1] = word[0], word[-1]
     np.not_equal(word[1:], word[:-1], out=edge[1:-1])
@@ -69,22 +69,25 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array):
-    """(lower-cased bytes, row ends, starts, ends, hashes, first): word k of row i is first[i] + k."""
+def words(column: pa.Array, is_word: np.ndarray = IS_WORD):
+    """(lower-cased bytes, row ends, starts, ends, hashes, first): word k of row i is first[i] + k.
+
+    is_word: which bytes words are made of, if not those of the module's words.
+    """
     data, offsets = column_bytes(column)
     data = LOWER[data]
     parts, at = [], 0
     while at < len(data):
         end = min(at + CHUNK, len(data))
-        if end < len(data) and IS_WORD[data[end]] and IS_WORD[data[end - 1]]:  # not within a word
-            gaps = np.flatnonzero(~IS_WORD[data[at:end]])
+        if end < len(data) and is_word[data[end]] and is_word[data[end - 1]]:  # not within a word
+            gaps = np.flatnonzero(~is_word[data[at:end]])
             if len(gaps):
                 end = at + int(gaps[-1]) + 1
             else:
-                rest = np.flatnonzero(~IS_WORD[data[end:]])
+                rest = np.flatnonzero(~is_word[data[end:]])
                 end = end + int(rest[0]) if len(rest) else len(data)
         inside = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end)] - at
-        s, e, h = _hash_chunk(data[at:end], inside)
+        s, e, h = _hash_chunk(data[at:end], inside, is_word)
         parts.append((s + at, e + at, h))
         at = end
     if parts:
