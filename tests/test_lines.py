@@ -49,12 +49,6 @@ def test_long_lines_are_set_aside(spark):
     assert [r.id for r in ok.collect()] == ["i", "l"] and [r.id for r in rejected.collect()] == ["j"]
 
 
-def test_positions(spark):
-    rows = spark.range(1000).selectExpr("cast(id * 7919 % 1000 as string) as id", "id as v").repartition(7)
-    got = {r.id: r._at for r in sources.positions(rows, "id").collect()}
-    assert got == {k: i for i, k in enumerate(sorted(str(k) for k in range(1000)))}
-
-
 def test_multi_append(spark, folder):
     path, _ = folder
     rows = sources.multi_append(spark, {"c1": str(path / "a.txt"), "c2": str(path / "a.txt")})

@@ -76,12 +76,12 @@ def dedup(within: str | None = None, time: str = "ts", order: str | list[str] |
             known, anonymous = lines.where("id is not null"), lines.where("id is null")
             known = known.dropDuplicatesWithinWatermark(["id"]) if within else known.dropDuplicates(["id"])
             return known.unionByName(anonymous)
-        known, anonymous = lines.where("id is not null"), lines.where("id is null")
+        # rows without an id are each a group of their own, in the same pass
+        lines, names = lines.withColumn("_own", F.when(F.col("id").isNull(), F.monotonically_increasing_id())), lines.columns
         if not by:
-            return known.dropDuplicates(["id"]).unionByName(anonymous)
-        row = F.struct(*by, *[c for c in lines.columns if c not in by])
-        first = known.groupBy("id").agg(F.min(row).alias("_row"))
-        return first.select([F.col(f"_row.{c}").alias(c) for c in lines.columns]).unionByName(anonymous)
+            return lines.dropDuplicates(["id", "_own"]).drop("_own")
+        row = F.struct(*by, *[c for c in names if c not in by])
+        return lines.groupBy("id", "_own").agg(F.min(row).alias("_row")).select([F.col(f"_row.{c}").alias(c) for c in names])
 
     return run
 

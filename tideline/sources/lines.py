@@ -89,36 +89,6 @@ def read_lines_stream(spark: SparkSession, path: str, id_from: Column | None = N
     return rows.select("key", "value", (id_from if id_from is not None else F.lit(None)).cast("string").alias("id"))
 
 
-def paced(lines: DataFrame, rows_per_sec: int, tasks: int = 1) -> DataFrame:
-    """A stream of a finite table's rows, at most ``rows_per_sec`` a second (0: all at once).
-
-    The rate is dealt to ``tasks`` in whole rows, as 100 over 3 gives 33 each and 99 in all. Rows are
-    taken by their position in id order, which is fixed in a table before the stream starts.
-    """
-    spark = lines.sparkSession
-    rate = rows_per_sec // tasks * tasks
-    if rows_per_sec and not rate:
-        raise ValueError("fewer rows a second than tasks")
-    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rate or 1_000_000).option("numPartitions", tasks).load()
-    return ticks.select(F.col("value").alias("_at")).join(positions(lines, "id"), "_at").drop("_at")
-
-
-def positions(rows: DataFrame, by: str) -> DataFrame:
-    """rows with _at: their 0-based position in the order of ``by``.
-
-    Sorted partitions are numbered on their own and shifted by the sizes of those before them. They
-    are written to a table first, which fixes who is in which.
-    """
-    from tideline.streaming.run import working_dir
-
-    path = working_dir(rows.sparkSession, "positions")
-    rows.orderBy(by).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()).write.parquet(path)
-    ordered = rows.sparkSession.read.parquet(path)
-    sizes = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_k").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
-    return ordered.join(sizes.select("_p", (before - F.col("first")).alias("shift")), "_p").withColumn("_at", F.col("_k") + F.col("shift")).drop("_p", "_k", "shift")
-
-
 def multi_append(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
     """(client, key, value, id): the lines of one file per client, ready to be sequenced together."""
     out = None

@@ -57,21 +57,29 @@ class Snapshots:
             return None
         return self.spark.read.schema(StructType.fromJson(table["schema"])).parquet(*table["folders"])
 
+    def written(self, batch: int, name: str, df: DataFrame) -> DataFrame:
+        """df, written where a commit of this batch that is given it leaves it."""
+        folder = f"{self.path}/versions/{batch:020d}-{uuid.uuid4().hex}/{name}"
+        df.write.parquet(folder)
+        out = self.spark.read.schema(df.schema).parquet(folder)
+        out.tideline_folder = folder
+        return out
+
     def commit(self, batch: int, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None) -> bool:
         """Make a version in which some tables are replaced and some have more rows; whether it was made."""
         now = self.version()
         if now and now["batch"] >= batch:
             return False
-        own, tables = f"{self.path}/versions/{batch:020d}-{uuid.uuid4().hex}", dict(now["tables"]) if now else {}
-        for name, df in (replace or {}).items():
-            df.write.parquet(f"{own}/{name}")
-            tables[name] = {"schema": df.schema.jsonValue(), "folders": [f"{own}/{name}"]}
-        for name, df in (append or {}).items():
-            df.write.parquet(f"{own}/{name}")
-            before = tables.get(name, {"folders": []})["folders"]
-            tables[name] = {"schema": df.schema.jsonValue(), "folders": [*before, f"{own}/{name}"]}
+        tables, made = dict(now["tables"]) if now else {}, []
+        for changes, grows in ((replace, False), (append, True)):
+            for name, df in (changes or {}).items():
+                df = df if hasattr(df, "tideline_folder") else self.written(batch, name, df)
+                made.append(df.tideline_folder)
+                before = tables[name]["folders"] if grows and name in tables else []
+                tables[name] = {"schema": df.schema.jsonValue(), "folders": [*before, df.tideline_folder]}
         if not self._point(batch, {"batch": batch, "tables": tables}):
-            self._fs.delete(self._path(own[len(self.path) + 1 :]), True)
+            for folder in made:
+                self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(folder), True)
             return False
         self._clear()
         return True

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tideline.operators.lines import dedup
-from tideline.sources.sinks import put_in_place
+from tideline.sources.snapshots import Snapshots
 
 _OWN: dict[str, str] = {}
 
@@ -46,19 +46,20 @@ def run_stream(stream: DataFrame, path: str, checkpoint: str, delivery: str = "e
 
 
 def run_counts(counts: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
-    """Keep a streaming aggregate in Parquet at ``path``.
+    """Keep a streaming aggregate in ``Snapshots`` at ``path``; ``read_snapshot`` reads it.
 
     ``complete`` replaces the table by the whole result after each batch, which is what is flushed at
-    the end of the input; the new table is written beside the old one and takes its place when whole. ``update`` appends the rows that changed, with their batch.
-    The aggregate's state lives in the checkpoint together with the offsets.
+    the end of the input; ``update`` adds the rows that changed, with their batch. A reader finds
+    a whole version at any time, and a batch that is tried again counts once. The aggregate's state
+    lives in the checkpoint together with the offsets.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        table = Snapshots(batch.sparkSession, path)
         if mode == "complete":
-            batch.write.mode("overwrite").parquet(f"{path}.next")
-            put_in_place(batch.sparkSession, f"{path}.next", path)
+            table.commit(number, replace={"rows": batch})
         else:
-            batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(path)
+            table.commit(number, append={"rows": batch.withColumn("batch", F.lit(number).cast("long"))})
 
     counts.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -91,24 +92,3 @@ def liveness_stream(beats: DataFrame, t_fail: float, t_suspect: float | None = N
         yield pd.DataFrame([(key[0], now)] if now != before else [], columns=["id", "state"])
 
     return beats.groupBy("id").applyInPandasWithState(step, "id string, state string", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def sequence_stream(appends: DataFrame, order: str) -> DataFrame:
-    """Appends (file, client, .., order) of a stream with seq per client and block per file, across batches."""
-    fields = appends.schema.fields
-    names = [f.name for f in fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", seq long, block long"
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values([order, "client"], kind="stable")
-        block, last = (state.get[0], dict(state.get[1])) if state.exists else (0, {})
-        seqs, blocks = [], []
-        for client in rows["client"]:
-            last[client] = last.get(client, 0) + 1
-            block += 1
-            seqs.append(last[client])
-            blocks.append(block)
-        state.update((block, last))
-        yield rows[names].assign(seq=seqs, block=blocks)
-
-    return appends.groupBy("file").applyInPandasWithState(step, schema, "block long, clients map<string,long>", "append", GroupStateTimeout.NoTimeout)
