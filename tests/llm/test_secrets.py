@@ -92,3 +92,36 @@ def test_many_matches_in_one_text(spark, sf_dir):
     assert r.n_assign == 60_000 and r.base_sha256 == hashlib.sha256(joined(base(text)).encode()).hexdigest()
     last = len(text) - 1
     assert r.spans.endswith(f"markov:{last - len(RANDOM)}:{last}")
+
+
+ORDINARY = [
+    "-" * 32, "=" * 32, "0" * 20, "_" * 25, "=-" * 14, "1234567890123456789012", "2024-11-28_2024-11-29_2024", "ISBN978-3-16-148410-0-12345", "550e8400-e29b-41d4-a716-446655440000",
+    "6BA7B810-9DAD-11D1-80B4-00C04FD430C8", "/usr/local/share/documents/data", "and/the/other/then/ring/with", "THE_OTHER_AND_THEN_WITH_RING", "theOtherAndThenWithRingHere", "+49-30-1234567-89-0123456", "20241128T101530-20241129", "Then-And-Other-With-These-Here",
+]
+
+
+def test_ordinary_forms_are_no_secrets(spark, sf_dir):
+    """Nothing is planted for the models: they know the documents and what is made by rule."""
+    import random
+
+    rng = random.Random(23)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(rng.randrange(20, 48))) for _ in range(400)]
+    rows = [(1_000_000 + k, f"x {s} y") for k, s in enumerate(ORDINARY)] + [(2_000_000 + k, f"x {s} y") for k, s in enumerate(keys)]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = {r.doc_id: r.n_markov for r in secrets.report(docs.union(spark.createDataFrame(rows, docs.schema))).collect() if r.doc_id >= 1_000_000}
+    assert [s for k, s in enumerate(ORDINARY) if got[1_000_000 + k]] == []
+    assert sum(got[2_000_000 + k] for k in range(400)) >= 0.95 * 400
+
+
+def test_ratio_equals_a_plain_model(spark):
+    """The column's mean ratio, against sums over the tables in plain Python."""
+    from pyspark.sql import functions as F
+
+    counts = {(0, ord(a), ord(b)): n for a, b, n in (("t", "h", 90), ("h", "e", 80), ("e", "r", 40))} | {(1, ord("q"), ord("7")): 5}
+    tables = secrets.ratio_tables(counts)
+    tokens = [RANDOM, "thethethethethethethe", "0" * 20, "THE_THE_THE_THE_THE_THE", "a1-b2"]
+    want = [min(sum(t[128 * ord(a) + ord(b)] for a, b in zip(s, s[1:])) / (len(s) - 1) for t in tables) for s in tokens]
+    columns = [F.split(F.lit(",".join(map(str, t))), ",").cast("array<double>") for t in tables]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in tokens], "s string").select(secrets._ratio(F.col("s"), columns)).collect()]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want))

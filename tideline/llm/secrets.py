@@ -5,7 +5,8 @@ The base patterns give spans of the kinds ``assign``, ``access`` and ``hex``. A
 ordinary identifiers, by their log-likelihood ratio on every long run of key characters. The models
 are counted on labelled samples of at most about ``fit_rows`` documents: the values that the base
 patterns find are random strings, words outside them are ordinary; both are smoothed, the random one
-towards the uniform distribution. A run that touches a base span is left out.
+towards the uniform distribution. What else is ordinary, numbers, rules, ids and names in capitals, has
+models of its own, counted on samples made by rule, and the one that fits a run best is compared. A run that touches a base span is left out.
 
 Positions count code points, ends are exclusive. They follow from the lengths of the matches and of
 the pieces that ``split`` leaves between them. A fold that appends copies what it has so far, so sums run
@@ -115,29 +116,72 @@ def transition_counts(docs: DataFrame, fit_rows: int) -> dict[tuple[int, int, in
     return {(r["label"], r["a"], r["b"]): r["count"] for r in counted.collect()}  # at most 2 x 67 x 67 rows
 
 
-def ratio_table(counts: dict[tuple[int, int, int], int]) -> list[float]:
-    """log P(b | a, random) - log P(b | a, ordinary) at index 128 a + b."""
+def ordinary_forms(counts: dict[tuple[int, int, int], int]) -> list[dict[tuple[int, int], float]]:
+    """Transition counts of forms that ordinary strings have besides words: labelled samples that are made by rule.
+
+    Numbers in groups (dates, telephone and article numbers), rules of one or two marks, hexadecimal ids in
+    either case, and the words of the text joined by marks, in capitals, and run together with capitals.
+    """
+    digits, marks = "0123456789", "-_/.=+"
+    pairs = lambda first, second, weight: {(ord(a), ord(b)): weight for a in first for b in second}
+    numbers = pairs(digits, digits, 30.0) | pairs(digits, marks, 10.0) | pairs(marks, digits, 30.0)
+    rules = {(ord(c), ord(c)): 300.0 for c in ALPHABET} | {(ord(a), ord(b)): 50.0 for a in marks for b in marks if a != b}
+    hexes = [pairs(h, h, 20.0) | pairs(h, "-", 20.0) | pairs("-", h, 20.0) for h in (digits + "abcdef", digits + "ABCDEF")]
+    words: dict[tuple[int, int], float] = {}
+    for (label, a, b), n in counts.items():
+        if not label and chr(a).isalpha() and chr(b).isalpha():
+            key = ord(chr(a).lower()), ord(chr(b).lower())
+            words[key] = words.get(key, 0) + n
+    letters: dict[int, float] = {}
+    for (_, b), n in words.items():
+        letters[b] = letters.get(b, 0) + n
+    raised = lambda c: ord(chr(c).upper())
+    total = max(1.0, sum(letters.values()))
+    joined, capitals, camel = dict(words), {(raised(a), raised(b)): n for (a, b), n in words.items()}, dict(words)
+    for c, n in letters.items():  # a word has seven letters or so
+        for m in marks:
+            for names, own in ((joined, c), (capitals, raised(c))):
+                names[own, ord(m)] = names.get((own, ord(m)), 0) + n / 7 / len(marks)
+                names[ord(m), own] = names.get((ord(m), own), 0) + n
+        for d, k in letters.items():
+            camel[c, raised(d)] = n / 7 * k / total
+    camel |= {(raised(a), b): n for (a, b), n in words.items()}
+    return [numbers, rules, *hexes, *([joined, capitals, camel] if words else [])]
+
+
+def ratio_tables(counts: dict[tuple[int, int, int], int]) -> list[list[float]]:
+    """log P(b | a, random) - log P(b | a, ordinary) at index 128 a + b, for each model of ordinary strings.
+
+    The first is counted on the words of the text, the others on ``ordinary_forms``.
+    """
     codes = [ord(c) for c in ALPHABET]
     ends = {b: 0.5 + sum(counts.get((0, a, b), 0) for a in codes) for b in codes}
-    out = [0.0] * (128 * 128)
+    forms = ordinary_forms(counts)
+    out = [[0.0] * (128 * 128) for _ in range(1 + len(forms))]
     for a in codes:
         rows = [[counts.get((label, a, b), 0) for b in codes] for label in (0, 1)]
         ordinary, random = sum(rows[0]), sum(rows[1])
         rest = max(0.05, 20 / (ordinary + 20))  # what transitions never seen share; all where few samples speak
         share = 0.5 * random / (random + 200)
+        sums = [sum(f.get((a, b), 0) for b in codes) for f in forms]
         for k, b in enumerate(codes):
-            p = (1 - rest) * rows[0][k] / max(1, ordinary) + rest * (0.5 * ends[b] / sum(ends.values()) + 0.5 / len(codes))
             q = share * (rows[1][k] + 0.5) / (random + 0.5 * len(codes)) + (1 - share) / len(codes)
-            out[128 * a + b] = round(math.log(q / p), 4)
+            p = (1 - rest) * rows[0][k] / max(1, ordinary) + rest * (0.5 * ends[b] / sum(ends.values()) + 0.5 / len(codes))
+            out[0][128 * a + b] = round(math.log(q / p), 4)
+            for form, total, table in zip(forms, sums, out[1:]):
+                known = total / (total + 10)
+                p = 0.95 * known * form.get((a, b), 0) / max(total, 1e-9) + (1 - 0.95 * known) / len(codes) / (1 if known else 20)
+                table[128 * a + b] = round(math.log(q / p), 4)
     return out
 
 
-def _ratio(token: Column, table: Column) -> Column:
-    """Mean log-likelihood ratio of a token's transitions."""
+def _ratio(token: Column, tables: list[Column]) -> Column:
+    """Mean log-likelihood ratio of a token's transitions, to the model of ordinary strings that fits it best."""
     codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
     n = F.length(token) - 1
-    pairs = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.element_at(table, a * 128 + b + 1))
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x, lambda acc: acc / n)
+    places = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: a * 128 + b + 1)
+    mean = lambda table: F.aggregate(places, F.lit(0.0), lambda acc, i: acc + F.element_at(table, i), lambda acc: acc / n)
+    return F.least(*[mean(t) for t in tables])
 
 
 def _joined(spans: Column) -> Column:
@@ -149,13 +193,13 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, fit_rows: int = 4_000, least_mean: float = 0.6) -> DataFrame:
     """(doc_id, base, extra): arrays of spans (start, kind, stop), kind counting through KINDS."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ratios = ratio_table(transition_counts(docs, fit_rows))
-    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")  # folded into one literal
+    ratios = ratio_tables(transition_counts(docs, fit_rows))
+    tables = [F.split(F.lit(",".join(map(str, r))), ",").cast("array<double>") for r in ratios]  # each folded into one literal
     found = docs.withColumn("rest", F.col("text"))
     for kind, (pattern, keep) in enumerate(_BASE):
         found = _with_spans(found, "text", pattern, kind, keep, KINDS[kind])
         found = found.withColumn("rest", _masked("rest", pattern, keep))  # so that no further span touches this one
-    found = _with_spans(found.drop("text"), "rest", CANDIDATE, 3, lambda m: _ratio(m, table) >= least_mean, "extra")
+    found = _with_spans(found.drop("text"), "rest", CANDIDATE, 3, lambda m: _ratio(m, tables) >= least_mean, "extra")
     return found.select("doc_id", F.concat(*KINDS[:3]).alias("base"), "extra")
 
 
