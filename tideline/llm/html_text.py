@@ -3,7 +3,9 @@
 1. A page is cut into blocks (text between block-level tags). A block is *main* (inside an article or
    main element), *chrome* (inside navigation, headers, footers, asides, forms, scripts, or container
    elements whose class, id or role names such a thing) or *open* (neither). A paragraph, heading or
-   quotation with such a class is open, also in an article: the word is evidence, and the array decides.
+   quotation with such a class is open, and so are list items, table cells and widgets of an article: the
+   word is evidence, and the array decides. The only article of a page is main whatever its class or
+   that of an element around it; several such articles, as teasers and comments are, are chrome.
 2. The token streams of a host's chrome and open blocks make its suffix array. Suffixes that share
    their first ``min_tokens`` tokens are neighbours in it; a run of places that each have neighbours on
    other pages is a maximal repeat, ``min_tokens`` long or longer. A place counts where its neighbours
@@ -44,23 +46,31 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _ROLE_MAIN = re.compile(r"(?:^|\s)role\s*=\s*[\"']?main\b", re.I)
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark output picture q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# Boxes within a line whose content is no text: what is before and after them stays one block.
+_BOXES = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in ("svg", "math", "button")}
 _RAW = frozenset("script style noscript template svg math iframe object canvas textarea title head select option button".split())
 _CHROME = frozenset("nav footer aside form menu dialog".split()) | _RAW
 _MAIN = frozenset(("article", "main"))
 # Elements of running text: a telling class is evidence there, and decides on others.
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dt dd figcaption".split()) | _INLINE - {"ins"}
+# Parts of lists and tables, and words that articles use for parts of themselves: evidence too, inside an article.
+_ITEMS = frozenset("li td th tr caption figure".split())
+_VAGUE = frozenset("banner modal search widget".split())
 # Class, id and role words. An article inside an element with a layout word is an article all the
 # same ("page with-sidebar"); inside comments or adverts it isn't.
 _AD = re.compile(r"^(?:ads?|advert\w*|adsbygoogle|sponsor\w*|cookies?|consent|gdpr|newsletter|popup)$")
 _BESIDE_AD = re.compile(r"^(?:\d+|area|banner|big|block|bottom|box|container|google|inline|label|leaderboard|left|rectangle|right|side|sidebar|slot|small|space|text|top|unit|wrap|wrapper)$")
-_NEVER_TEXT = re.compile(r"^(?:comments?|disqus|notice|promo|related|subscribe)$")
+_NEVER_TEXT = re.compile(r"^(?:comments?|disqus|notice|promo|related|replies|responses|subscribe)$")
 _LAYOUT = re.compile(r"^(?:banner|breadcrumbs?|complementary|contentinfo|footer|masthead|menu|menubar|modal|nav|navbar|navigation|search|share|sharing|sidebar|social|toolbar|widget)$")
 _IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg")}
 
 
 MAIN, OPEN, CHROME, LAYOUT = 0, 1, 2, 3
+#: Chrome for a class, id or role alone, and an article inside such an element or with such a name itself:
+#: text where the page has no other article, as class words alone can't take a page's only one.
+NAMED, UNDER = 4, 5
 #: What a host repeats is on so many of its pages and on this share of them.
 LEAST_PAGES, SHARE = 3, 0.1
 
@@ -76,20 +86,27 @@ def _kind_inside(name: str, attributes: str, kind: int) -> int:
     """The kind of what an element holds, from its name, its attributes and the kind around it."""
     if kind == CHROME or name in ("html", "body"):
         return kind
-    if name in _CHROME or name == "header" and kind != MAIN:
+    if name in _CHROME or name == "header" and kind not in (MAIN, UNDER):
         return CHROME
+    if kind == NAMED:
+        return UNDER if name in _MAIN else kind
     if "=" not in attributes:
-        return MAIN if name in _MAIN else kind
+        return MAIN if name in _MAIN and kind != UNDER else kind
     names = " ".join("".join(found).lower() for found in _NAMES.findall(attributes)).split()
     words = {w for n in names for w in re.split(r"[_-]+", n)}
+    named = UNDER if name in _MAIN and kind != MAIN else NAMED
     if any(_names_advert(n) for n in names):
-        return CHROME
+        return named
     if any(_NEVER_TEXT.match(w) for w in words):
-        return CHROME if name not in _PROSE else OPEN if kind != LAYOUT else kind
+        return named if name not in _PROSE else OPEN if kind not in (LAYOUT, UNDER) else kind
+    if kind == UNDER:
+        return kind
     if name in _MAIN or "main" in words and _ROLE_MAIN.search(attributes):
         return MAIN
-    if any(_LAYOUT.match(w) for w in words):
-        return LAYOUT if name not in _PROSE else OPEN if kind != LAYOUT else kind
+    if layout := {w for w in words if _LAYOUT.match(w)}:
+        if name in _PROSE or kind == MAIN and (name in _ITEMS or layout <= _VAGUE):
+            return OPEN if kind != LAYOUT else kind
+        return LAYOUT
     return kind
 
 
@@ -120,7 +137,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     text: list[str] = []
     stack: list[list] = []  # [element, the kind around it, inline elements of its name inside it]; inline ones only where they change the kind
     is_open: dict[str, int] = {}
-    kind, at, tags = OPEN, 0, _Tags(page)
+    kind, at, under, tags = OPEN, 0, 0, _Tags(page)
 
     def end_block():
         if text:
@@ -130,7 +147,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 whole = html_lib.unescape(whole)
             whole = _SPACE.sub(" ", whole).strip()
             if whole:
-                out.append((min(kind, CHROME), whole))
+                out.append((kind if kind in (MAIN, OPEN, UNDER) else CHROME, whole))
 
     def leave():
         nonlocal kind
@@ -158,6 +175,9 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if not name:
             continue
         name = name.lower()
+        if name in _BOXES and not closing and not attributes.endswith("/") and (ends := _BOXES[name].search(page, at)):
+            at = ends.end()
+            continue
         if name in _INLINE:
             top = stack[-1] if stack and stack[-1][0] == name else None
             if closing and top:
@@ -185,6 +205,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if name in _VOID or attributes.endswith("/"):
             continue
         inner = _kind_inside(name, attributes, kind)
+        under += inner == UNDER and name in _MAIN
         stack.append([name, kind, 0])
         is_open[name] = is_open.get(name, 0) + 1
         kind = inner
@@ -194,7 +215,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 break
             at = ends.start()
     end_block()
-    return out
+    only = under == 1 and all(k != MAIN for k, _ in out)
+    return [(k if k != UNDER else MAIN if only else CHROME, t) for k, t in out]
 
 
 def host_of(url):
