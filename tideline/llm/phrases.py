@@ -10,6 +10,7 @@
 3. Counting goes by length. A phrase occurs no more often than its parts, so one of ``n`` words is counted
    only where both its parts of ``n - 1`` words are frequent, by a bitmap of these (false positives are
    counted too, and dropped). All that scores need are counts of frequent phrases.
+   Counts of a task go on as compressed blocks, one a range of hashes, and a task a range adds them up.
 4. A phrase is keyed by 64-bit hashes of its two parts of ``n - 1`` words, so tables of one length join the
    next: words, and the counts of all first and last parts, come from there.
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,43 +114,99 @@ def _chunk_words(part: pa.RecordBatch):
 
 
 class _Sums:
-    """Weights summed by key, key columns beside; handed out when there are many."""
+    """Weights summed by key: words by their hash, phrases by those of their two parts."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.held, self.size = [*names, "n"], [], 0
+    def __init__(self):
+        self.held, self.size = [], 0
 
     def add(self, *columns: np.ndarray):
         self.held.append(columns)
         self.size += len(columns[0])
 
-    def taken(self, least: int = 1):
+    def compact(self):
+        """Each key once: (g, keys, n) in order of g, the hash of the key."""
+        *keys, n = (np.concatenate(c) for c in zip(*self.held))
+        g = keys[0] if len(keys) == 1 else _two(*keys)
+        order = np.argsort(g)
+        new = lambda: np.append(True, np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0))
+        first = new()
+        if np.any(first[1:] & (g[order[1:]] == g[order[:-1]])):  # two keys share a hash
+            order = np.lexsort((*keys[::-1], g))
+            first = new()
+        at = np.flatnonzero(first)
+        n, keys = np.add.reduceat(n[order], at), [k[order[at]] for k in keys]
+        self.held, self.size = [(*keys, n)], len(n)
+        return g[order[at]], keys, n
+
+    def blocks(self, parts: int, least: int = 1):
+        """What is held, if it is much: a compressed block for each of ``parts`` ranges of hashes."""
         if self.size < least:
             return
-        *keys, n = (np.concatenate(c) for c in zip(*self.held))
+        g, keys, n = self.compact()
         self.held, self.size = [], 0
-        order = np.argsort(keys[-1])
-        keys, n = [k[order] for k in keys], n[order]
-        new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))  # keys that share a hash may come out in several rows
-        first = np.flatnonzero(new)
-        yield pa.RecordBatch.from_arrays([*(pa.array(k[first].view(np.int64)) for k in keys), pa.array(np.add.reduceat(n, first))], names=self.names)
+        part = (g >> np.uint64(64 - parts.bit_length() + 1)).astype(np.int64) if parts > 1 else np.zeros(len(g), np.int64)
+        cuts, pack = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(g)], zstandard.ZstdCompressor(level=1)
+        packed = []
+        for s, e in zip(cuts, cuts[1:]):
+            order = s + np.argsort(keys[0][s:e])
+            lead = keys[0][order]
+            packed.append(pack.compress(b"".join([np.diff(lead, prepend=lead[:1] * 0).tobytes(), *(k[order].tobytes() for k in keys[1:]), n[order].tobytes()])))
+        yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]], pa.int32()), pa.array(packed, pa.binary())], names=["part", "block"])
+
+
+def _sum_blocks(n_keys: int, least: int):
+    """(g, the keys where there are two, f) of the keys of a part that weigh ``least``."""
 
+    def run(batches):
+        sums, last, unpack = _Sums(), None, zstandard.ZstdDecompressor()
+
+        def frequent():
+            g, keys, n = sums.compact()
+            keep = n >= least
+            columns = [pa.array(k[keep].view(np.int64)) for k in ([g] if n_keys == 1 else [g, *keys])]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(n[keep])], names=[*"gps"[: len(columns)], "f"])
 
-def _count_words(batches):
-    sums = _Sums(["g"])
-    for batch in batches:
-        for part in textwords.slices(batch, "text", SLICE):
-            *_, hashes, row, _, counts = _chunk_words(part)
-            sums.add(hashes[counts], part.column("n").to_numpy()[row[counts]])
-            yield from sums.taken(HELD)
-    yield from sums.taken()
+        for batch in batches:
+            for part, block in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist()):
+                if part != last and last is not None:
+                    yield frequent()
+                    sums = _Sums()
+                last, data = part, np.frombuffer(unpack.decompress(block), np.uint64).reshape(n_keys + 1, -1)
+                sums.add(np.cumsum(data[0]), *data[1:n_keys], data[n_keys].view(np.int64))
+                if len(sums.held) > 1 and sums.size > 2 * len(sums.held[0][0]) + HELD:
+                    sums.compact()
+        if last is not None:
+            yield frequent()
+
+    return run
+
+
+def _frequent(chunks: DataFrame, counter, n_keys: int, least: int, parts: int) -> DataFrame:
+    """Keys that weigh ``least`` over all chunks. A task has a key once, so none makes a large group."""
+    blocks = chunks.mapInArrow(counter, "part int, block binary").repartition(parts, "part").sortWithinPartitions("part")
+    return blocks.mapInArrow(_sum_blocks(n_keys, least), "g long, f long" if n_keys == 1 else "g long, p long, s long, f long")
+
+
+def _count_words(parts: int):
+    def run(batches):
+        sums = _Sums()
+        for batch in batches:
+            for part in textwords.slices(batch, "text", SLICE):
+                *_, hashes, row, _, counts = _chunk_words(part)
+                sums.add(hashes[counts], part.column("n").to_numpy()[row[counts]])
+                yield from sums.blocks(parts, HELD)
+        if sums.size:
+            yield from sums.blocks(parts)
+
+    return run
 
 
-def _count_phrases(size: int, bitmaps: list):
-    """(p, s, g, n) of the phrases of ``size`` words: its first and last part, itself, and its count."""
+def _count_phrases(bitmaps: list, parts: int):
+    """Counts of phrases a word longer than the last bitmap's, by their first and last part."""
 
     def run(batches):
         frequent = [np.frombuffer(b.value, np.uint8) for b in bitmaps]
-        sums = _Sums(["p", "s", "g"])
+        sums = _Sums()
         for batch in batches:
             for part in textwords.slices(batch, "text", SLICE):
                 *_, hashes, row, joined, counts = _chunk_words(part)
@@ -162,9 +220,10 @@ def _count_phrases(size: int, bitmaps: list):
                     p, s, at = g[follows], g[follows + 1], at[follows]
                     g = _two(p, s)
                 own = counts[at]
-                sums.add(p[own], s[own], g[own], part.column("n").to_numpy()[row[at[own]]])
-                yield from sums.taken(HELD)
-        yield from sums.taken()
+                sums.add(p[own], s[own], part.column("n").to_numpy()[row[at[own]]])
+                yield from sums.blocks(parts, HELD)
+        if sums.size:
+            yield from sums.blocks(parts)
 
     return run
 
@@ -214,8 +273,8 @@ def frequent_phrases(docs: DataFrame, least: int = 100, every: int = EVERY, scra
     scratch = scratch or Scratch(docs.sparkSession)
     chunks = scratch.saved(dictionary(docs, every), "dictionary", "zstd")
     totals = chunks.groupBy("lang").agg(F.sum(F.col("n") * F.col("own")).alias("n"))
-    counted = chunks.mapInArrow(_count_words, "g long, n long").groupBy("g").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = scratch.saved(counted, "words")
+    parts = 1 << max(6, min(15, (2 * chunks.rdd.getNumPartitions() - 1).bit_length()))
+    words = scratch.saved(_frequent(chunks, _count_words(parts), 1, least, parts), "words")
     bitmaps = [bitmap_of(words, words.count())]
     spelled = chunks.mapInArrow(_spell(bitmaps[0]), "g long, lang string, word string").groupBy("g").agg(F.first("lang").alias("lang"), F.first("word").alias("word"))
     one = F.array("f")
@@ -223,8 +282,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, every: int = EVERY, scra
     words = words.join(spelled, "g").select("g", nothing.alias("p"), nothing.alias("s"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", one.alias("firsts"), one.alias("lasts"))
     tables = [scratch.saved(words, "phrases-1")]
     for size in range(2, LONGEST + 1):
-        counted = chunks.mapInArrow(_count_phrases(size, bitmaps), "p long, s long, g long, n long").groupBy("p", "s", "g").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        counted = scratch.saved(counted, f"counts-{size}")
+        counted = scratch.saved(_frequent(chunks, _count_phrases(bitmaps, parts), 2, least, parts), f"counts-{size}")
         first = tables[-1].select(F.col("g").alias("p"), "lang", F.col("phrase").alias("before"), "firsts")
         second = tables[-1].select(F.col("g").alias("s"), "last", "lasts")
         grown = counted.join(first, "p").join(second, "s")
