@@ -57,3 +57,9 @@ def test_most_frequent_labels_are_learned(spark):
     given = rows(("aa",), 9) + rows(("bb",), 8) + rows(("cc",), 3) + [("x y z", None), (None, "aa")]
     model = language_id.fit(spark.createDataFrame(given, "text string, lang string"), max_languages=2)
     assert model.languages == ["aa", "bb"]
+
+
+def test_identify_on_an_empty_table(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    found = language_id.identify(empty)
+    assert found.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"] and found.collect() == []

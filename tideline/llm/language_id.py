@@ -13,7 +13,8 @@ Cases: a null text or one without a letter is ``und`` with score 0; a row withou
 fitted on; with one label known all texts with letters get it, with none they are ``und``; equal
 losses go to the first language in code-point order; repeated rows get equal results; a text of any
 length is read in pieces of 1 MB that share three bytes, and every n-gram counts once; columns named
-like a result are replaced by ``predict`` and come back unchanged from ``accepted``.
+like a result are replaced by ``predict`` and come back unchanged from ``accepted``; an empty table gives
+no rows.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ vectors, never the pairs.
 
 Cases: vectors that are null, empty, zero, or have a null or non-finite component, and those without
 a label, link with nothing and are kept; vectors of different lengths never link; copies link with
-each other; rows that repeat a vec_id are marked alike; a row without vec_id that links with nothing
+each other; a cosine of exactly the threshold, as double precision gives it, is a link; rows that repeat a vec_id are marked alike; a row without vec_id that links with nothing
 is kept; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
