@@ -110,7 +110,7 @@ def test_twenty_batches_read_each_row_once_and_a_restart_goes_on(spark, saved, t
     assert [x for n in sorted(by_batch) for x in by_batch[n]] == [f"{k:03d}" for k in range(100)]
     assert sorted(by_batch) == list(range(20)) and {len(x) for x in by_batch.values()} == {5}
     assert max(p["numInputRows"] for p in done) == 5
-    assert json.loads((tmp_path / "c-source" / "progress").read_text()) == {"at": 100} or True
+    assert json.loads((tmp_path / "c-source" / "progress").read_text())["at"] in (95, 100)  # the last batch is committed with the next
     other = ranges.run_to_end(ranges.range_stream(spark, saved, 50, str(tmp_path / "c2")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c2")))
     assert sum(p["numInputRows"] for p in other) == 100  # a new job begins at the beginning
 
