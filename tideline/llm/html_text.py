@@ -6,14 +6,15 @@
    quotation with such a class is open, and so are list items, table cells and widgets of an article: the
    word is evidence, and the array decides. The only article of a page is main whatever its class or
    that of an element around it; several such articles, as teasers and comments are, are chrome.
-2. The token streams of a host's chrome and open blocks make its suffix array. Suffixes that share
-   their first ``min_tokens`` tokens are neighbours in it; a run of places that each have neighbours on
-   other pages is a maximal repeat, ``min_tokens`` long or longer. A place counts where its neighbours
-   are on at least ``LEAST_PAGES`` pages and ``SHARE`` of the host's pages; pages of a host with the same
-   main and open blocks are copies and count as one. The array is dealt out by a 128-bit hash of a
-   suffix's first ``min_tokens`` tokens, so that neighbours meet and counts combine before the shuffle,
-   and a host with a third of all pages is no larger a task than any other. Blocks shorter than
-   ``min_tokens`` are one suffix of all their tokens. Repeats are cut out of open blocks; unique runs stay.
+2. A page's chrome and open blocks, joined, are its token stream; the streams of a host's pages make its
+   suffix array. Suffixes are sorted by host and first ``min_tokens`` tokens in range partitions; runs of
+   neighbours with that prefix in common are repeats, ``min_tokens`` long, and longer ones are repeats at
+   consecutive places of a page, so sorting deeper would cover no other token. A run counts where it is
+   on at least ``LEAST_PAGES`` pages and ``SHARE`` of the host's pages; pages of a host with the same main
+   and open blocks are copies and count as one. Pages are part of the sort order, so a run of any size,
+   or a host with a third of all pages, spans as many tasks as it fills; its parts are added up after. A
+   block shorter than ``min_tokens`` is also compared whole. What a repeat covers of an open block is cut
+   if it is the whole block or ``min_tokens`` long, wherever the repeat began; unique runs stay.
 3. The text of a page is its main blocks and what is left of its open blocks, in page order. Chrome is
    evidence for the array and never text.
 
@@ -32,7 +33,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import Scratch
@@ -73,6 +75,7 @@ MAIN, OPEN, CHROME, LAYOUT = 0, 1, 2, 3
 NAMED, UNDER = 4, 5
 #: What a host repeats is on so many of its pages and on this share of them.
 LEAST_PAGES, SHARE = 3, 0.1
+_SUFFIX = "host string, page long, stream long, place int, length int, prefix string"
 
 
 def _names_advert(name: str) -> bool:
@@ -226,79 +229,165 @@ def host_of(url):
 
 
 def _parse(batches):
-    """Every row with its blocks. page: a hash of main and open blocks, the same for copies."""
+    """Every row with its blocks. page: a hash of main and open blocks, the same for copies; stream: of what the array reads."""
     from xxhash import xxh3_64_intdigest
 
+    def hashes(pages):
+        return pa.array(np.array([xxh3_64_intdigest("\0".join(x).encode("utf-8", "surrogatepass")) for x in pages], np.uint64).astype(np.int64))
+
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             found = [blocks(page.as_py() or "") for page in part.column("html")]
-            own = ["\0".join(t for k, t in page if k != CHROME) for page in found]
-            pages = np.array([xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in own], np.uint64).astype(np.int64)
-            kinds = pa.array([[k for k, _ in page] for page in found], pa.list_(pa.int32()))
-            texts = pa.array([[t for _, t in page] for page in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(pages), kinds, texts], names=["page_id", "url", "page", "kinds", "texts"])
+            page = hashes([t for k, t in one if k != CHROME] for one in found)
+            stream = hashes([f"{k}{t}" for k, t in one if k != MAIN] for one in found)
+            kinds = pa.array([[k for k, _ in one] for one in found], pa.list_(pa.int32()))
+            texts = pa.array([[t for _, t in one] for one in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), page, stream, kinds, texts], names=["page_id", "url", "page", "stream", "kinds", "texts"])
 
 
-def _uncovered(min_tokens: int):
-    """Blocks without the tokens that a repeat reaches."""
+def _short(token: str) -> str:
+    """A token as it is compared: long ones by their 128-bit hash, so that a suffix's prefix has bounded size."""
+    from xxhash import xxh3_128_hexdigest
 
-    def run(batches):
-        for batch in batches:
-            left = []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
-                tokens = text.split(" ")
-                depth = np.zeros(len(tokens) + 1, np.int64)
-                np.add.at(depth, places, 1)
-                np.add.at(depth, np.array(places) + min(min_tokens, len(tokens)), -1)
-                left.append(" ".join(tokens[i] for i in np.flatnonzero(np.cumsum(depth[:-1]) == 0)))
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("block"), pa.array(left, pa.string())], names=["host", "block", "left"])
+    return token if len(token) <= 32 else "\n" + xxh3_128_hexdigest(token.encode("utf-8", "surrogatepass"))
 
-    return run
 
+def places(kinds: list[int], texts: list[str], min_tokens: int, open_only: bool):
+    """(place, length, prefix) of a page's suffixes: its blocks other than main ones are one token stream.
+
+    A suffix's prefix is its first ``min_tokens`` tokens, whatever blocks they are in; suffixes with
+    fewer have none. A block of fewer tokens is also compared whole, marked as such.
+    """
+    tokens, opened = [], [0]
+    for kind, text in zip(kinds, texts):
+        if kind == MAIN:
+            continue
+        words = [_short(t) for t in text.split(" ")]
+        if len(words) < min_tokens and (kind == OPEN or not open_only):
+            yield len(tokens), len(words), "\n\n" + " ".join(words)
+        tokens += words
+        opened += [opened[-1] + (kind == OPEN) * (i + 1) for i in range(len(words))]
+    for k in range(len(tokens) - min_tokens + 1):
+        if not open_only or opened[k + min_tokens] > opened[k]:
+            yield k, min_tokens, " ".join(tokens[k : k + min_tokens])
 
-def _suffixes(min_tokens: int, most: int = 1 << 16):
-    """One row for each suffix of a block: its position and the hash of its first min_tokens tokens."""
-    from xxhash import xxh3_128_digest
+
+def _suffixes(min_tokens: int, open_only: bool, most: int = 1 << 15):
+    """One row for each suffix of a page's stream."""
 
     def run(batches):
         for batch in batches:
-            names = [n for n in batch.schema.names if n != "text"]
-            rows, places, prefixes = [], [], []
+            rows, found = [], []
 
             def made():
-                take, both = pa.array(rows, pa.int64()), np.frombuffer(b"".join(prefixes), "<i8").reshape(-1, 2)
-                return pa.RecordBatch.from_arrays(
-                    [batch.column(n).take(take) for n in names] + [pa.array(places, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=names + ["place", "prefix", "prefix2"]
-                )
-
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                tokens = text.split(" ")
-                size = min(min_tokens, len(tokens))
-                for k in range(len(tokens) - size + 1):
+                take = pa.array(rows, pa.int64())
+                columns = [pa.array(c, t) for c, t in zip(zip(*found) if found else ([], [], []), (pa.int32(), pa.int32(), pa.string()))]
+                return pa.RecordBatch.from_arrays([batch.column(n).take(take) for n in ("host", "page", "stream")] + columns, names=["host", "page", "stream", "place", "length", "prefix"])
+
+            for i, (kinds, texts) in enumerate(zip(batch.column("kinds"), batch.column("texts"))):
+                for one in places(kinds.as_py(), texts.as_py(), min_tokens, open_only):
                     rows.append(i)
-                    places.append(k)
-                    prefixes.append(xxh3_128_digest(f"{size} {' '.join(tokens[k : k + size])}".encode("utf-8", "surrogatepass")))
+                    found.append(one)
                     if len(rows) == most:
                         yield made()
-                        rows, places, prefixes = [], [], []
+                        rows, found = [], []
             yield made()
 
     return run
 
 
-def repeated_blocks(block: DataFrame, min_tokens: int, scratch: Scratch) -> DataFrame:
-    """(host, block, left) of the open blocks (page, host, block, kind, text) that repeats reach."""
-    pages = block.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    suffix = block.select("host", "page", "text").mapInArrow(_suffixes(min_tokens), "host string, page long, place int, prefix long, prefix2 long")
-    prefix = ["host", "prefix", "prefix2"]
-    group = suffix.select(*prefix, "page").distinct().groupBy(*prefix).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
-    repeated = scratch.saved(group.join(pages, "host").where(F.col("n") >= SHARE * F.col("pages")).select(*prefix), "prefixes")
-    block = scratch.saved(block.where(F.col("kind") == OPEN).select("host", "block", "text").distinct(), "texts")
-    suffix = block.mapInArrow(_suffixes(min_tokens), "host string, block long, place int, prefix long, prefix2 long")
-    places = suffix.join(repeated, prefix).groupBy("host", "block").agg(F.collect_set("place").alias("places"))  # a block's own
-    covered = block.select("host", "block", "text").join(places, ["host", "block"])
-    return covered.mapInArrow(_uncovered(min_tokens), "host string, block long, left string")
+def _runs(batches):
+    """Runs of a sorted part of the array whose suffixes share their prefix, with the pages they are on.
+
+    Runs of fewer than LEAST_PAGES pages stay behind, but for a part's first and last, which may go on in others.
+    """
+    names = ["host", "prefix", "first", "last", "n"]
+    last, is_first = None, True
+
+    def made(runs):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*runs), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        host, prefix, page = batch.column("host"), batch.column("prefix"), batch.column("page").to_numpy()
+        differs = pc.or_(pc.not_equal(host.slice(1), host.slice(0, len(host) - 1)), pc.not_equal(prefix.slice(1), prefix.slice(0, len(prefix) - 1)))
+        starts = np.r_[True, differs.to_numpy(zero_copy_only=False)]
+        news = starts.copy()
+        news[1:] |= page[1:] != page[:-1]
+        at = np.flatnonzero(starts)
+        n, ends = np.add.reduceat(news.astype(np.int64), at), np.r_[at[1:], len(page)] - 1
+        out = []
+        for j in sorted({0, len(at) - 1} | set(np.flatnonzero(n >= LEAST_PAGES).tolist())):
+            run = [host[at[j]].as_py(), prefix[at[j]].as_py(), int(page[at[j]]), int(page[ends[j]]), int(n[j])]
+            if j == 0 and last and last[:2] == run[:2]:
+                run = [*run[:2], last[2], run[3], last[4] + run[4] - (last[3] == run[2])]
+            elif j == 0 and last:
+                out += [last] if is_first or last[4] >= LEAST_PAGES else []
+                is_first = False
+            if j == len(at) - 1:
+                last = run
+            else:
+                out += [run] if is_first or run[4] >= LEAST_PAGES else []
+                is_first = False
+        if out:
+            yield made(out)
+    if last:
+        yield made([last])
+
+
+def repeated_prefixes(stream: DataFrame, min_tokens: int) -> DataFrame:
+    """(host, prefix) of what enough of a host's pages hold, from stream(host, page, stream, kinds, texts), one row a stream."""
+    pages = stream.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    suffix = stream.mapInArrow(_suffixes(min_tokens, False), _SUFFIX).select("host", "prefix", "page", "stream")
+    order = ["host", "prefix", "page", "stream"]
+    run = suffix.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, "host string, prefix string, first long, last long, n long")
+    # parts of a run, in order: a page that one ends with and the next begins with is one page
+    before = F.lag("last").over(Window.partitionBy("host", "prefix").orderBy("first", "last"))
+    whole = run.withColumn("n", F.col("n") - F.coalesce((before == F.col("first")).cast("long"), F.lit(0))).groupBy("host", "prefix").agg(F.sum("n").alias("n"))
+    return whole.where(F.col("n") >= LEAST_PAGES).join(pages, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "prefix")
+
+
+def left_of(kinds: list[int], texts: list[str], covered: list[tuple[int, int]], min_tokens: int) -> str:
+    """A page's text without the repeats in its open blocks, given as (place, length) in its stream.
+
+    What a repeat covers of a block goes where it is the whole block or ``min_tokens`` long: the first word
+    of a story isn't cut because other stories begin alike below the same menu.
+    """
+    sizes = [0 if k == MAIN else t.count(" ") + 1 for k, t in zip(kinds, texts)]
+    depth = np.zeros(sum(sizes) + 1, np.int64)
+    for place, length in covered:
+        depth[place] += 1
+        depth[place + length] -= 1
+    is_covered, at, out = np.cumsum(depth[:-1]) > 0, 0, []
+    for kind, text, size in zip(kinds, texts, sizes):
+        inside = is_covered[at : at + size]
+        at += size
+        if kind == CHROME:
+            continue
+        if kind == OPEN and inside.any():
+            borders = np.flatnonzero(np.diff(np.r_[0, inside.astype(np.int8), 0]))
+            gone = np.zeros(size, bool)
+            for begin, end in zip(borders[::2], borders[1::2]):
+                gone[begin:end] = end - begin >= min(min_tokens, size)
+            tokens = text.split(" ")
+            text = " ".join(tokens[i] for i in np.flatnonzero(~gone))
+        if text:
+            out.append(text)
+    return " ".join(out)
+
+
+def _texts(min_tokens: int):
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for kinds, found, covered in zip(batch.column("kinds"), batch.column("texts"), batch.column("covered")):
+                covered = [(c["place"], c["length"]) for c in covered.as_py() or []]
+                texts.append(left_of(kinds.as_py(), found.as_py(), covered, min_tokens))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
 
 
 def extract(pages: DataFrame, min_tokens: int = 8) -> DataFrame:
@@ -306,24 +395,19 @@ def extract(pages: DataFrame, min_tokens: int = 8) -> DataFrame:
     scratch = Scratch(pages.sparkSession)
     given = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     id_type = dict(given.dtypes)["page_id"]
-    parsed = given.mapInArrow(_parse, f"page_id {id_type}, url string, page long, kinds array<int>, texts array<string>")
-    parsed = parsed.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("row", F.monotonically_increasing_id())
-    parsed = scratch.saved(parsed, "blocks", "zstd")  # fixes the row numbers
+    parsed = given.mapInArrow(_parse, f"page_id {id_type}, url string, page long, stream long, kinds array<int>, texts array<string>")
+    parsed = parsed.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
+    parsed = scratch.saved(parsed, "blocks", "zstd")
 
     has_open = F.array_contains("kinds", OPEN)
-    # main blocks stay behind before blocks become rows
+    key = ["host", "page", "stream"]
+    # main blocks stay behind; copies of a page are one row of the array
     tested = F.filter(F.arrays_zip("kinds", "texts"), lambda b: b["kinds"] != MAIN)
-    block = parsed.select("host", "page", F.explode(tested).alias("b")).select("host", "page", F.col("b.kinds").alias("kind"), F.col("b.texts").alias("text"))
-    known = scratch.saved(repeated_blocks(block.withColumn("block", F.xxhash64("text", F.lit(1))), min_tokens, scratch), "repeated")
-
-    shown = parsed.where(has_open).select("row", "host", F.posexplode(F.arrays_zip("kinds", "texts")).alias("i", "b"))
-    shown = shown.select("row", "host", "i", F.col("b.kinds").alias("kind"), F.col("b.texts").alias("text")).where(F.col("kind") != CHROME)
-    main = shown.where(F.col("kind") == MAIN).select("row", "i", "text")
-    rest = shown.where(F.col("kind") == OPEN).withColumn("block", F.xxhash64("text", F.lit(1))).join(known, ["host", "block"], "left")
-    rest = rest.select("row", "i", F.coalesce("left", "text").alias("text")).where("text <> ''")
-    texts = rest.union(main).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("parts"))  # a row's own blocks
-    texts = texts.select("row", F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
-    some = parsed.where(has_open).select("row", "page_id", "url").join(texts, "row", "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
+    stream = parsed.select(*key, tested.alias("b")).where(F.size("b") > 0).select(*key, F.col("b.kinds").alias("kinds"), F.col("b.texts").alias("texts")).dropDuplicates(key)
+    known = scratch.saved(repeated_prefixes(stream, min_tokens), "repeated", "zstd")
+    suffix = stream.where(has_open).mapInArrow(_suffixes(min_tokens, True), _SUFFIX)
+    covered = suffix.join(known, ["host", "prefix"], "left_semi").groupBy(*key).agg(F.collect_list(F.struct("place", "length")).alias("covered"))  # a page's own
+    some = parsed.where(has_open).join(covered, key, "left").select("page_id", "url", "kinds", "texts", "covered").mapInArrow(_texts(min_tokens), f"page_id {id_type}, url string, text string")
     main_text = F.array_join(F.transform(F.filter(F.arrays_zip("kinds", "texts"), lambda b: b["kinds"] == MAIN), lambda b: b["texts"]), " ")
     return parsed.where(~has_open).select("page_id", "url", main_text.alias("text")).union(some)
 
