@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from tideline.functions import csvline
 from tideline.functions.ring import ring_id, ring_number
-from tideline.operators import aggregate, appendlog, fleet, hashtree, lineindex, lines, logs, mergedlog, metrics, placement, reconcile
+from tideline.operators import aggregate, appendlog, fleet, hashtree, heavy, lineindex, lines, logs, mergedlog, metrics, placement, reconcile
 from tideline.plans.keyed import register_state_op
 from tideline.plans.pipeline import Pipeline, register_keyed_op, register_row_op
 from tideline.sources import records, sinks
 from tideline.sources.lines import multi_append, read_lines, read_lines_stream, table_lines
 from tideline.sources.snapshots import read_snapshot
 from tideline.streaming import expiring, ranges
+from tideline.streaming import heavy as heavy_stream
 from tideline.streaming import run as streams
 from tideline.streaming.sequence import run_sequenced
 
@@ -58,6 +59,10 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_lines(_t(spark, sf_dir, "events"), F.col("event_id"), value)
 
 
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("key"))
+
+
 def grep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, n) of lines of users 0 to 4, by event type."""
     return aggregate.count_by_key(lines.grep("user, [0-4]", 3)(event_lines(spark, sf_dir)))
@@ -131,6 +136,19 @@ def top_k_keys(spark, sf_dir):
     return _as_text(aggregate.top_k(aggregate.count_by_key(users), 10), "n")
 
 
+@query("SELECT CAST(o_custkey AS VARCHAR) AS key, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, key LIMIT 10")
+def heavy_keys(spark, sf_dir):
+    """The ten customers with the most orders."""
+    return heavy.heavy_keys(_t(spark, sf_dir, "orders"), 10, "o_custkey")
+
+
+@query("""WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS key FROM documents)
+    SELECT key, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, key LIMIT 25""")
+def heavy_words(spark, sf_dir):
+    """The 25 most frequent words of all documents."""
+    return heavy.heavy_keys(_words(spark, sf_dir), 25)
+
+
 @query(f"WITH {EV}, {COUNTS} SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS total, count(DISTINCT key) AS unique_keys, floor(sum(n) / 7.0 * 100) / 100 AS rows_per_sec FROM counts")
 def totals(spark, sf_dir):
     return aggregate.totals(grep_counts(spark, sf_dir), 7.0)
@@ -385,6 +403,19 @@ def stream_grep_count(spark, sf_dir):
     return read_snapshot(spark, out)
 
 
+@query("""WITH w AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS key FROM documents), c AS (SELECT key, count(*) AS n FROM w GROUP BY 1)
+    SELECT key, n, true AS within FROM c WHERE n * 201 > (SELECT count(*) FROM w)""")
+def stream_heavy_keys(spark, sf_dir):
+    """Words with more than a 201st of all words, which 200 counters can't miss, and whether the stream's bounds hold their counts."""
+    out, path = streams.working_dir(spark, "heavy"), streams.working_dir(spark, "rows")
+    _words(spark, sf_dir).repartition(8).write.parquet(path)
+    heavy_stream.run_heavy(spark.readStream.schema("key string").option("maxFilesPerTrigger", 2).parquet(path), out, f"{out}-checkpoint", capacity=200)
+    rows = spark.read.parquet(path)
+    bounds = heavy_stream.read_heavy(spark, out)
+    counts = aggregate.count_by_key(rows).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("all")))).where("n * 201 > all")
+    return counts.join(bounds, "key", "left").select("key", "n", F.coalesce(F.col("n").between(F.col("at_least"), F.col("at_most")), F.lit(False)).alias("within"))
+
+
 @query(f"WITH {EV} SELECT value, id FROM ev")
 def stream_dedup(spark, sf_dir):
     """Every line twice, in two sets of files; each id comes out once."""
