@@ -11,8 +11,9 @@ that doubles can't split.
 Rates become whole copies with one hash number a document; a shift of these numbers per source,
 read off a distributed histogram, brings the rounded tokens to the target.
 
-Sources, targets and multipliers are a table from step to step, of any number of sources; it is
-broadcast to the documents up to ``BROADCAST_SOURCES`` rows, which are counted, and joined beyond.
+Up to ``BROADCAST_SOURCES`` sources, which are counted, targets and multipliers are arrays in the driver
+from step to step and a small table that is broadcast to the documents. Beyond, they are a saved table
+from step to step, of any number of sources, and joined.
 
 Cases: null text has size 0; a null source is a source, last in order; a source without tokens has
 target 0; documents of size 0 add nothing whatever is taken; rows that repeat both doc_id and text
@@ -26,6 +27,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -74,17 +77,73 @@ class Mix:
         tokens = F.col("size") * F.col("n")
         sources = counts.groupBy("source").agg(F.sum(tokens).alias("tokens"), exact_sum(tokens * F.col("size").cast("double")).cast("double").alias("squares"))
         sources = self.scratch.saved(sources.withColumn("no_source", F.col("source").isNull()), "tokens")
+        few = sources.limit(BROADCAST_SOURCES + 1).collect()
+        self.n = len(few)
+        if self.n <= BROADCAST_SOURCES:
+            self.table = self._solve_few(counts, few, ratio)
+        else:
+            self.table = self._targets(sources, ratio)
+            self.table = self.scratch.saved(self._solve(counts), "multipliers")
+        self.table = self.scratch.saved(self._round(sizes), "shifts")
+        self.scratch.drop(counts, sources)
+
+    def _targets(self, sources: DataFrame, ratio: float) -> DataFrame:
+        """(_source, _total, _scale, _target) of any number of sources(source, tokens, squares, no_source)."""
         weight = F.get(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS)).cast("int"))
         ranked = total_within(sources, [], ["no_source", "source"], None, "place").withColumn("weight", weight)
         ranked = self.scratch.saved(ranked.select("source", "tokens", "squares", "weight"), "weights")
         self.n, total = ranked.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-        level = water_level(ranked, ratio * total, max_copies)
-        target = F.when(F.col("tokens") > 0, F.least(F.lit(level) * F.col("weight"), F.lit(float(max_copies)) * F.col("tokens"))).otherwise(0.0)
+        level = water_level(ranked, ratio * total, self.max_copies)
+        target = F.when(F.col("tokens") > 0, F.least(F.lit(level) * F.col("weight"), F.lit(float(self.max_copies)) * F.col("tokens"))).otherwise(0.0)
         scale = F.when(F.col("tokens") > 0, F.col("squares") / F.col("tokens")).otherwise(1.0)
-        self.table = ranked.select(F.col("source").alias("_source"), F.col("tokens").alias("_total"), scale.alias("_scale"), target.alias("_target"))
-        self.table = self.scratch.saved(self._solve(counts), "multipliers")
-        self.table = self.scratch.saved(self._round(sizes), "shifts")
-        self.scratch.drop(counts, sources, ranked)
+        table = ranked.select(F.col("source").alias("_source"), F.col("tokens").alias("_total"), scale.alias("_scale"), target.alias("_target"))
+        return self.scratch.saved(table, "targets")
+
+    def _solve_few(self, counts: DataFrame, sources: list, ratio: float, tolerance: float = 1e-9) -> DataFrame:
+        """The table with _lam, as ``_solve`` makes it, for at most ``BROADCAST_SOURCES`` sources.
+
+        Targets and brackets stay in the driver; a Newton step sends it one row a source, and no state is written.
+        """
+        sources = sorted(sources, key=lambda r: (r["no_source"], r["source"] or ""))
+        total = np.array([r["tokens"] or 0 for r in sources], np.int64)
+        squares = np.array([r["squares"] or 0.0 for r in sources], np.float64)
+        weight, most, some = np.resize(np.array(WEIGHTS), len(sources)), float(self.max_copies), total > 0
+        level, full = 0.0, np.zeros(len(sources), bool)
+        while some.any() and (free := weight[some & ~full].sum()):
+            level = (ratio * float(total.sum()) - most * float(total[full].sum())) / free
+            over = some & (level * weight > most * total)
+            if (over == full).all():
+                break
+            full = over
+        target = np.where(some, np.minimum(level * weight, most * total), 0.0)
+        scale = np.where(some, squares / np.maximum(total, 1), 1.0)
+        whole = target >= most * total * (1 - 1e-12)
+        lam, low, high, done = np.zeros(len(sources)), np.full(len(sources), -np.inf), np.full(len(sources), np.inf), whole.copy()
+        names = [r["source"] for r in sources]
+        while not done.all():
+            left = np.flatnonzero(~done)
+            step = pa.table({"_k": left, "_source": pa.array([names[k] for k in left], pa.string()), "_lam": lam[left], "_scale": scale[left]})
+            tilt = F.col("_lam") * F.col("size") / F.col("_scale")
+            rate, tokens = F.exp(F.least(tilt, F.lit(math.log(most)))), F.col("size") * F.col("n")
+            found = self._with(counts, self.spark.createDataFrame(step)).groupBy("_k").agg(
+                exact_sum(tokens * rate).cast("double").alias("value"), exact_sum(F.when(tilt < math.log(most), tokens * rate * F.col("size") / F.col("_scale")).otherwise(0.0)).cast("double").alias("slope")
+            )
+            for r in found.collect():
+                k, gap = r["_k"], r["value"] - target[r["_k"]]
+                if gap < 0:
+                    low[k] = max(low[k], lam[k])
+                else:
+                    high[k] = min(high[k], lam[k])
+                newton = lam[k] - gap / r["slope"] if r["slope"] > 0 else math.inf
+                bracketed = low[k] > -math.inf and high[k] < math.inf
+                if abs(gap) <= tolerance * target[k] or bracketed and high[k] - low[k] <= 1e-15 * (abs(low[k]) + abs(high[k])):
+                    done[k] = True
+                elif low[k] < newton < high[k] and abs(newton - lam[k]) <= 8 * (1 + abs(lam[k])):
+                    lam[k] = newton
+                else:
+                    lam[k] = (low[k] + high[k]) / 2 if bracketed else lam[k] - math.copysign(1, gap) * (1 + abs(lam[k]))
+        solved = {"_source": pa.array(names, pa.string()), "_total": total, "_scale": scale, "_target": target, "_lam": pa.array(lam, mask=whole)}
+        return self.spark.createDataFrame(pa.table(solved))
 
     def _with(self, df: DataFrame, table: DataFrame) -> DataFrame:
         """df with its source's row; where the table may be broadcast, df stays where it is."""
