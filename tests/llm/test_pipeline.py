@@ -13,7 +13,7 @@ import test_near_join
 
 def test_stages_and_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_dedup", "decontaminate", "mix", "token_files"]
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14)) and set(ORACLE) <= set(QUERIES)
 
 
 def test_pipeline_equals_brute_force(spark, sf_dir, tmp_path):
