@@ -83,11 +83,25 @@ def test_line_dedup(spark):
     docs = spark.createDataFrame(pages, "doc_id long, text string, source string").selectExpr("*", "1 as n_dropped")
     got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.report(docs, ratio=0.5).collect()}
     assert got[0] == ("line 0", 1) and got[1] == ("line 1\n\nfoot", 1) and got[100] == ("head\nfoot", 0) and got[101] == (None, 0) and got[102] == ("", 0)
-    several = line_dedup.drop_boilerplate(docs, "source", ratio=0.4, max_lines=1)
-    assert {r.doc_id: (r.text, r.n_dropped) for r in several.collect()}[1] == ("line 1\n", 2)
+    joined = line_dedup.drop_boilerplate(docs, "source", ratio=0.4, max_lines=1)
+    assert {r.doc_id: (r.text, r.n_dropped) for r in joined.collect()}[1] == ("line 1\n", 2)
     assert line_dedup.report(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_many_lines(spark):
+    """A null site, repeated rows, clashing names, lines on exactly the ratio: the same broadcast and joined."""
+    rows = [(k, "\n".join(["menu", f"own {k}", " ", "menu", "half" if k % 2 else "other"]), site) for k in range(12) for site in ("a", "b", None)]
+    docs = spark.createDataFrame(rows + rows + [(99, None, None), (None, "", "a")], "doc_id long, text string, source string")
+    docs = docs.selectExpr("*", "1 AS site", "2 AS page_lines", "3 AS page_key")
+    one, joined = (line_dedup.drop_boilerplate(docs, "source", ratio=0.47, max_lines=m) for m in (100, 2))
+    assert one.columns == joined.columns == [*docs.columns, "n_dropped"] and one.dtypes == joined.dtypes
+    assert sorted(map(str, one.collect())) == sorted(map(str, joined.collect()))
+    got = {(r.doc_id, r.source): (r.text, r.n_dropped) for r in joined.collect()}
+    assert got[3, "b"] == got[3, None] == ("own 3\n ", 3) and got[99, None] == (None, 0) and got[None, "a"] == ("", 0)
+    exact = line_dedup.drop_boilerplate(docs.where("doc_id is not null and text is not null"), "source", ratio=0.5, max_lines=1)
+    assert {r.n_dropped for r in exact.collect()} == {2}  # "half" and "other" are on just half of the pages
+
+
 def test_mixing_meets_targets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("source in ('src0', 'src1', 'src2', 'src3')").unionByName(spark.createDataFrame(EDGE, SCHEMA), allowMissingColumns=True)
     rows = mixing.report(docs).collect()

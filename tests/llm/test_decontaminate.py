@@ -1,7 +1,11 @@
 import hashlib
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tideline.llm import decontaminate
+from tideline.llm.bloom import Bloom
 from tideline.llm.common import table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -31,7 +35,7 @@ def brute_force(docs, items, n=10):
     return out
 
 
-def test_equals_brute_force_in_one_block_and_in_several(spark, sf_dir):
+def test_equals_brute_force_in_one_block_and_joined(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     long = "word " * 300_000 + "Größe zwei 3 vier fünf sechs sieben acht neun zehn elf"
     docs = docs.union(spark.createDataFrame([(9001, None), (9002, ""), (9003, "x" * 3_000_000), (9004, long), (9005, "only THREE words"), (9006, "say only three words!")], docs.schema))
@@ -40,8 +44,27 @@ def test_equals_brute_force_in_one_block_and_in_several(spark, sf_dir):
     assert sum(v[4] for v in expected.values()) > 5
     got = {r[0]: tuple(r[1:]) for r in decontaminate.report(docs, items).collect()}
     assert got == expected
-    blocks = decontaminate.scan(docs, items, max_windows=400).collect()
-    assert {r.doc_id: (r.n_words, len(r.hit_words), len(r["items"])) for r in blocks} == {k: v[:3] for k, v in expected.items()}
+    twice = docs.withColumn("digest", F.lit(1)).union(docs.withColumn("digest", F.lit(1)))
+    joined = decontaminate.scan(twice, items, max_windows=400)
+    assert joined.columns == ["doc_id", "text", "digest", "n_words", "hit_words", "items"]
+    one = decontaminate.scan(twice, items)
+    assert sorted(map(tuple, joined.drop("text").collect()), key=str) == sorted(map(tuple, one.drop("text").collect()), key=str)
+    assert joined.dtypes == one.dtypes and joined.count() == 2 * len(expected)
+
+
+def test_spans_are_cut_for_any_number_of_windows(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    one, joined = (decontaminate.remove_spans(docs, items, max_windows=m) for m in (200_000, 5))
+    assert sorted(map(str, one.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_bloom_filter(spark):
+    rows = spark.range(20_000).selectExpr("xxhash64(id) AS hash")
+    bloom = Bloom(rows, 20_000)
+    assert bloom.holds(np.array([r[0] for r in rows.collect()], np.int64).astype(np.uint64)).all()
+    others = np.array([r[0] for r in spark.range(20_000, 220_000).selectExpr("xxhash64(id) AS hash").collect()], np.int64).astype(np.uint64)
+    assert bloom.holds(others).mean() < 1e-3 and len(bloom.holds(others[:0])) == 0
+    assert not Bloom(rows.limit(0), 0).holds(others).any()
 
 
 def test_removal(spark):

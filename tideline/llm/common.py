@@ -16,6 +16,14 @@ def shared_dir(spark: SparkSession) -> str:
     return working_dir(spark, "training")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores added while df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Intermediate tables of one operator call, written to the shared folder.
 

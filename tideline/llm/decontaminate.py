@@ -1,10 +1,11 @@
 """Benchmark decontamination: a broadcast set of benchmark word windows, scanned over every text.
 
 The windows of all benchmark items are hashed. Their number is counted first: up to
-``max_windows`` they are one broadcast block, beyond that they are split by hash into blocks of
-about that size and the documents are scanned once a block, with the hits so far carried along in a
-saved table. A block is a few arrays (hash, place in one run of bytes, item), about 120 bytes a window.
-Every hash hit is compared word by word with the item before it counts.
+``max_windows`` they are one broadcast block of a few arrays (hash, place in one run of bytes, item), about
+120 bytes a window. Beyond that a Bloom filter of all windows is broadcast, of at most
+``bloom.MOST_BITS``; the windows of texts that pass it, with their words, are joined with the items' windows,
+and what was found goes back to the documents by a digest of the text. Texts are read twice then and
+never written. Every hash hit is compared word by word with the item before it counts, both ways.
 
 Cases: a null or wordless text has no words and no hits; an item without words has no windows; a
 null item_id counts as ''; items that repeat an id count once; repeated documents are rows of their
@@ -24,7 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.llm import textwords
-from tideline.llm.common import Scratch
+from tideline.llm.bloom import Bloom
+from tideline.llm.common import Scratch, unused
+
+#: A word for Spark's own functions; ``textwords`` has the same for bytes.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 RESULT = T.StructType(
     [
@@ -107,7 +112,7 @@ class Windows:
         return np.cumsum(hit[:-1]) > 0, items
 
 
-def _scan(windows, carried: bool):
+def _scan(windows):
     def run(batches):
         block = windows.value
         for batch in batches:
@@ -120,9 +125,6 @@ def _scan(windows, carried: bool):
                 for i in np.unique(row):
                     hits[i] = (where[row == i] - first[i]).tolist()
                     ids[i] = sorted(items[int(i)])
-                if carried:
-                    hits = [sorted({*a, *b}) for a, b in zip(hits, part.column("hit_words").to_pylist())]
-                    ids = [sorted({*a, *b}) for a, b in zip(ids, part.column("items").to_pylist())]
                 keep = [k for k, name in enumerate(part.schema.names) if name not in RESULT.names]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(k) for k in keep] + [pa.array(np.diff(first), pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))],
@@ -132,27 +134,87 @@ def _scan(windows, carried: bool):
     return run
 
 
+def _covered(at: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+    """The runs of words (begin, end) that windows beginning at ``at``, ascending, cover."""
+    cut = np.flatnonzero(np.diff(at) > size) + 1
+    return at[np.concatenate([[0], cut])].tolist(), (at[np.concatenate([cut - 1, [len(at) - 1]])] + size).tolist()
+
+
+def _passing(bloom, sizes: list[int], most: int = 50_000):
+    """The windows of texts that the filter lets pass, at most about ``most`` of one text a batch."""
+
+    def run(batches):
+        for batch in batches:
+            for part in textwords.slices(batch, "text"):
+                data, _, starts, ends, hashes, first = textwords.words(part.column("text"))
+                row_end, keys = np.repeat(first[1:], np.diff(first)), part.column("key").to_pylist()
+                for size in sizes:
+                    found = textwords.window_hashes(hashes, size)
+                    at = np.flatnonzero(bloom.value.holds(found))
+                    at = at[at + size <= row_end[at]]
+                    row = np.searchsorted(first, at, side="right") - 1
+                    for i in np.unique(row):
+                        mine = at[row == i]
+                        for k in range(0, len(mine), most):
+                            places = defaultdict(list)
+                            for j in mine[k : k + most].tolist():
+                                places[int(found[j].astype(np.int64)), b" ".join(data[s:e].tobytes() for s, e in zip(starts[j : j + size], ends[j : j + size]))].append(j - first[i])
+                            runs = [_covered(np.array(p), size) for p in places.values()]
+                            yield pa.RecordBatch.from_arrays(
+                                [
+                                    pa.array([keys[i]] * len(runs), pa.string()),
+                                    pa.array([size] * len(runs), pa.int32()),
+                                    pa.array([h for h, _ in places], pa.int64()),
+                                    pa.array([w for _, w in places], pa.binary()),
+                                    pa.array([b for b, _ in runs], pa.list_(pa.int32())),
+                                    pa.array([e for _, e in runs], pa.list_(pa.int32())),
+                                ],
+                                names=["key", "size", "hash", "window", "begins", "ends"],
+                            )
+
+    return run
+
+
+def _scan_joined(docs: DataFrame, windows: DataFrame, count: int) -> DataFrame:
+    """The same result as the scan of one block, for any number of windows (a saved table).
+
+    A window that a third of all texts hold is one key of the join: copies of a text are one row before, and the
+    adaptive plan splits such a partition, as the items' side has one row a window.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most n
+    bloom = spark.sparkContext.broadcast(Bloom(windows.select("hash"), count))
+    digest = unused(docs, "digest")
+    keyed = docs.withColumn(digest, F.sha2("text", 256))
+    passing = keyed.select(F.col(digest).alias("key"), "text").mapInArrow(
+        _passing(bloom, sizes), "key string, size int, hash long, window binary, begins array<int>, ends array<int>"
+    )
+    of_items = windows.groupBy("size", "hash", "window").agg(F.collect_set("item_id").alias("ids"))
+    words = F.flatten(F.transform(F.arrays_zip("begins", "ends"), lambda r: F.sequence(r["begins"], r["ends"] - 1)))
+    found = passing.distinct().join(of_items, ["size", "hash", "window"]).groupBy("key")
+    hits = found.agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(words)))).alias("hit_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"),
+    )
+    hits = scratch.saved(hits.withColumnRenamed("key", digest), "hits")
+    n_words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
+    out = keyed.join(hits, digest, "left").withColumn("n_words", n_words)
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return out.select(*docs.columns, "n_words", empty("hit_words", "array<int>"), empty("items", "array<string>"))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_windows: int = 200_000) -> DataFrame:
     """docs with n_words, hit_words (positions of hit words) and items (ids found, sorted as strings)."""
     spark = docs.sparkSession
     docs = docs.select([c for c in docs.columns if c not in RESULT.names])
     if dict(docs.dtypes)["text"] != "string":
         docs = docs.withColumn("text", F.col("text").cast("string"))
-    windows = item_windows(benchmark, n)
+    windows = Scratch(spark).saved(item_windows(benchmark, n), "windows")
     count = windows.count()
-    blocks = max(1, -(-count // max_windows))
-    scratch, out = None, docs
-    if blocks > 1:
-        scratch = Scratch(spark)
-        windows = scratch.saved(windows, "windows")
-    for b in range(blocks):
-        rows = windows.where(F.pmod("hash", F.lit(blocks)) == b).toArrow()  # about max_windows rows
-        schema = T.StructType(docs.schema.fields + RESULT.fields)
-        shared = spark.sparkContext.broadcast(Windows(rows))
-        out = out.mapInArrow(_scan(shared, carried=b > 0), schema)
-        if b < blocks - 1:
-            out = scratch.saved(out, "hits")
-    return out
+    if count > max_windows:
+        return _scan_joined(docs, windows, count)
+    shared = spark.sparkContext.broadcast(Windows(windows.toArrow()))
+    return docs.mapInArrow(_scan(shared), T.StructType(docs.schema.fields + RESULT.fields))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
