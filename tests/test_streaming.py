@@ -138,6 +138,29 @@ def test_ids_expire_and_a_restart_remembers(spark, tmp_path):
     assert spark.conf.get(store, None) == before
 
 
+def test_expiring_groups_are_buckets_of_ids(spark, tmp_path):
+    """Groups and entries of state grow with buckets and batches, not with ids, and no id is lost or doubled."""
+    src, schema = str(tmp_path / "in"), "value string, n long, id string"
+    rows = spark.range(3000).selectExpr("'a' as value", "if(id % 3 = 0, null, id) as n", "if(id % 10 = 0, null, cast(id as string)) as id")
+    held = []
+    for k in range(3):  # the same rows again and again
+        rows.coalesce(1).write.mode("append").parquet(src)
+        first = expiring.dedup_expiring(spark.readStream.schema(schema).parquet(src), 3600, buckets=16)
+        assert first.columns == ["value", "n", "id"]
+        conf = {x: spark.conf.get(x, None) for x in expiring.SETTINGS}
+        for x, v in expiring.SETTINGS.items():
+            spark.conf.set(x, v)
+        query = first.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        for x, v in conf.items():
+            spark.conf.set(x, v) if v is not None else spark.conf.unset(x)
+        query.awaitTermination()
+        held += [o["numRowsTotal"] for p in query.recentProgress for o in json.loads(p.json)["stateOperators"]]
+    got = spark.read.parquet(str(tmp_path / "o"))
+    want = rows.where("id is not null").union(rows.where("id is null")).union(rows.where("id is null")).union(rows.where("id is null"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert 16 <= max(held) < 1000
+
+
 def test_sequences_over_batches_equal_the_table(spark, tmp_path):
     schema, out, src = "file string, client string, at long, text string", str(tmp_path / "o"), str(tmp_path / "a")
     hot = [("hot", f"c{k % 3}", k, "x") for k in range(60)] + [("f", "A", k, "y") for k in range(60, 64)] + [("g", "B", 64, "z")]
