@@ -43,6 +43,12 @@ def test_flow_over_many_buckets(spark):
     assert got == {k: float(sum(s for key2, t2, s, _ in rows if key2 == key and t - second <= t2 <= t)) for key, t, _, k in rows}
 
 
+def test_flow_without_times_and_sizes(spark):
+    rows = [("k", None, 3, 1), ("k", None, 4, 2), ("k", at(1), None, 3), ("k", at(-0.5), 2, 4), ("k", at(0.5), 5, 5), ("m", at(0), None, 6)]
+    got = {r.k: r.flow for r in metrics.flow_rate(spark.createDataFrame(rows, "key string, ts timestamp, size long, k long")).collect()}
+    assert got == {1: 7.0, 2: 7.0, 3: 5.0, 4: 2.0, 5: 7.0, 6: None}  # rows without a time count once, for each other
+
+
 def test_flow_and_latest(spark):
     ev = spark.createDataFrame([("k", at(0), 10), ("k", at(1), 20), ("k", at(2.5), 5)], "key string, ts timestamp, size long")
     assert [r.flow for r in metrics.flow_rate(ev).orderBy("ts").collect()] == [10.0, 30.0, 5.0]

@@ -28,6 +28,13 @@ def test_flow_windows_end_with_their_bucket(spark):
     assert all("_bucket" in x for x in exchanges(metrics.flow_rate(events))) and exchanges(metrics.flow_rate(events))
 
 
+def test_flow_windows_are_running_sums(spark):
+    """A frame that slides is summed anew for each row."""
+    events = spark.createDataFrame([("k", 1, 1)], "key string, at long, size long").withColumn("ts", F.timestamp_seconds("at"))
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]*),", plan(metrics.flow_rate(events)))
+    assert len(frames) >= 2 and all("unboundedpreceding" in x for x in frames)
+
+
 def test_copies_are_compared_without_gathering(spark):
     blocks = spark.createDataFrame([("f", "a", "c", 1, "x")], "file string, node string, client string, seq int, content string")
     text = plan(appendlog.divergent_files(blocks))

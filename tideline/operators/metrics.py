@@ -39,18 +39,22 @@ def latest_metrics(metrics: DataFrame) -> DataFrame:
 def flow_rate(events: DataFrame, key: str = "key", seconds: float = 1.0) -> DataFrame:
     """events(key, ts, size) with flow: bytes a second over the trailing span, both ends included.
 
-    Time is cut into buckets as long as the span. A span that ends in one bucket begins there or in the
-    one before, so each row goes to its own bucket and, as history, to the next; a window holds two
-    buckets of a key, however long the key has been busy.
+    Time is cut into buckets as long as the span, and a span that ends in one bucket begins there or in the
+    one before. Each row goes to its own bucket and, a span later, as history to the next. There the own
+    rows up to a time and the history from that time on are a running sum each, one in order of time and one
+    against it: work is in proportion to rows, and no sum is taken off another.
     """
     length = int(seconds * 1e6)
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    bucket = F.floor(us / F.lit(length))
-    rows = events.withColumn("_us", us).withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
-    rows = rows.withColumn("_bucket", F.when(F.col("_own"), bucket).otherwise(bucket + 1))
-    span = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-length, 0)
-    flow = rows.withColumn("flow", F.sum("size").over(span) / F.lit(seconds))
-    return flow.where("_own").drop("_us", "_own", "_bucket")
+    rows = events.withColumn("_us", us).withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).where("_own or _us is not null")
+    rows = rows.withColumn("_us", F.when(F.col("_own"), F.col("_us")).otherwise(F.col("_us") + length))
+    rows = rows.withColumn("_bucket", F.col("_us") - F.pmod("_us", F.lit(length)))
+    up_to = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy(key, "_bucket").orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_up_to", F.sum(F.when(F.col("_own"), F.col("size"))).over(up_to))
+    rows = rows.withColumn("_since", F.sum(F.when(~F.col("_own"), F.col("size"))).over(since))
+    total = F.coalesce(F.col("_up_to") + F.col("_since"), "_up_to", "_since")
+    return rows.where("_own").withColumn("flow", total / F.lit(seconds)).drop("_us", "_own", "_bucket", "_up_to", "_since")
 
 
 def stage_rollup(metrics: DataFrame, tasks: DataFrame) -> DataFrame:
