@@ -81,6 +81,25 @@ def test_blocks_without_the_trigrams_are_not_read(spark, indexed):
     assert share("(?i)Disk Full") == share("disk full")
 
 
+def test_many_blocks_are_one_file_and_its_pages_are_passed_over(spark):
+    """Blocks aren't files, and the scan itself returns few lines."""
+    path = working_dir(spark, "indexed")
+    line = F.when(F.col("id") % 5000 == 1234, "a needle here").when(F.col("id") % 700 == 3, None).otherwise(F.concat(F.lit("LINE h\u00e9 "), "id"))
+    df = spark.range(0, 20_000, 1, 2).select(F.lit("h").alias("host"), F.lit(1).alias("host_no"), F.col("id").alias("line_no"), line.alias("line"))
+    lineindex.build_index(df, path, lines_per_block=20)
+    assert len(spark.read.parquet(f"{path}/lines").inputFiles()) == 2
+    assert tuple(lineindex.read_share(spark, path, "needle|hay stack").first()) == (1000, 4)
+    found = lineindex.indexed_search(spark, path, "needle|hay stack")
+    assert sorted(r.line_no for r in found.collect()) == [1234, 6234, 11234, 16234]
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert 4 <= scan.metrics().apply("numOutputRows").value() <= 400
+    everywhere = lineindex.indexed_search(spark, path, "line h\u00e9 [0-9]*7$", ignore_case=True)  # more ranges of blocks than a scan gets
+    assert everywhere.count() == df.where("line like '%7'").count()
+    one = [(k * 20, 20, k % 2 == 0) for k in range(2000)]
+    ranges = lineindex._ranges(spark.createDataFrame(one, "block long, lines long, may boolean"))
+    assert len(ranges) == lineindex.RANGES and all(any(a <= b <= z for a, z in ranges) for b, _, may in one if may)
+
+
 def test_what_patterns_need():
     need = lineindex.required
     assert need("Error: disk") == "error: disk"
