@@ -3,10 +3,12 @@
 import collections
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.test_plans import exchanges, plan
 from tideline.operators import heavy
+from tideline.plans import queries
 from tideline.sources.snapshots import Snapshots
 from tideline.streaming.heavy import read_heavy, run_heavy
 
@@ -49,6 +51,26 @@ def test_flat_counts_are_counted_in_full(spark):
     assert [(r.key, r.n) for r in found.collect()] == [("0", 2), ("1", 2), ("10", 2)]
 
 
+def test_batches_are_counted_together(monkeypatch):
+    """Small batches make few counts, large ones no large piece; the counters are those of all rows."""
+    batch = lambda *x: pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["key"])
+    monkeypatch.setattr(heavy, "ROWS", 30)
+    small = [batch("a", "b", None)] * 25 + [batch()]
+    assert [len(x) for x in heavy._pieces(small)] == [30, 30, 15]
+    monkeypatch.setattr(heavy, "BYTES", 1000)
+    assert [len(x) for x in heavy._pieces([batch("x" * 2000), batch("y"), batch("z" * 2000)])] == [1, 2]
+    found = next(heavy._count(10)(iter([*small, batch("c")]))).to_pydict()
+    assert dict(zip(found["key"][:-1], found["n"])) == {"a": 25, "b": 25, None: 25, "c": 1} and found["rows"][-1] == 76 and found["lost"][-1] == 0
+    assert list(heavy._pieces([])) == []
+
+
+def test_texts_are_dealt_before_their_words(spark, sf_dir):
+    """What is shuffled is texts, and nothing where the scan has parts enough."""
+    text = plan(queries._words(spark, sf_dir, 8))
+    assert text.index("Generate") < text.index("RoundRobin") and text.count("Exchange") == 1
+    assert "Exchange" not in plan(queries._words(spark, sf_dir))
+
+
 def test_reduced_bounds():
     rng = np.random.default_rng(3)
     for _ in range(50):

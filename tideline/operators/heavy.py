@@ -19,6 +19,8 @@ from tideline.streaming.run import working_dir
 CAPACITY = 1000
 #: Candidates that are sent to every executor; more are joined.
 BROADCAST_KEYS = 100_000
+#: Rows, and bytes, of which a task counts keys at a time.
+ROWS, BYTES = 200_000, 1 << 24
 COUNTERS = "key string, n long, rows long, lost long"
 
 
@@ -31,12 +33,25 @@ def reduced(held: dict, capacity: int) -> tuple[dict, int]:
     return {k: n - off for k, n in held.items() if n > off}, off
 
 
+def _pieces(batches):
+    """The keys of several batches together."""
+    some, rows, size = [], 0, 0
+    for batch in batches:
+        some.append(batch.column(0))
+        rows, size = rows + batch.num_rows, size + batch.column(0).nbytes
+        if rows >= ROWS or size >= BYTES:
+            yield pa.chunked_array(some)
+            some, rows, size = [], 0, 0
+    if some:
+        yield pa.chunked_array(some)
+
+
 def _count(capacity: int):
     def run(batches):
         held, rows, lost = {}, 0, 0
-        for batch in batches:
-            rows += batch.num_rows
-            found = pc.value_counts(batch.column(0))
+        for keys in _pieces(batches):
+            rows += len(keys)
+            found = pc.value_counts(keys)
             for key, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
                 held[key] = held.get(key, 0) + n
             if len(held) > 8 * capacity:

@@ -59,8 +59,11 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_lines(_t(spark, sf_dir, "events"), F.col("event_id"), value)
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("key"))
+def _words(spark: SparkSession, sf_dir: str, parts: int = 1) -> DataFrame:
+    """In as many parts as the scan has; texts are dealt to ``parts`` where it has fewer."""
+    docs = _t(spark, sf_dir, "documents").select("text")
+    docs = docs.repartition(parts) if docs.rdd.getNumPartitions() < parts else docs
+    return docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("key"))
 
 
 def grep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,8 +411,9 @@ def stream_grep_count(spark, sf_dir):
 def stream_heavy_keys(spark, sf_dir):
     """Words with more than a 201st of all words, which 200 counters can't miss, and whether the stream's bounds hold their counts."""
     out, path = streams.working_dir(spark, "heavy"), streams.working_dir(spark, "rows")
-    _words(spark, sf_dir).repartition(8).write.parquet(path)
-    heavy_stream.run_heavy(spark.readStream.schema("key string").option("maxFilesPerTrigger", 2).parquet(path), out, f"{out}-checkpoint", capacity=200)
+    _words(spark, sf_dir, 8).write.option("maxRecordsPerFile", 2_000_000).parquet(path)
+    quarter = -(-len(spark.read.schema("key string").parquet(path).inputFiles()) // 4)  # 2 files of 8: batches grow, not their number
+    heavy_stream.run_heavy(spark.readStream.schema("key string").option("maxFilesPerTrigger", quarter).parquet(path), out, f"{out}-checkpoint", capacity=200)
     rows = spark.read.parquet(path)
     bounds = heavy_stream.read_heavy(spark, out)
     counts = aggregate.count_by_key(rows).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("all")))).where("n * 201 > all")
