@@ -437,7 +437,7 @@ def stream_dedup_expiring(spark, sf_dir):
     rows = event_lines(spark, sf_dir).select("value", "id")
     some = rows.where(F.col("value").contains("user, 6")).withColumn("id", F.lit(None).cast("string"))
     rows.union(some).write.parquet(path)
-    rows.repartition("id").write.mode("append").parquet(path)
+    rows.write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(path)
     expiring.run_expiring(stream, out, f"{out}-checkpoint", 3600)
     return spark.read.parquet(out)
